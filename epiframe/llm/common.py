@@ -50,7 +50,7 @@ def open_out(uri: str):
 
     system, path = fs.FileSystem.from_uri(_uri(uri))
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_in(uri: str):

@@ -27,5 +27,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC bundles of all pages, read back."""
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    from .urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts on all documents."""
+    from .quality import RESULTS, judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")).select("doc_id", *RESULTS)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality)}
 SQL: dict[str, str] = {}
