@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was written out and counted at no more rows than this.
@@ -39,9 +39,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df (materialized, so that counting is cheap) has few rows; else df for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_side(df: DataFrame, weight: Column | None = None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if df (materialized, so that counting is cheap) has few rows, and few items by weight if rows
+    hold arrays; else df, for a shuffled join."""
+    n, items = df.agg(F.count("*"), F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and items <= 4 * rows else df
 
 
 def open_out(uri: str):

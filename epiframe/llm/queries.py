@@ -48,6 +48,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")).select("doc_id", *RESULTS)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that all documents keep when passages of earlier documents go."""
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components."""
     from .simhash import with_component, with_fingerprint
@@ -56,5 +63,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_component(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op8_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op8_simhash)}
 SQL: dict[str, str] = {}
