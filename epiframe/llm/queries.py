@@ -55,6 +55,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, decoded layers included."""
+    from .secrets import RESULTS, find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *RESULTS)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their near-duplicate components."""
     from .simhash import with_component, with_fingerprint
@@ -63,5 +70,79 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_component(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op8_simhash)}
-SQL: dict[str, str] = {}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by pattern and by random field."""
+    from .pii import RESULTS, find_personal
+
+    return find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *RESULTS)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their cell's raked weight, probability and sampling decision."""
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 4).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op7_secrets, op8_simhash, op9_personal_data, op10_mixing)}
+WORD = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op2_decontaminate": r"""
+WITH cut AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS words FROM cut, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(k) WHERE len(w) > 0
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), places AS (
+  SELECT r, k, size, array_to_string(w[k : k + size - 1], ' ') AS words FROM docs, (SELECT DISTINCT size FROM windows) s, unnest(range(1, len(w) - size + 2)) AS t(k)
+), hits AS (
+  SELECT r, k, p.size, item_id FROM places p JOIN windows v ON p.size = v.size AND p.words = v.words
+), words AS (
+  SELECT r, count(DISTINCT k + j) AS n_hit FROM hits, unnest(range(0, size)) AS t(j) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op3_warc": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), d AS (
+  SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), g AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 AND count(*) OVER (PARTITION BY payload_digest) > 1 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to, url AS target_uri FROM g""",
+    "op6_substring_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT doc_id, k, array_to_string(w[k : k + 49], ' ') AS words FROM docs, unnest(range(1, len(w) - 48)) AS t(k)
+), first AS (
+  SELECT words, min(doc_id) AS low FROM windows GROUP BY words HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, k + j AS k FROM windows JOIN first USING (words), unnest(range(0, 50)) AS t(j) WHERE doc_id > low
+), kept AS (
+  SELECT d.doc_id, string_agg(d.w[t.k], ' ' ORDER BY t.k) AS words, count(*) AS n FROM docs d, unnest(range(1, len(w) + 1)) AS t(k) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.k = t.k) GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM docs d LEFT JOIN kept USING (doc_id)""",
+}
+
+
+def _mixing_sql() -> str:
+    from .mixing import rake_sql
+
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents
+), t AS (
+  SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'empty' WHEN len(regexp_extract_all(text, ' \| ')) * 10 >= n_tokens THEN 'tabular'
+    WHEN len(regexp_extract_all(text, '[#*$%&<>{{}}\[\]=_\\]')) * 5 >= n_tokens THEN 'marked' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM d
+), cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL), rated AS ({rake_sql("cells")})
+SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 4) AS weight, round(probability, 9) AS probability,
+  CAST('0x' || substr(md5(CAST(coalesce(doc_id, 0) AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
+FROM t JOIN rated r ON t.source IS NOT DISTINCT FROM r.source AND t.lang IS NOT DISTINCT FROM r.lang AND t.topic = r.topic"""
+
+
+SQL["op10_mixing"] = _mixing_sql()
