@@ -153,11 +153,13 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     all_edges = materialize(edges(docs), "edges")
     # 1. anchors of more than one document
     anchors = all_edges.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    anchors = materialize(anchors, "anchors")  # both sides of the joins below shuffle, so that Spark can split a hot key
     shared = materialize(all_edges.join(anchors, "h", "left_semi"), "shared-edges")
     # 2. an edge's source, and 3. whether its anchor branches in a way that matters: edges of other sources
     nodes = shared.groupBy("s1", "s2").agg(F.min("h").alias("h"), F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("high"))
     nodes = materialize(nodes, "nodes")
     branching = nodes.groupBy("h").agg(F.min("source.doc_id").alias("low"), F.max("source.doc_id").alias("top")).where("low < top").select("h", F.lit(True).alias("branches"))
+    branching = materialize(branching, "branching")
     nodes = nodes.join(branching, "h", "left").where("branches or high > source.doc_id").select("s1", "s2", "source", F.coalesce("branches", F.lit(False)).alias("branches"))
     found = shared.select("doc_id", "row", "at", "n", "s1", "s2").join(nodes, ["s1", "s2"])
     found = materialize(found.select("doc_id", "row", "at", "n", F.col("source.doc_id").alias("source_id"), F.col("source.at").alias("source_at"), "branches"), "found")
@@ -165,6 +167,7 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     singles = windows_at(docs, found.where("branches and doc_id = source_id").select("doc_id", "row", "at", "n"))
     singles = materialize(singles, "windows")
     first = singles.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    first = materialize(first, "first-windows")
     singles = singles.join(first, ["w1", "w2"]).where("doc_id > low").select("doc_id", "row", "at", F.lit(1).alias("n"), F.col("low").alias("source_id"), F.lit(None).cast("int").alias("source_at"), F.lit(True).alias("branches"))
     # 4. compaction of what stands side by side both here and in the source
     removed = found.where("doc_id > source_id").unionByName(singles)

@@ -24,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_in, open_out, shared_path
+from .common import open_in, open_out, shared_path, slices
 
 MAGIC = b"EPITOK01"
 TRAILER = struct.Struct("<8sqqqq")
 BLOCK = 65_536
 #: Distinct pieces whose ids a worker keeps; at this number it starts anew.
-CACHE = 800_000
+CACHE = 1_000_000
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, offset long"
 
@@ -64,10 +65,16 @@ class Encoder:
     """Encodes whole texts with a tokenizer file of the tokenizers library, keeping the ids of repeated pieces.
 
     A byte-level BPE never joins a character that is not white space with white space after it, so a text falls into
-    pieces (white space, then the rest) whose encodings follow each other. Texts with the four separators that only
-    Python counts as white space are encoded whole.
+    pieces (white space, then the rest) whose encodings follow each other. Nor does it join a line end with a character
+    after it that is not white space, or a letter with a punctuation mark after it. Texts with the four separators
+    that only Python counts as white space are encoded whole.
+
+    Pieces are kept under keys: a word stands for itself after one space, a piece that begins with a line end for
+    itself, and any other piece has ``AS_IS`` before it.
     """
 
+    AS_IS, MARKS = "\x1f", frozenset(".,;:!?")
+
     def __init__(self, path: str, end_id: int):
         import re
 
@@ -85,34 +92,62 @@ class Encoder:
         self.flat = np.array([self.end_id], np.uint32)
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        self.index.update(zip(pieces, range(len(self.lengths), len(self.lengths) + len(pieces))))
+    def keys(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if text.replace("\n", " ") == " ".join(text.split()):  # words that one space or line end parts
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = self.AS_IS + keys[0]
+            return keys
+        if self.odd(text):
+            return [self.AS_IS + text]
+        return [p[1:] if p[0] == " " and not p[1:2].isspace() and len(p) > 1 else p if p[0] == "\n" else self.AS_IS + p for p in self.pieces(text)]
+
+    def parts(self, key: str) -> tuple[str, ...]:
+        """Keys whose ids follow each other in those of key; key alone if it must be encoded."""
+        if key[0] == "\n" and len(key) > 1 and not key[1].isspace():
+            return (self.AS_IS + "\n", *self.parts(self.AS_IS + key[1:]))
+        if key[-1] in self.MARKS and len(key) > 1 and key[-2].isalpha():
+            return (key[:-1], self.AS_IS + key[-1])
+        return (key,)
+
+    def learn(self, keys: list[str]) -> None:
+        made = {k: self.parts(k) for k in keys}
+        raw = [k for k in dict.fromkeys(p for x in made.values() for p in x) if k not in self.index]
+        pieces = [k[1:] if k[0] == self.AS_IS else k if k[0] == "\n" else " " + k for k in raw]
+        self.add(raw, [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        both = [k for k, x in made.items() if len(x) > 1]
+        at = [[self.index[p] for p in made[k]] for k in both]
+        cut, starts, lengths = self.flat, self.starts, self.lengths
+        self.add(both, [[i for x in row for i in cut[starts[x] : starts[x] + lengths[x]].tolist()] for row in at])
+
+    def add(self, keys: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.index.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(keys))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, an end id after each text; and the number of each text's ids with it."""
         if len(self.index) > CACHE:
             self.reset()
-        pieces: list[str] = []
+        keys: list[str] = []
         ends = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
-            pieces += [text] if self.odd(text) else self.pieces(text)
-            pieces.append("")
-            ends[k] = len(pieces)
-        index = self.index
-        if missing := [p for p in dict.fromkeys(pieces) if p not in index]:
-            self.learn(missing)
-        at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+            keys += self.keys(text)
+            keys.append("")
+            ends[k] = len(keys)
+        found = list(map(self.index.get, keys))
+        if missing := [j for j, i in enumerate(found) if i is None]:
+            self.learn(list(dict.fromkeys([keys[j] for j in missing])))
+            for j in missing:
+                found[j] = self.index[keys[j]]
+        at = np.array(found, np.int64)
         lengths = self.lengths[at]
         past = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - past + lengths, lengths) + np.arange(past[-1] if len(past) else 0)]
-        totals = past[ends - 1]
-        return ids, np.diff(totals, prepend=0)
+        return ids, np.diff(past[ends - 1], prepend=0)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -200,19 +235,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
 
     bits = bit_width(Tokenizer.from_file(tokenizer).get_vocab_size())
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, encode, uri = None, encoder(tokenizer, end_id), f"{path}/shards/{uuid.uuid4().hex}.tok"
         for batch in batches:
-            nulls, ids, texts = batch["doc_id"].isna().to_numpy(), batch["doc_id"].fillna(0).to_numpy(np.int64), batch["text"].fillna("").tolist()
-            out = out or ShardWriter(uri, bits)
-            for k in range(0, len(texts), 500):
-                out.add(ids[k : k + 500], nulls[k : k + 500], *encode(texts[k : k + 500]))
+            for part in slices(batch, "text", 1 << 21):
+                out, ids = out or ShardWriter(uri, bits), part.column("doc_id")
+                out.add(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), *encode([t or "" for t in part.column("text").to_pylist()]))
         if out:
-            yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "path": [uri], "n_docs": [out.close()], "n_tokens": [out.n_tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [uri], "n_docs": [out.close()], "n_tokens": [out.n_tokens]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(write, MANIFEST).write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
