@@ -101,11 +101,11 @@ def _angle(p: str, q: str) -> str:
     return f"acos(greatest(-1, least(1, (greatest(-1, least(3, {trace})) - 1) / 2)))"
 
 
-_FOUR = [("v", 6, "a"), ("n", 6, "b"), ("v", 12, "c"), ("n", 12, "d")]
+_FOUR = [("v", 6, "e"), ("n", 6, "f"), ("v", 12, "g"), ("n", 12, "h")]
 SQL["frame_delta_gate"] = f"""WITH {_PAIRS}, r AS (SELECT *, {", ".join(c for x in _FOUR for c in _columns(*x))} FROM pr WHERE n IS NOT NULL),
 z AS (SELECT *, {", ".join(f"{_cross(n + 'x', n + 'y')} AS {n}w" for _, _, n in _FOUR)} FROM r),
 u AS (SELECT *, {", ".join(f"list_transform({n}w, lambda t: t / (sqrt({n}w[1] * {n}w[1] + {n}w[2] * {n}w[2] + {n}w[3] * {n}w[3]) + 1e-8)) AS {n}z" for _, _, n in _FOUR)} FROM z)
-SELECT vec_id, round({_distance(0, 6)}, 6) AS translation, round({_sum(_distance(18 + 3 * k, 3) for k in range(10))} / 10, 6) AS fingertips, round(greatest({_angle("a", "b")}, {_angle("c", "d")}), 6) AS rotation FROM u"""
+SELECT vec_id, round({_distance(0, 6)}, 6) AS translation, round({_sum(_distance(18 + 3 * k, 3) for k in range(10))} / 10, 6) AS fingertips, round(greatest({_angle("e", "f")}, {_angle("g", "h")}), 6) AS rotation FROM u"""
 
 SQL["skip_ratio"] = """SELECT count(*) AS seen, count(*) FILTER (coalesce(quality = 0, false)) AS skipped, round(100.0 * count(*) FILTER (coalesce(quality = 0, false)) / count(*), 6) AS percent FROM documents LEFT JOIN labels USING (doc_id)"""
 
@@ -139,12 +139,12 @@ UNION ALL SELECT 'unmasked_padded', threshold, round(count(*) FILTER (err < thre
 SQL["masked_part_l1"] = f"""WITH {_PAIRS}, d AS (SELECT vec_id, k, abs(v[k] - n[k]) AS err FROM pr, unnest(range(1, 49)) AS t(k) WHERE n IS NOT NULL AND vec_id % 3 <> 0)
 SELECT CASE WHEN k <= 6 THEN 'wrist_trans' WHEN k <= 18 THEN 'wrist_rot' ELSE 'hand' END AS part, round(avg(err), 6) AS l1 FROM d GROUP BY 1"""
 SQL["smoothness_heatmap"] = f"""WITH {_PRED}, a AS (SELECT sample_id, step, gt - pred AS d, lag(gt - pred) OVER w AS p, lag(gt - pred, 2) OVER w AS pp FROM pd WINDOW w AS (PARTITION BY sample_id ORDER BY step))
-SELECT 1 AS diff, CAST(step - 1 AS INT) AS step, round(avg(abs(d - p)), 6) AS error FROM a WHERE p IS NOT NULL GROUP BY step UNION ALL SELECT 2, CAST(step - 2 AS INT), round(avg(abs(d - 2 * p + pp)), 6) FROM a WHERE pp IS NOT NULL GROUP BY step"""
+SELECT 1 AS diff, CAST(step - 1 AS INT) AS step, round(avg(abs(d - p)), 10) AS error FROM a WHERE p IS NOT NULL GROUP BY step UNION ALL SELECT 2, CAST(step - 2 AS INT), round(avg(abs(d - 2 * p + pp)), 10) FROM a WHERE pp IS NOT NULL GROUP BY step"""
 SQL["trajectory_metrics"] = f"""WITH {_PRED}, a AS (SELECT *, abs(gt - lag(gt) OVER w) AS lg, abs(pred - lag(pred) OVER w) AS lp FROM er WINDOW w AS (PARTITION BY sample_id ORDER BY step))
-SELECT sample_id, round(arg_max(err, step), 6) AS endpoint_error, round(abs(coalesce(sum(lg), 0) - coalesce(sum(lp), 0)), 6) AS length_error, round(avg(err), 6) AS mean_error, round(max(err), 6) AS max_error FROM a GROUP BY sample_id"""
+SELECT sample_id, round(arg_max(err, step), 10) AS endpoint_error, round(abs(coalesce(sum(lg), 0) - coalesce(sum(lp), 0)), 10) AS length_error, round(avg(err), 10) AS mean_error, round(max(err), 10) AS max_error FROM a GROUP BY sample_id"""
 SQL["loss_over_time"] = f"WITH {_PRED} SELECT CAST(step AS INT) AS step, round(avg(err), 6) AS l1, round(avg(err * err), 6) AS l2, count(*) AS n FROM er GROUP BY step"
 _COV = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-SQL["covariance_matrix"] = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_samp({a}, {b}), 4) AS cov FROM lineitem" for i, a in enumerate(_COV) for j, b in enumerate(_COV))
+SQL["covariance_matrix"] = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(covar_samp({a}, {b}), 4) + 0.0 AS cov FROM lineitem" for i, a in enumerate(_COV) for j, b in enumerate(_COV))
 SQL["mean_of_batch_means"] = f"""WITH {_PRED}, o AS (SELECT sample_id, round(avg(err), 9) AS loss FROM er GROUP BY sample_id), b AS (SELECT sample_id // 100 AS b, avg(loss) AS m FROM o GROUP BY 1)
 SELECT round(avg(m), 6) AS mean_of_means, count(*) AS batches FROM b"""
 SQL["min_max_loss_sample"] = f"""WITH {_PRED}, o AS (SELECT sample_id, round(avg(err), 9) AS loss FROM er GROUP BY sample_id), lo AS (SELECT * FROM o ORDER BY loss, sample_id LIMIT 1), hi AS (SELECT * FROM o ORDER BY loss DESC, sample_id LIMIT 1)
@@ -168,7 +168,7 @@ WITH n AS (SELECT 3.0 / (SELECT count(*) FROM documents) AS a, 1.0 / (SELECT cou
   UNION ALL SELECT page_id, 1, CAST('0x' || substr(md5(page_id || '|1'), 1, 8) AS BIGINT) / 4294967296.0 < b / greatest(a, b) FROM pages, n)
 SELECT id, source FROM u WHERE k"""
 SQL["candidate_turn_argmax"] = """
-WITH p AS (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS by FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), q AS (SELECT conv_id, turn, text, reply FROM p WHERE role = 'user' AND by = 'assistant'),
+WITH p AS (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), q AS (SELECT conv_id, turn, text, reply FROM p WHERE role = 'user' AND next_role = 'assistant'),
 s AS (SELECT conv_id, turn, 0.5 * coalesce(CASE WHEN length(text) % 11 <> 0 THEN length(text) % 6 END, 0) + 0.5 * (length(reply) % 6) + 0.5 * (turn % 6) AS score FROM q),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM s)
 SELECT conv_id, CAST(n AS INT) AS candidates, CAST(pos AS INT) AS chosen, turn FROM r WHERE k = 1"""

@@ -24,31 +24,37 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-EPISODE = Window.partitionBy("dataset_name", "episode_index").orderBy("ts", "event_id")
+def r10(c: str) -> Column:
+    """For means of few prices, of which the 7th digit is often a tie."""
+    return F.round(F.col(c), 10)
+
+
+def _episode():
+    return Window.partitionBy("dataset_name", "episode_index").orderBy("ts", "event_id")
 
 
 @query
 def episode_windows_truncate(spark, sf_dir):
-    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.future(F.col("payload"), EPISODE, 4, 2))
+    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.future(F.col("payload"), _episode(), 4, 2))
     return df.select("event_id", F.posexplode("w").alias("k", "x")).select("event_id", "k", r6("x").alias("x"))
 
 
 @query
 def episode_windows_history_repeat(spark, sf_dir):
-    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.history(F.col("payload"), EPISODE, 3, 2))
+    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.history(F.col("payload"), _episode(), 3, 2))
     return df.select("event_id", F.posexplode("w").alias("k", "x")).select("event_id", "k", r6("x").alias("x"))
 
 
 @query
 def episode_windows_quality_cut(spark, sf_dir):
-    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.future(F.col("payload"), EPISODE, 4, 2, "repeat", quality=F.col("high_quality")))
+    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.future(F.col("payload"), _episode(), 4, 2, "repeat", quality=F.col("high_quality")))
     df = df.where("high_quality = 1")
     return df.select("event_id", F.posexplode("w").alias("k", "x")).select("event_id", "k", r6("x").alias("x"))
 
 
 @query
 def episode_windows_future_repeat(spark, sf_dir):
-    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.future(F.col("payload"), EPISODE, 3, 2, "repeat", base=2))
+    df = A.frames_from_events(spark, sf_dir).withColumn("w", windows.future(F.col("payload"), _episode(), 3, 2, "repeat", base=2))
     return df.select("event_id", F.posexplode("w").alias("k", "x")).select("event_id", "k", r6("x").alias("x"))
 
 
@@ -208,13 +214,13 @@ def masked_part_l1(spark, sf_dir):
 
 @query
 def smoothness_heatmap(spark, sf_dir):
-    return metrics.smoothness(A.predictions(spark, sf_dir)).select("diff", "step", r6("error").alias("error"))
+    return metrics.smoothness(A.predictions(spark, sf_dir)).select("diff", "step", r10("error").alias("error"))
 
 
 @query
 def trajectory_metrics(spark, sf_dir):
     t = metrics.trajectory(A.predictions(spark, sf_dir))
-    return t.select("sample_id", *(r6(c).alias(c) for c in ("endpoint_error", "length_error", "mean_error", "max_error")))
+    return t.select("sample_id", *(r10(c).alias(c) for c in ("endpoint_error", "length_error", "mean_error", "max_error")))
 
 
 @query
@@ -225,7 +231,7 @@ def loss_over_time(spark, sf_dir):
 @query
 def covariance_matrix(spark, sf_dir):
     c = metrics.covariance(A.table(spark, sf_dir, "lineitem"), A.LINE_DIMENSIONS)
-    return c.select("i", "j", F.round("cov", 4).alias("cov"))
+    return c.select("i", "j", (F.round("cov", 4) + 0.0).alias("cov"))
 
 
 def _order_loss(spark, sf_dir):
