@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import materialize, slices, small_side
 
 WINDOW, KMER = 50, 15
-SLICE = 1 << 21
+SLICE = 1 << 19
 ODD1, ODD2, ODD3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -191,7 +191,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 24):
+            for part in slices(batch, "text", 4 * SLICE):
                 out = []
                 for text, cuts in zip(part.column("text").to_pylist(), part.column("_cuts").to_pylist()):
                     words = text.encode().split() if text else []
