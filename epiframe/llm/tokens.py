@@ -17,10 +17,12 @@ equal doc_id follow each other ordered by text; a null doc_id comes first; other
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,9 @@ MAGIC = b"EPITOK01"
 TRAILER = struct.Struct("<8sqqqq")
 BLOCK = 65_536
 #: Distinct pieces whose ids a worker keeps; at this number it starts anew.
-CACHE = 1_000_000
+CACHE = 500_000
+#: Pieces that are encoded at once.
+WORDS = 4096
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, offset long"
 
@@ -61,6 +65,11 @@ def unpack(data: bytes, count: int, bits: int, first: int = 0) -> np.ndarray:
     return (flat.reshape(count, bits).astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(1).astype(np.uint32)
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a copy with room to grow, that holds n items."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class Encoder:
     """Encodes whole texts with a tokenizer file of the tokenizers library, keeping the ids of repeated pieces.
 
@@ -80,17 +89,21 @@ class Encoder:
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker to a core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = re.compile(r"\s*\S+|\s+").findall
         self.odd = re.compile("[\x1c-\x1f]").search
         self.end_id = end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level tokens write a space
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.flat = np.array([self.end_id], np.uint32)
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.starts, self.lengths, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), 1
 
     def keys(self, text: str) -> list[str]:
         if not text:
@@ -112,21 +125,46 @@ class Encoder:
         return (key,)
 
     def learn(self, keys: list[str]) -> None:
-        made = {k: self.parts(k) for k in keys}
-        raw = [k for k in dict.fromkeys(p for x in made.values() for p in x) if k not in self.index]
-        pieces = [k[1:] if k[0] == self.AS_IS else k if k[0] == "\n" else " " + k for k in raw]
-        self.add(raw, [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-        both = [k for k, x in made.items() if len(x) > 1]
-        at = [[self.index[p] for p in made[k]] for k in both]
-        cut, starts, lengths = self.flat, self.starts, self.lengths
-        self.add(both, [[i for x in row for i in cut[starts[x] : starts[x] + lengths[x]].tolist()] for row in at])
-
-    def add(self, keys: list[str], ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.index.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(keys))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        split = {k: x for k in keys if (k[0] == "\n" or k[-1] in self.MARKS) and len(x := self.parts(k)) > 1}
+        raw = [k for k in dict.fromkeys([*(k for k in keys if k not in split), *(p for x in split.values() for p in x)]) if k not in self.index]
+        words = [k for k in raw if k[0] not in "\x1f\n"]
+        for k in range(0, len(words), WORDS):
+            self.add_words(words[k : k + WORDS])
+        self.add_pieces([k for k in raw if k[0] in "\x1f\n"])
+        ids, lengths = self.gather(np.array([self.index[p] for x in split.values() for p in x], np.int64))
+        ends = np.cumsum([len(x) for x in split.values()], dtype=np.int64)
+        self.add(list(split), ids, np.diff(np.cumsum(lengths)[ends - 1], prepend=0))
+
+    def add_words(self, words: list[str]) -> None:
+        """Words after one space are encoded as one text: a token that begins with a space begins a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(words):
+            self.add(words, ids, np.diff(starts, append=len(ids)))
+        else:
+            self.add_pieces(words)
+
+    def add_pieces(self, keys: list[str]) -> None:
+        for k in range(0, len(keys), WORDS):
+            part = keys[k : k + WORDS]
+            pieces = [k[1:] if k[0] == self.AS_IS else k if k[0] == "\n" else " " + k for k in part]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            self.add(part, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.index), len(self.index) + len(keys)
+        self.index.update(zip(keys, range(n, m)))
+        self.starts, self.lengths, self.flat = _room(self.starts, m), _room(self.lengths, m), _room(self.flat, self.used + len(ids))
+        self.starts[n:m] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:m] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the keys of these numbers, one after the other, and how many each has."""
+        lengths = self.lengths[at]
+        past = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[at] - past + lengths, lengths) + np.arange(past[-1] if len(past) else 0)], lengths
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, an end id after each text; and the number of each text's ids with it."""
@@ -138,16 +176,13 @@ class Encoder:
             keys += self.keys(text)
             keys.append("")
             ends[k] = len(keys)
-        found = list(map(self.index.get, keys))
-        if missing := [j for j, i in enumerate(found) if i is None]:
-            self.learn(list(dict.fromkeys([keys[j] for j in missing])))
-            for j in missing:
-                found[j] = self.index[keys[j]]
-        at = np.array(found, np.int64)
-        lengths = self.lengths[at]
-        past = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - past + lengths, lengths) + np.arange(past[-1] if len(past) else 0)]
-        return ids, np.diff(past[ends - 1], prepend=0)
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(missing := np.flatnonzero(at < 0)):
+            unknown = [keys[j] for j in missing.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            at[missing] = [self.index[k] for k in unknown]
+        ids, lengths = self.gather(at)
+        return ids, np.diff(np.cumsum(lengths)[ends - 1], prepend=0)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
