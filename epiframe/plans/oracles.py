@@ -179,3 +179,10 @@ t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN len(w) ELSE p + 3 END AS star
 SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(len(list_filter(kept, lambda x: length(x) > 0)) AS BIGINT) AS kept, CAST(coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) AS BIGINT) AS total FROM t"""
 SQL["prefix_delay_forced"] = f"""WITH {_PRED} SELECT CAST(step AS INT) AS step, count(*) AS n, max(CASE WHEN step < 2 THEN 1.0 ELSE 0.5 END)::DOUBLE AS time, count(*) FILTER (step >= 2 AND valid) AS n_loss, round(sum(CASE WHEN step < 2 THEN gt ELSE 0 END), 6) AS prefix_sum FROM pd GROUP BY step"""
 SQL["request_log_timings"] = """SELECT user_id AS conn, CAST(row_number() OVER w AS INT) AS request_index, round(value, 6) AS infer_ms, round(lag(value) OVER w, 6) AS prev_infer_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+SQL["stream_stats_equals_batch"] = "SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, round(sum(value * value), 4) AS total_sq, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY event_type"
+SQL["stream_windows_equals_batch"] = f"""
+WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS hq FROM events), a AS (
+  SELECT event_id, hq, [value, lead(value, 2) OVER w, lead(value, 4) OVER w, lead(value, 6) OVER w] AS v, [hq, lead(hq, 2) OVER w, lead(hq, 4) OVER w, lead(hq, 6) OVER w] AS q FROM e {_EV}
+), b AS (SELECT *, coalesce(list_position(q, 0), 5) AS cut FROM a WHERE hq = 1)
+SELECT event_id, CAST(k AS INT) AS k, round(v[k + 1], 6) AS x, 3 AS n_states FROM b, unnest(range(0, 4)) AS t(k) WHERE k + 1 < cut AND v[k + 1] IS NOT NULL"""

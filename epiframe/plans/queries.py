@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..operators import blend, candidates, metrics, normalizer, quality_gate, windows
 from ..schema import IGNORED_DIMENSIONS
 from ..sources import adapters as A
+from ..streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -329,3 +330,22 @@ def request_log_timings(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     df = A.table(spark, sf_dir, "events").withColumns({"request_index": F.row_number().over(w), "prev_infer_ms": F.lag("value").over(w)})
     return df.select(F.col("user_id").alias("conn"), "request_index", r6("value").alias("infer_ms"), r6("prev_infer_ms").alias("prev_infer_ms"))
+
+
+@query
+def stream_stats_equals_batch(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the source takes no single file
+    out = online.run_available(online.moments(stream, ["event_type"], "value"), "complete")
+    return out.select("event_type", "n", r6("total").alias("total"), F.round("total_sq", 4).alias("total_sq"), r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query
+def stream_windows_equals_batch(spark, sf_dir):
+    last = Window.partitionBy("dataset_name", "episode_index").orderBy(F.desc("ts"), F.desc("event_id"))
+    frames = A.frames_from_events(spark, sf_dir).withColumn("final", F.row_number().over(last) == 1)
+    path = online.shared_path(spark, "frames")
+    frames.write.parquet(path)
+    config = windows.WindowConfig(action_horizon=4, action_stride=2, state_horizon=3, state_stride=2)
+    out = online.run_available(online.compose(spark.readStream.schema(frames.schema).parquet(path), config, ["dataset_name", "episode_index"], "ts"))
+    return out.select("event_id", F.posexplode("actions").alias("k", "x"), F.size("states").alias("n_states")).select("event_id", "k", r6("x").alias("x"), "n_states")
