@@ -307,10 +307,10 @@ def prompt_text(spark, sf_dir):
 
 @query
 def label_mask_subsequence(spark, sf_dir):
-    words = F.slice(F.split("text", " "), 1, 40)
+    words = F.split("text", " ")
     at = F.least(F.size(words), (F.col("doc_id") % 40).cast("int"))
     header = F.array(F.lit("<h1>"), F.lit("<h2>"), F.lit("<h3>"))
-    tokens = F.when(F.col("doc_id") % 5 == 0, words).otherwise(F.concat(F.slice(words, F.lit(1), at), header, F.slice(words, at + 1, F.lit(40))))
+    tokens = F.when(F.col("doc_id") % 5 == 0, words).otherwise(F.concat(F.slice(words, F.lit(1), at), header, F.slice(words, at + 1, F.size(words))))
     df = A.table(spark, sf_dir, "documents").select("doc_id", tokens.alias("t"))
     df = df.withColumn("start", candidates.answer_start(F.col("t"), ["<h1>", "<h2>", "<h3>"]))
     ids = F.transform("t", lambda x: F.char_length(x))
