@@ -2,7 +2,7 @@
 
 Each text is scanned for the base kinds. Encoded parts of it (percent escapes, backslash-u escapes, base64, and zlib,
 gzip, bz2 or xz data inside that) are decoded into layers, which are scanned and decoded in turn until nothing new
-comes up; a layer that was seen before is not followed again, which ends cycles. Every character of a layer knows the
+comes up; a layer that was seen before at the same place is not followed again, which ends cycles. Every character of a layer knows the
 span of the original text it came from, so that a find deep inside is reported where its encoded form stands. Finds in
 layers have the kinds' names with ``decoded_`` before them, unless they lie on a base find of the same kind.
 
@@ -153,12 +153,13 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     key = lambda s: (s[1], ORDER[s[0]], s[2])
     base, more = sorted(base_spans(text), key=key), set()
-    seen, work = {text}, list(decoded((text, None)))
+    seen, work = set(), list(decoded((text, None)))
     while work:
         layer = work.pop()
-        if layer[0] in seen:
+        at = (layer[0], tuple(layer[1]))
+        if at in seen:
             continue
-        seen.add(layer[0])
+        seen.add(at)
         for kind, a, b in base_spans(layer[0]):
             start, end = _origin(layer[1], a, b)
             if not any(k == kind and s < end and start < e for k, s, e in base):

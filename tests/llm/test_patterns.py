@@ -65,3 +65,18 @@ def test_nested_layers():
     for text in (urllib.parse.quote(plain, safe=""), f"x {once} y", f"x {base64.b64encode(zlib.compress(plain.encode())).decode()} y", f"x {base64.b64encode(once.encode()).decode()} y"):
         base, more = secrets.scan(text)
         assert not [s for s in base if s[0] == "assign"] and more, text
+
+
+def decoded_texts(text):
+    """Original text below each decoded find."""
+    return [text[a:b] for _, a, b in secrets.scan(text)[1]]
+
+
+def test_repeated_layers():
+    once = base64.b64encode(b"password=correcthorse1 and more words").decode()
+    percent = urllib.parse.quote("password=correcthorse1", safe="")
+    for part in (once, percent):
+        assert decoded_texts(f"x {part} y\n{part}\nz {part}") == [part] * 3
+    # equal layers below different outer ones
+    outer = [base64.b64encode(f"{k} {once}".encode()).decode() for k in "ab"]
+    assert decoded_texts(" ".join(outer)) == outer
