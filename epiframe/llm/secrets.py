@@ -3,7 +3,7 @@
 Each text is scanned for the base kinds. Encoded parts of it (percent escapes, backslash-u escapes, base64, and zlib,
 gzip, bz2 or xz data inside that) are decoded into layers, which are scanned and decoded in turn until nothing new
 comes up; a layer that was seen before at the same place is not followed again, which ends cycles. Every character of a layer knows the
-span of the original text it came from, so that a find deep inside is reported where its encoded form stands. Finds in
+span of the original text it came from, and whether it was decoded, so that a find deep inside is reported where its encoded form stands. Finds in
 layers have the kinds' names with ``decoded_`` before them, unless they lie on a base find of the same kind.
 
 Defined cases: a null or empty text has no spans; an empty table gives no rows; decompressed data of more than
@@ -20,8 +20,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -37,13 +38,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LAYER_BYTES = 1 << 24
 
 TOKEN = re.compile(r"\S+")
-ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
-#: A layer: its text, and per character the original span, or None for the original text itself.
-Layer = tuple[str, list[tuple[int, int]] | None]
+#: Per character of a layer: start and end of its original span, and whether it was decoded. None for the original text.
+Origin = tuple[np.ndarray, np.ndarray, np.ndarray] | None
+#: A layer: its text and origin.
+Layer = tuple[str, Origin]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -57,43 +59,56 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _origin(spans: list[tuple[int, int]] | None, start: int, end: int) -> tuple[int, int]:
-    if spans is None:
+def _origin(origin: Origin, start: int, end: int) -> tuple[int, int]:
+    """Original span of characters start to end of a layer; places in a layer never go backwards."""
+    if origin is None:
         return start, end
-    part = spans[start:end]
-    return min(a for a, _ in part), max(b for _, b in part)
-
-
-def _percent(text: str, at: int, end: int) -> list[tuple[str, int, int]]:
-    """Characters of a token with percent escapes decoded, and the place of each in the layer."""
-    out, k = [], at
-    while k < end:
-        m = ESCAPES.match(text, k, end)
-        if not m:
-            out.append((text[k], k, k + 1))
-            k += 1
-            continue
-        data = bytes.fromhex(m[0].replace("%", ""))
-        chars, used = data.decode("utf-8", "replace"), k
-        for c in chars:
-            n = 3 * (len(c.encode()) if c != "�" else 1)
-            out.append((c, used, min(used + n, m.end())))
-            used = min(used + n, m.end() - 1)
-        k = m.end()
-    return out
+    return int(origin[0][start]), int(origin[1][end - 1])
 
 
-def _unicode(text: str, at: int, end: int) -> list[tuple[str, int, int]]:
-    out, k = [], at
-    while k < end:
-        m = UNICODE.match(text, k, end)
-        c = chr(int(m[0][2:], 16)) if m else text[k]
-        step = 6 if m else 1
-        out.append((c if not 0xD800 <= ord(c) < 0xE000 else "�", k, k + step))
-        k += step
+def _coded(origin: Origin, start: int, end: int) -> bool:
+    """Whether a decoded character is among start to end of a layer, or beside them."""
+    return origin is None or bool(origin[2][max(0, start - 1) : end + 1].any())
+
+
+def _percent(m: re.Match) -> list[tuple[str, int, int]]:
+    """Characters of a run of percent escapes, and the place of each in the layer."""
+    out, used = [], m.start()
+    for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"):
+        n = 3 * (len(c.encode()) if c != "�" else 1)
+        out.append((c, used, min(used + n, m.end())))
+        used = min(used + n, m.end() - 1)
     return out
 
 
+def _unicode(m: re.Match) -> list[tuple[str, int, int]]:
+    c = chr(int(m[0][2:], 16))
+    return [(c if not 0xD800 <= ord(c) < 0xE000 else "�", m.start(), m.end())]
+
+
+def _unescaped(text: str, origin: Origin, at: int, end: int, pattern: re.Pattern, decode: Callable[[re.Match], list[tuple[str, int, int]]]) -> Layer:
+    """Characters at to end of a layer, with what the pattern finds decoded and the plain text beside it kept."""
+    parts, first, last, coded, k = [], [], [], [], at
+
+    def plain(to: int) -> None:
+        parts.append(text[k:to])
+        first.append(np.arange(k, to) if origin is None else origin[0][k:to])
+        last.append(np.arange(k + 1, to + 1) if origin is None else origin[1][k:to])
+        coded.append(np.zeros(to - k, bool) if origin is None else origin[2][k:to])
+
+    for m in pattern.finditer(text, at, end):
+        plain(m.start())
+        chars = decode(m)
+        spans = [_origin(origin, a, max(b, a + 1)) for _, a, b in chars]
+        parts.append("".join(c for c, _, _ in chars))
+        first.append(np.array([a for a, _ in spans], np.int64))
+        last.append(np.array([b for _, b in spans], np.int64))
+        coded.append(np.ones(len(chars), bool))
+        k = m.end()
+    plain(end)
+    return "".join(parts), (np.concatenate(first), np.concatenate(last), np.concatenate(coded))
+
+
 def unpack(data: bytes) -> bytes | None:
     """Decompressed data, data itself if it isn't compressed, None if it is broken or too large."""
     try:
@@ -133,18 +148,20 @@ def _base64(token: str) -> str | None:
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
-    """The layers inside a layer, one step down."""
-    text, spans = layer
-    percent, unicode = "%" in text and ESCAPED.search(text), "\\u" in text and UNICODE.search(text)
-    if percent or unicode:
-        for m in TOKEN.finditer(text):
-            for some, decode in ((percent and ESCAPED.search(m[0]), _percent), (unicode and UNICODE.search(m[0]), _unicode)):
-                if some:
-                    chars = decode(text, m.start(), m.end())
-                    yield "".join(c for c, _, _ in chars), [_origin(spans, a, max(b, a + 1)) for _, a, b in chars]
+    """The layers inside a layer, one step down. Escapes are decoded over the whole layer, as a find may begin or end in
+    plain text, and in each token alone, as a find may begin inside one of the whole layer's."""
+    text, origin = layer
+    for mark, pattern, decode in (("%", ESCAPES, _percent), ("\\u", UNICODE, _unicode)):
+        if mark in text and pattern.search(text):
+            yield _unescaped(text, origin, 0, len(text), pattern, decode)
+            for m in TOKEN.finditer(text):
+                if mark in m[0] and pattern.search(m[0]) and len(m[0]) < len(text):
+                    yield _unescaped(text, origin, m.start(), m.end(), pattern, decode)
     for m in BASE64.finditer(text):
-        if (inner := _base64(m[0])) is not None:
-            yield inner, [_origin(spans, m.start(), m.end())] * len(inner)
+        # one in plain text was followed a layer further up
+        if _coded(origin, m.start(), m.end()) and (inner := _base64(m[0])) is not None:
+            start, end = _origin(origin, m.start(), m.end())
+            yield inner, (np.full(len(inner), start), np.full(len(inner), end), np.ones(len(inner), bool))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -156,13 +173,13 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     seen, work = set(), list(decoded((text, None)))
     while work:
         layer = work.pop()
-        at = (layer[0], tuple(layer[1]))
+        at = hashlib.sha256(b"".join([layer[0].encode("utf-8", "surrogatepass"), *(x.tobytes() for x in layer[1])])).digest()
         if at in seen:
             continue
         seen.add(at)
         for kind, a, b in base_spans(layer[0]):
             start, end = _origin(layer[1], a, b)
-            if not any(k == kind and s < end and start < e for k, s, e in base):
+            if _coded(layer[1], a, b) and not any(k == kind and s < end and start < e for k, s, e in base):
                 more.add((f"decoded_{kind}", start, end))
         work += decoded(layer)
     return base, sorted(more, key=key)

@@ -80,3 +80,16 @@ def test_repeated_layers():
     # equal layers below different outer ones
     outer = [base64.b64encode(f"{k} {once}".encode()).decode() for k in "ab"]
     assert decoded_texts(" ".join(outer)) == outer
+
+
+def test_escapes_beside_plain_text():
+    for text in ('{"api_key": "\\u0061bcdef123"}', "password = %68unter22", "password%20= hunter22", "x \\u0074oken : 'abcdef1' y", "token = %5Cu0061bcdef"):
+        assert not secrets.scan(text)[0], text
+        (found,) = decoded_texts("plain\n" + text + "\nplain")
+        assert found.strip("{\"x'} y").startswith(text.strip("{\"x'} y")[:20]), (text, found)
+    # a token's own find stays beside a rejected one of the whole text
+    assert decoded_texts("token: token%3A%20abcdef1") == ["token%3A%20abcdef1"]
+    # what only stands near an escape is no find of a layer
+    assert secrets.scan("50%25 off\n" + "dead" * 6)[1] == []
+    (found,) = decoded_texts("é𝄞 secret = %C3%A9 password: %61bcdef")
+    assert found == "password: %61bcdef"
