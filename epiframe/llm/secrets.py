@@ -7,8 +7,9 @@ span of the original text it came from, and whether it was decoded, so that a fi
 layers have the kinds' names with ``decoded_`` before them, unless they lie on a base find of the same kind.
 
 Defined cases: a null or empty text has no spans; an empty table gives no rows; decompressed data of more than
-``LAYER_BYTES`` is not followed, as a guard against decompression bombs (plain texts of any length are scanned whole);
-repeated rows are scanned alike; extra columns stay, and columns with the names of results are replaced.
+``LAYER_BYTES`` is scanned in pieces that end after a newline, so that only a longer line than that takes more memory;
+compressed data is read member by member, broken data as far as it goes, and what follows the last member is a layer of
+its own; repeated rows are scanned alike; extra columns stay, and columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LAYER_BYTES = 1 << 24
+#: Longer decompressed data is scanned in pieces of about this size; it comes out in steps of the other.
+LAYER_BYTES, STEP_BYTES = 1 << 24, 1 << 20
 
 TOKEN = re.compile(r"\S+")
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+# the shortest find has 12 bytes
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 #: Per character of a layer: start and end of its original span, and whether it was decoded. None for the original text.
 Origin = tuple[np.ndarray, np.ndarray, np.ndarray] | None
@@ -109,42 +113,101 @@ def _unescaped(text: str, origin: Origin, at: int, end: int, pattern: re.Pattern
     return "".join(parts), (np.concatenate(first), np.concatenate(last), np.concatenate(coded))
 
 
-def unpack(data: bytes) -> bytes | None:
-    """Decompressed data, data itself if it isn't compressed, None if it is broken or too large."""
+def _packed(head: bytes) -> str | None:
+    """Kind of compression that data begins with."""
+    if head[:2] in (b"\x1f\x8b", b"x\x01", b"x^", b"x\x9c", b"x\xda"):
+        return "zlib"
+    return "bz2" if head[:3] == b"BZh" else "xz" if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(chunks: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
+    """Chunks of compressed data decompressed, member after member, as far as it isn't broken; data after the last
+    member goes to rest."""
+    d, kind, data = None, None, b""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:2] in (b"x\x01", b"x^", b"x\x9c", b"x\xda"):
-            d = zlib.decompressobj(47)
-            return _rest(d.decompress(data, LAYER_BYTES), d.unconsumed_tail)
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return _rest(d.decompress(data, LAYER_BYTES), not d.eof)
-        if data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-            return _rest(d.decompress(data, LAYER_BYTES), not d.eof)
+        for chunk in chunks:
+            data += chunk
+            while data:
+                if d is None:
+                    data = data.lstrip(b"\0")  # padding between members
+                    if len(data) < 6 and (more := next(chunks, b"")):
+                        data += more
+                        continue
+                    if (kind := _packed(data)) is None:
+                        rest.append(data)
+                        return
+                    d = zlib.decompressobj(47) if kind == "zlib" else bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor()
+                yield d.decompress(data, STEP_BYTES)
+                if kind == "zlib":
+                    data = d.unused_data if d.eof else d.unconsumed_tail
+                    # output can be held back although all input was taken
+                    while not d.eof and not data and (more := d.decompress(b"", STEP_BYTES)):
+                        yield more
+                        data = d.unused_data if d.eof else d.unconsumed_tail
+                else:
+                    while not d.eof and not d.needs_input:
+                        yield d.decompress(b"", STEP_BYTES)
+                    data = d.unused_data if d.eof else b""
+                if d.eof:
+                    d = None
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return data
+        return
+
+
+def unpack(chunks: Iterable[bytes], above: frozenset[bytes] = frozenset()) -> Iterator[bytes | None]:
+    """Chunks of decompressed data, or of data itself if it isn't compressed, and None at the end of each run of it.
+    Data compressed again and again is followed until it begins like one further out, which ends cycles."""
+    chunks, head = iter(chunks), b""
+    while len(head) < STEP_BYTES and (chunk := next(chunks, None)) is not None:
+        head += chunk
+    if not head:
+        return
+    at = hashlib.sha256(head).digest()
+    if _packed(head) is None or at in above:
+        yield head
+        yield from chunks
+        yield None
+        return
+    rest: list[bytes] = []
+    try:
+        yield from unpack(_inflated(itertools.chain([head], chunks), rest), above | {at})
+    except RecursionError:
+        yield None
+        return
+    if rest:
+        yield from unpack(itertools.chain(rest, chunks))
 
 
-def _rest(data: bytes, more) -> bytes | None:
-    return None if more else data
+def _printable(data: bytes | bytearray) -> Iterator[str]:
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return
+    if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text):
+        yield text
 
 
-def _base64(token: str) -> str | None:
+def _base64(token: str) -> Iterator[str]:
+    """Texts in a base64 token: one, or more if it holds several runs of data or more than LAYER_BYTES, which are cut
+    after a newline, as no find and no encoding goes over one."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     try:
         data = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "=" * (-(len(body) - (len(body) % 4 == 1)) % 4))
     except (binascii.Error, ValueError):
-        return None
-    while (plain := unpack(data)) is not None and plain != data:  # compressed again and again
-        data = plain
-    if plain is None:
-        return None
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+        return
+    held, cut = bytearray(), 0
+    for chunk in unpack([data]):
+        if chunk is None:
+            yield from _printable(held)
+            held, cut = bytearray(), 0
+            continue
+        if (k := chunk.rfind(b"\n")) >= 0:
+            cut = len(held) + k + 1
+        held += chunk
+        if len(held) > LAYER_BYTES and cut:
+            yield from _printable(held[:cut])
+            held, cut = held[cut:], 0
+    yield from _printable(held)
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
@@ -159,8 +222,10 @@ def decoded(layer: Layer) -> Iterator[Layer]:
                     yield _unescaped(text, origin, m.start(), m.end(), pattern, decode)
     for m in BASE64.finditer(text):
         # one in plain text was followed a layer further up
-        if _coded(origin, m.start(), m.end()) and (inner := _base64(m[0])) is not None:
-            start, end = _origin(origin, m.start(), m.end())
+        if not _coded(origin, m.start(), m.end()):
+            continue
+        start, end = _origin(origin, m.start(), m.end())
+        for inner in _base64(m[0]):
             yield inner, (np.full(len(inner), start), np.full(len(inner), end), np.ones(len(inner), bool))
 
 
@@ -170,9 +235,12 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     key = lambda s: (s[1], ORDER[s[0]], s[2])
     base, more = sorted(base_spans(text), key=key), set()
-    seen, work = set(), list(decoded((text, None)))
+    seen, work = set(), [decoded((text, None))]
+    # generators, so that one layer of each depth is held at a time
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         at = hashlib.sha256(b"".join([layer[0].encode("utf-8", "surrogatepass"), *(x.tobytes() for x in layer[1])])).digest()
         if at in seen:
             continue
@@ -181,7 +249,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
             start, end = _origin(layer[1], a, b)
             if _coded(layer[1], a, b) and not any(k == kind and s < end and start < e for k, s, e in base):
                 more.add((f"decoded_{kind}", start, end))
-        work += decoded(layer)
+        work.append(decoded(layer))
     return base, sorted(more, key=key)
 
 

@@ -1,7 +1,10 @@
 """Operators 7 and 9: base spans against the contract's patterns, and what the methods add."""
 
 import base64
+import bz2
+import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -93,3 +96,34 @@ def test_escapes_beside_plain_text():
     assert secrets.scan("50%25 off\n" + "dead" * 6)[1] == []
     (found,) = decoded_texts("é𝄞 secret = %C3%A9 password: %61bcdef")
     assert found == "password: %61bcdef"
+
+
+def test_short_base64():
+    for plain in (b"token=abc123", b"token=abc1234", b"token=abc12345"):
+        once = base64.b64encode(plain).decode()
+        for part in (once, once.rstrip("="), base64.b64encode(once.encode()).decode()):
+            (found,) = decoded_texts(f"x {part} y")
+            assert found == part
+
+
+def test_members_and_large_layers(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1 << 18)
+    plain, large = b"password=correcthorse1\n", b"a plain line of words\n" * 20_000
+    assert len(large) > secrets.LAYER_BYTES
+    for pack in (zlib.compress, gzip.compress, bz2.compress, lzma.compress):
+        for data in (pack(b"one\n") + pack(plain), pack(b"one\n") + b"\0" * 4 + pack(b"two\n") + bz2.compress(plain), pack(b"one\n") + plain, pack(b"pass") + pack(b"word=correcthorse1")):
+            part = base64.b64encode(data).decode()
+            assert decoded_texts(f"x {part} y")[:1] == [part], (pack, data)
+        part = base64.b64encode(pack(pack(large + plain))).decode()
+        assert decoded_texts(f"x {part} y") == [part], pack
+    assert list(secrets._base64(base64.b64encode(zlib.compress(plain * 9)[:-8]).decode())) != []
+
+
+def test_pieces_lose_nothing(monkeypatch):
+    text = "".join(f"line {k} é\n" for k in range(300))
+    part = base64.b64encode(gzip.compress(text.encode())).decode()
+    assert list(secrets._base64(part)) == [text]
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 100)
+    monkeypatch.setattr(secrets, "STEP_BYTES", 7)
+    pieces = list(secrets._base64(part))
+    assert len(pieces) > 10 and "".join(pieces) == text and all(p.endswith("\n") for p in pieces)
