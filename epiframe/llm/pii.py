@@ -2,9 +2,9 @@
 
 The field labels words as email, phone, card, ip, name or other from the shapes of a word and its two neighbours, and
 from the label before it. It is trained on the small labelled table below (``TRAINING``) by gradient ascent on the
-likelihood, on the driver, in about a second and alike each time; tasks get its weights. Plain words (lower-case
-letters that are no cue) are other by definition, so decoding falls into the runs of words between them, and Viterbi
-steps through all runs of a batch at once in numpy. Runs of one label are spans ``crf_<label>``; those on a base span
+likelihood, on the driver, in about a second and alike each time; tasks get its weights. The best labels of a whole text
+are decoded. Where a word's scores make it other whatever the labels beside it, the chain falls apart without a change of
+the result, and Viterbi steps through all runs of words between, or whole texts, in numpy at once. Runs of one label are spans ``crf_<label>``; those on a base span
 are left out.
 
 Defined cases: a null or empty text has no spans; an empty table gives no rows; repeated rows are judged alike; extra
@@ -69,8 +69,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # Word shapes. Bytes have classes; counts of classes in a word, less its final punctuation, give the shape.
-CLASS = np.full(256, 7, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 @, 4 dot, 5 dash or bracket or plus, 6 other punctuation, 7 other
-CLASS[list(range(97, 123)) + list(range(128, 256))] = 0
+CLASS = np.full(256, 7, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 @, 4 dot, 5 dash or bracket or plus, 6 other punctuation, 7 other, 8 inside a character
+CLASS[list(range(97, 123)) + list(range(192, 256))] = 0
+CLASS[128:192] = 8
 CLASS[list(range(65, 91))] = 1
 CLASS[list(range(48, 58))] = 2
 CLASS[ord("@")], CLASS[ord(".")] = 3, 4
@@ -79,16 +80,35 @@ CLASS[list(b",;:!?'\"")] = 6
 SHAPES = "plain capital upper digits2 digits3 digits4 digits11 digits19 dotted phonelike address at_sign mixed symbols".split()
 CUES = {"name": "name mr mrs ms dr contact", "tel": "call phone tel fax mobile telephone", "at": "at [at] (at)", "dot": "dot [dot] (dot)", "pay": "card visa mastercard amex", "mail": "email mail e-mail", "host": "ip host server"}
 FEATURES = [*SHAPES, *CUES, "edge"]
-PLAIN, EDGE = 0, len(FEATURES) - 1
+EDGE = len(FEATURES) - 1
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 _CUES = {w.encode(): len(SHAPES) + i for i, (k, v) in enumerate(CUES.items()) for w in v.split()}
 _LONGEST = max(map(len, _CUES))
 
 
+@functools.cache
+def _capitals() -> np.ndarray:
+    """Whether each code point is a capital."""
+    return np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x110000)])
+
+
+def _classes(raw: np.ndarray) -> np.ndarray:
+    """Class of each byte; a character of several bytes has it at the first, 0 or, of capitals, 1."""
+    kind = CLASS[raw]
+    for low, high, mask, size in ((192, 224, 0x1F, 2), (224, 240, 0x0F, 3), (240, 256, 0x07, 4)):
+        at = np.flatnonzero((raw >= low) & (raw < high))
+        if len(at):
+            point = (raw[at] & mask).astype(np.int64)
+            for k in range(1, size):
+                point = point << 6 | raw[at + k] & 0x3F
+            kind[at[_capitals()[point]]] = 1
+    return kind
+
+
 def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of words given as byte spans, and the words' ends without final punctuation."""
-    kind = CLASS[raw]
+    kind = _classes(raw)
     final = np.isin(raw, np.frombuffer(b".,;:!?", np.uint8))
     # the last byte that is not final punctuation, or the start
     solid = np.where(final, -1, np.arange(len(raw)))
@@ -96,7 +116,8 @@ def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     stop = np.maximum(solid[ends - 1] + 1, starts) if len(ends) else ends
     count = lambda k: (c := np.concatenate([[0], np.cumsum(kind == k)]))[stop] - c[starts]
     low, up, dig, at, dot, dash, punct = (count(k) for k in range(7))
-    size = stop - starts
+    length = stop - starts
+    size = length - count(8)
     f = np.full(len(starts), FEATURES.index("symbols"))
     put = lambda name, where: np.putmask(f, where, FEATURES.index(name))
     put("mixed", (dig > 0) & (low + up > 0))
@@ -109,7 +130,7 @@ def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     put("plain", (low + punct + dash == size) & (low > 0) | (size == 0))
     put("at_sign", at > 0)
     put("address", (at == 1) & (dot > 0) & (low + up + dig > 2))
-    for k in np.flatnonzero((size <= _LONGEST) & (size >= 2) & (dig == 0)):
+    for k in np.flatnonzero((length <= _LONGEST) & (length >= 2) & (dig == 0)):
         cue = _CUES.get(bytes(raw[starts[k] : stop[k]]).lower())
         if cue is not None:
             f[k] = cue
@@ -241,31 +262,46 @@ def train(rounds: int = 150, rate: float = 0.5, penalty: float = 0.01) -> tuple[
     return w, t
 
 
-def viterbi(f: np.ndarray, first: np.ndarray, last: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Labels of all words, those outside the runs first to last (exclusive) being other; all runs step together.
-    Words before and after a run are other."""
+def tables(weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By the features before, here and after: scores (.., labels), and whether the word is other for certain: whatever
+    the labels beside it, other is worth more than any label with both its transitions. An edge has no transition."""
+    scores = weights[0][:, None, None] + weights[1][None, :, None] + weights[2][None, None, :]
+    enter, leave = np.tile((moves - moves[:, :1]).max(0), (len(FEATURES), 1)), np.tile((moves - moves[:1]).max(1), (len(FEATURES), 1))
+    enter[EDGE] = leave[EDGE] = 0
+    rival = (scores - scores[..., :1] + enter[:, None, None] + leave[None, None])[..., 1:]
+    return scores, (rival < -1e-9).all(-1)
+
+
+def viterbi(f: np.ndarray, doc: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Labels of all words, decoded over each text; the runs of words between certain ones step together."""
     labels = np.zeros(len(f), np.int64)
+    if not len(f):
+        return labels
+    scores, certain = tables(weights, moves)
+    opens, closes = np.diff(doc, prepend=-1) != 0, np.diff(doc, append=-1) != 0
+    before, after = np.where(opens, EDGE, np.roll(f, 1)), np.where(closes, EDGE, np.roll(f, -1))
+    odd = ~certain[before, f, after]
+    first = np.flatnonzero(odd & (opens | ~np.roll(odd, 1)))
+    last = np.flatnonzero(odd & (closes | ~np.roll(odd, -1))) + 1
     if not len(first):
         return labels
-    padded = np.concatenate([[EDGE], f, [EDGE]])
     order = np.argsort(first - last, kind="stable")  # longest first
     first, last = first[order], last[order]
     size, n = last - first, len(LABELS)
     score, back = None, []
-    alive = len(first)
     final = np.empty((len(first), n))
     for k in range(int(size[0])):
         alive = int(np.searchsorted(-size, -k, "left"))
-        at = first[:alive] + k + 1
-        e = weights[0][padded[at - 1]] + weights[1][padded[at]] + weights[2][padded[at + 1]]
+        at = first[:alive] + k
+        e = scores[before[at], f[at], after[at]]
         if k == 0:
-            score = e + moves[0]
+            score = e + np.where(opens[at][:, None], 0, moves[0])
         else:
             paths = score[:alive, :, None] + moves[None]
             back.append(paths.argmax(1))
             score = paths.max(1) + e
         final[:alive] = score
-    now = (final + moves[:, 0]).argmax(1)
+    now = (final + np.where(closes[last - 1][:, None], 0, moves[:, 0])).argmax(1)
     for k in range(int(size[0]) - 1, -1, -1):
         alive = int(np.searchsorted(-size, -k, "left"))
         labels[first[:alive] + k] = now[:alive]
@@ -283,10 +319,7 @@ def crf_spans(texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) ->
     f, stops = shapes(raw, starts, ends)
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in data])])
     doc = np.searchsorted(bounds, starts, "right") - 1
-    odd = f != PLAIN
-    turn = (np.diff(odd.astype(np.int8), prepend=0) == 1) | odd & (np.diff(doc, prepend=-1) != 0)
-    over = (np.diff(odd.astype(np.int8), append=0) == -1) | odd & (np.diff(doc, append=-1) != 0)
-    labels = viterbi(f, np.flatnonzero(turn), np.flatnonzero(over) + 1, *model)
+    labels = viterbi(f, doc, *model)
     on = np.flatnonzero(labels)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not len(on):

@@ -9,6 +9,8 @@ import re
 import urllib.parse
 import zlib
 
+import numpy as np
+
 from epiframe.llm import pii, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -127,3 +129,49 @@ def test_pieces_lose_nothing(monkeypatch):
     monkeypatch.setattr(secrets, "STEP_BYTES", 7)
     pieces = list(secrets._base64(part))
     assert len(pieces) > 10 and "".join(pieces) == text and all(p.endswith("\n") for p in pieces)
+
+
+def best_labels(words, model):
+    """Viterbi over one text, word by word."""
+    weights, moves = model
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
+    f, _ = pii.shapes(raw, ends - [len(w.encode()) for w in words], ends)
+    f = [pii.EDGE, *f, pii.EDGE]
+    e = [weights[0][f[k - 1]] + weights[1][f[k]] + weights[2][f[k + 1]] for k in range(1, len(f) - 1)]
+    score, back = e[0], []
+    for x in e[1:]:
+        paths = score[:, None] + moves
+        back.append(paths.argmax(0))
+        score = paths.max(0) + x
+    out = [int(score.argmax())]
+    for b in reversed(back):
+        out.append(int(b[out[-1]]))
+    return [pii.LABELS[k] for k in reversed(out)]
+
+
+def test_chain_over_whole_texts():
+    model, rng = pii.train(), np.random.default_rng(3)
+    some = [w.rpartition("/")[0] or w for w in pii.TRAINING.split()] + ["Émile", "élan", "ÉCOLE", "Ωmega", "naïve", "—"]
+    texts = [list(rng.choice(some, n)) for n in rng.integers(1, 60, 300)] + [["mail", "jdoe", "at", "example", "dot", "org", "now"]]
+    for words, spans in zip(texts, pii.crf_spans([" ".join(w) for w in texts], model)):
+        text, want, at = " ".join(words), [], 0
+        for word, label in zip(words, best_labels(words, model)):
+            if label != "other":
+                end = at + len(word.rstrip(".,;:!?") or word[:0])
+                if want and want[-1][0] == f"crf_{label}" and want[-1][3] == at - 1:
+                    want[-1] = (want[-1][0], want[-1][1], end, at + len(word))
+                else:
+                    want.append((f"crf_{label}", at, end, at + len(word)))
+            at += len(word) + 1
+        assert spans == [x[:3] for x in want], text
+
+
+def test_lower_case_addresses_and_accented_names():
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.crf_spans([text], pii.train())[0]]
+    assert found("mail jdoe at example dot org now") == [("crf_email", "jdoe at example dot org")]
+    for name in ("Émile Ångström", "Олег Иванов", "Ωmega Ḁbc", "𐐀𐐨 Éa"):
+        assert found(f"Contact {name} about it") == [("crf_name", name)]
+        assert found(f"My name is {name} and more") == [(k, name) for k, _ in found("My name is Mary Jones and more")]
+    # a text's result does not hang on the text before it in its batch
+    assert pii.crf_spans(["name", "John Smith"], pii.train())[1] == pii.crf_spans(["John Smith"], pii.train())[0]
