@@ -5,8 +5,9 @@ over the tokens of labelled URLs (host labels, path parts, query keys) finds tok
 label with enough confidence, support and lift. An inverted index from each rule's rarest token to the rule gives a
 URL's candidate rules; one whose tokens the URL all has blocks it.
 
-Rules are a model of bounded size: at most ``MAX_RULES``, of at most ``MAX_TOKENS`` tokens, fitted on about
-``LABELLED_ROWS`` labelled pages at most, chosen by a hash of their id. Everything runs as DataFrame functions.
+Rules have at most ``MAX_TOKENS`` tokens and are fitted on about ``LABELLED_ROWS`` labelled pages at most, chosen by a
+hash of their id. All that pass are kept but those that hold another one's tokens; as each needs its share of the
+labelled pages, their number doesn't grow with the tables. Everything runs as DataFrame functions.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no fixed rule and is allowed; an
 empty table gives no rows; without labels no rule is mined; repeated rows are judged alike; extra columns stay.
@@ -28,7 +29,7 @@ LABELLED_ROWS = 100_000
 #: A rule needs this share of the labelled pages, and this many of them.
 MIN_SUPPORT, MIN_PAGES = 0.002, 25
 MIN_CONFIDENCE, MIN_LIFT = 0.8, 1.5
-MAX_RULES, MAX_TOKENS = 500, 3
+MAX_TOKENS = 3
 BAD = "label:bad"
 
 
@@ -62,6 +63,15 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def minimal(rules: DataFrame) -> DataFrame:
+    """Rules (sorted tokens) without those that hold another rule's tokens, which add nothing."""
+    part = lambda m: F.filter("tokens", lambda x, k: F.floor(m / F.pow(F.lit(2), k)) % 2 == 1)
+    longer = rules.where(F.size("tokens") > 1).withColumn("_all", F.pow(F.lit(2), F.size("tokens")).cast("int"))
+    parts = longer.select("tokens", F.explode(F.transform(F.sequence(F.lit(1), F.col("_all") - 2), part)).alias("part"))
+    more = parts.join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("tokens").distinct()
+    return rules.join(more, "tokens", "left_anti")
+
+
 def mine_rules(pages: DataFrame, labels: DataFrame) -> list[list[str]]:
     """Token combinations that imply a bad page (toxic, or of low quality), rarest token first."""
     known = labels.select(F.col("doc_id").alias("_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")).alias("_label"))
@@ -75,9 +85,8 @@ def mine_rules(pages: DataFrame, labels: DataFrame) -> list[list[str]]:
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(rows)
     rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= MIN_LIFT))
-    found = [sorted(r[0]) for r in rules.orderBy(F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(MAX_RULES).select("antecedent").collect()]
-    # a rule that holds another rule's tokens adds nothing
-    found = [r for r in found if not any(set(o) < set(r) for o in found)]
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens")), "url-rules")
+    found = [list(r[0]) for r in minimal(rules).orderBy("tokens").collect()]
     singles = model.freqItemsets.where(F.size("items") == 1)
     wanted = sorted({t for r in found for t in r})
     freq = {r[0][0]: r[1] for r in singles.where(F.col("items")[0].isin(wanted)).collect()} if wanted else {}

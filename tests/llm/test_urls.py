@@ -39,3 +39,18 @@ def test_mined_rules(spark):
 
 def test_empty(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_many_redundant_rules(spark):
+    """Four sources of ten tokens each have 700 rules of greater support than the last one's."""
+    hot = [f"http://h{'abcd'[k % 4]}/" + "/".join(f"{'abcd'[k % 4]}{x}" for x in "pqrstuvwx") for k in range(240)]
+    rows = list(enumerate(hot + ["http://cold/only"] * 30 + ["http://fine/read"] * 300))
+    labels = [(k, 1, int(k < 270)) for k, _ in rows]
+    df = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {(r.url, r.verdict) for r in df.collect()} == {(u, "allow" if "fine" in u else "block") for _, u in rows}
+
+
+def test_minimal_rules(spark):
+    rules = [["a"], ["a", "b"], ["b", "c"], ["b", "c", "d"], ["c", "d", "e"], ["a", "x", "y"], ["f", "g", "h"], ["f", "h"]]
+    got = urls.minimal(spark.createDataFrame([(r,) for r in rules], "tokens array<string>")).collect()
+    assert sorted(r.tokens for r in got) == [["a"], ["b", "c"], ["c", "d", "e"], ["f", "h"]]
