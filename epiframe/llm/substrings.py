@@ -13,7 +13,7 @@ of them, its anchor, and its source coordinate (document and place). Equal windo
 4. consecutive removed edges that also stand side by side in their source, and do not branch, compact into one path by
    joins and row positions; paths are what a document's text is cut by.
 
-All of it is exact but for collisions of 128-bit hashes. Nothing is emitted in pairs: a passage in n documents gives
+All of it is exact but for collisions of 64-bit word hashes, from which both stretch hashes are built. Nothing is emitted in pairs: a passage in n documents gives
 n rows. Texts are not shuffled unless there are more documents with passages than may be broadcast.
 
 Defined cases: a null or short text has no windows; rows that repeat a doc_id are one document, so that they remove
