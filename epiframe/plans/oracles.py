@@ -174,7 +174,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS po
 SELECT conv_id, CAST(n AS INT) AS candidates, CAST(pos AS INT) AS chosen, turn FROM r WHERE k = 1"""
 SQL["prompt_text"] = """SELECT event_id, 'Task: ' || event_type || ' States: ' || repeat('<state>', event_id % 4) || printf(' fx:%.2f fy:%.2f cx:%.2f cy:%.2f', value, value / 3, 320.0, 240.0) AS prompt FROM events"""
 SQL["label_mask_subsequence"] = """
-WITH w AS (SELECT doc_id, string_split(text, ' ')[1:40] AS w FROM documents), a AS (SELECT *, least(len(w), doc_id % 40) AS p FROM w),
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), a AS (SELECT *, least(len(w), doc_id % 40) AS p FROM w),
 t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN len(w) ELSE p + 3 END AS start, CASE WHEN doc_id % 5 = 0 THEN [] ELSE w[p + 1 :] END AS kept FROM a)
 SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(len(list_filter(kept, lambda x: length(x) > 0)) AS BIGINT) AS kept, CAST(coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) AS BIGINT) AS total FROM t"""
 SQL["prefix_delay_forced"] = f"""WITH {_PRED} SELECT CAST(step AS INT) AS step, count(*) AS n, max(CASE WHEN step < 2 THEN 1.0 ELSE 0.5 END)::DOUBLE AS time, count(*) FILTER (step >= 2 AND valid) AS n_loss, round(sum(CASE WHEN step < 2 THEN gt ELSE 0 END), 6) AS prefix_sum FROM pd GROUP BY step"""
