@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,14 @@ def small_side(df: DataFrame, weight: Column | None = None, rows: int = BROADCAS
     return F.broadcast(df) if n <= rows and items <= 4 * rows else df
 
 
+def own_name(taken: Iterable[str], name: str) -> str:
+    """A name for a working column that clashes with none of the caller's, whatever their case."""
+    low = {c.lower() for c in taken}
+    while (name := f"_{name}").lower() in low:
+        pass
+    return name
+
+
 def open_out(uri: str):
     """A binary output stream on any file system that pyarrow knows; parent folders are made."""
     from pyarrow import fs

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from epiframe.llm import substrings
@@ -61,5 +62,34 @@ def test_documents(spark, sf):
     assert run(spark, rows) == brute(rows)
 
 
+def test_unequal_words_of_one_short_hash(spark):
+    """Words that a polynomial modulo 2^64 can't tell apart, whatever its multiplier: only their digests differ."""
+    word, other = "a", "b"
+    for _ in range(10):
+        word, other = word + other, other + word
+    one, two = (substrings.Spans(np.frombuffer(w.encode(), np.uint8).astype(np.uint64) + np.uint64(1), substrings.ODD1)(np.array([0]), np.array([len(w)])) for w in (word, other))
+    assert word != other and one == two
+    fill = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join([*fill, word, *fill])), (2, " ".join([*fill, other, *fill]))]
+    assert [r[2] for r in run(spark, rows)] == [0, 0] and run(spark, rows) == brute(rows)
+
+
+def test_long_paths_compact(spark):
+    """A passage of many edges is one path, and a branch in the middle of it parts it."""
+    r = random.Random(5)
+    long = [f"x{r.randrange(10**6)}" for _ in range(2000)]
+    rows = [(k, " ".join([f"p{k}", *long, f"q{k}"])) for k in range(5)] + [(9, " ".join(long[:1000]))]
+    assert run(spark, rows) == brute(rows)
+    paths = substrings.repeated_paths(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = [p for p in paths if p.edges and p.doc_id == 4]
+    assert max(p.edges for p in whole) > 20 and len(whole) <= 6 and all(p.source_id == 0 for p in whole)
+
+
+def test_clashing_names(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(60)), "a", "b", "c"), (2, " ".join(f"w{k}" for k in range(60)), "d", "e", "f")]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, _doc string, _CUTS string, _row string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r["_doc"], r["_CUTS"], r["_row"]) for r in out) == [(1, 0, "a", "b", "c"), (2, 60, "d", "e", "f")]
+
+
 def test_empty(spark):
     assert run(spark, []) == []
