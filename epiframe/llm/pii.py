@@ -1,11 +1,10 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes (operator 9).
 
-The field labels words as email, phone, card, ip, name or other from the shapes of a word and its two neighbours, and
-from the label before it. It is trained on the small labelled table below (``TRAINING``) by gradient ascent on the
-likelihood, on the driver, in about a second and alike each time; tasks get its weights. The best labels of a whole text
-are decoded. Where a word's scores make it other whatever the labels beside it, the chain falls apart without a change of
-the result, and Viterbi steps through all runs of words between, or whole texts, in numpy at once. Runs of one label are spans ``crf_<label>``; those on a base span
-are left out.
+The field labels words as email, phone, card, ip, name or other from the shapes of a word and its two neighbours (with
+cue words such as "phone" or "Herr" as shapes of their own), and from the label before it. It is trained on the small
+labelled table below (``TRAINING``) by gradient ascent on the likelihood, on the driver, in some seconds and alike each
+time; tasks get its weights. The best labels of a whole text are decoded, exactly, block by block in numpy. Runs of one
+label are spans ``crf_<label>``; those on a base span are left out.
 
 Defined cases: a null or empty text has no spans; an empty table gives no rows; repeated rows are judged alike; extra
 columns stay, and columns with the names of results are replaced.
@@ -77,14 +76,50 @@ CLASS[list(range(48, 58))] = 2
 CLASS[ord("@")], CLASS[ord(".")] = 3, 4
 CLASS[list(b"-()+")] = 5
 CLASS[list(b",;:!?'\"")] = 6
-SHAPES = "plain capital upper digits2 digits3 digits4 digits11 digits19 dotted phonelike address at_sign mixed symbols".split()
-CUES = {"name": "name mr mrs ms dr contact", "tel": "call phone tel fax mobile telephone", "at": "at [at] (at)", "dot": "dot [dot] (dot)", "pay": "card visa mastercard amex", "mail": "email mail e-mail", "host": "ip host server"}
-FEATURES = [*SHAPES, *CUES, "edge"]
+SHAPES = "plain capital upper digits2 digits3 digits4 digits11 digits12 digits16 digits19 dotted phonelike phonelong address at_sign mixed symbols".split()
+#: Words of the four languages that say what stands beside them.
+CUES = {
+    "name": "name mr mrs ms miss dr prof sir contact dear hello hi regards author nom monsieur madame mme herr frau sehr nombre señor señora don doña",
+    "tel": "call phone tel fax mobile telephone cell dial telefon handy tél téléphone mobil teléfono móvil anruf",
+    "at": "at [at] (at) {at} arroba", "dot": "dot [dot] (dot) {dot} punkt punto",
+    "pay": "card visa mastercard amex credit karte kreditkarte carte tarjeta iban account", "mail": "email mail e-mail write courriel correo", "host": "ip host server address router",
+    "ref": "order invoice id ref isbn number no item tracking serial bestellung commande pedido", "link": "is was ist est es war",
+}
+FEATURES = [*SHAPES, *CUES, "named", "spelled", "numbered", "edge"]
 EDGE = len(FEATURES) - 1
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-_CUES = {w.encode(): len(SHAPES) + i for i, (k, v) in enumerate(CUES.items()) for w in v.split()}
-_LONGEST = max(map(len, _CUES))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Longest cue in bytes, as two numbers of 8 bytes.
+_LONGEST = 16
+
+
+def _cue_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cues as pairs of 8-byte numbers in order of the first, and their features."""
+    words = {w.encode(): FEATURES.index(k) for k, v in CUES.items() for w in v.split()}
+    keys = np.frombuffer(b"".join(w.ljust(_LONGEST, b"\0") for w in words), "<u8").reshape(-1, 2)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    return keys[order, 0] ^ keys[order, 1] * np.uint64(0x9E3779B97F4A7C15), keys[order], np.array(list(words.values()))[order]
+
+
+def _cues(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Feature of each word that is a cue in either case of ASCII letters, else -1."""
+    mixed, keys, feature = _cue_table()
+    order = np.argsort(mixed)
+    mixed, keys, feature = mixed[order], keys[order], feature[order]
+    out = np.full(len(starts), -1)
+    for k in range(0, len(starts), 1 << 16):
+        on = np.flatnonzero((length[k : k + (1 << 16)] <= _LONGEST) & (length[k : k + (1 << 16)] > 0)) + k
+        at = starts[on, None] + np.arange(_LONGEST)
+        letters = LOWER[raw[np.minimum(at, len(raw) - 1)]]
+        letters[np.arange(_LONGEST) >= length[on, None]] = 0
+        pair = np.ascontiguousarray(letters).view("<u8")
+        h = pair[:, 0] ^ pair[:, 1] * np.uint64(0x9E3779B97F4A7C15)
+        j = np.minimum(np.searchsorted(mixed, h), len(mixed) - 1)
+        same = (keys[j] == pair).all(1)
+        out[on[same]] = feature[j[same]]
+    return out
 
 
 @functools.cache
@@ -122,32 +157,67 @@ def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     put = lambda name, where: np.putmask(f, where, FEATURES.index(name))
     put("mixed", (dig > 0) & (low + up > 0))
     put("phonelike", (dig >= 3) & (dash > 0) & (low + up + at == 0))
+    put("phonelong", (dig >= 9) & (dash > 0) & (low + up + at == 0))
     put("dotted", (dig >= 4) & (dot >= 3) & (dig + dot == size))
-    for name, a, b in (("digits2", 1, 2), ("digits3", 3, 3), ("digits4", 4, 4), ("digits11", 5, 11), ("digits19", 12, 19)):
+    for name, a, b in (("digits2", 1, 2), ("digits3", 3, 3), ("digits4", 4, 4), ("digits11", 5, 11), ("digits12", 12, 12), ("digits16", 13, 16), ("digits19", 17, 19)):
         put(name, (dig == size) & (dig >= a) & (dig <= b))
     put("upper", (up == size) & (up > 1))
     put("capital", (up == 1) & (low + up + punct == size) & ((kind[starts] == 1) if len(starts) else False))
     put("plain", (low + punct + dash == size) & (low > 0) | (size == 0))
     put("at_sign", at > 0)
     put("address", (at == 1) & (dot > 0) & (low + up + dig > 2))
-    for k in np.flatnonzero((length <= _LONGEST) & (length >= 2) & (dig == 0)):
-        cue = _CUES.get(bytes(raw[starts[k] : stop[k]]).lower())
-        if cue is not None:
-            f[k] = cue
-    return f, stop
+    cue = _cues(raw, starts, length)
+    return np.where(cue >= 0, cue, f), stop
+
+
+def in_context(f: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Features of words by those beside them in their text: "is" after a name's cue says that a name follows, and "at"
+    two words before "dot" is one in a spelled address, "number" after a card is its number's cue; any other "is" is a
+    plain word."""
+    number, out = FEATURES.index, f.copy()
+    link = f == number("link")
+    named = link & (np.roll(f, 1) == number("name")) & (np.diff(doc, prepend=-1) == 0)
+    out[link] = np.where(named[link], number("named"), number("plain"))
+    far = (np.roll(f, -2) == number("dot")) & (np.roll(doc, -2) == doc)
+    far[-2:] = False
+    out[(f == number("at")) & far] = number("spelled")
+    paid = (f == number("ref")) & (np.roll(f, 1) == number("pay")) & (np.diff(doc, prepend=-1) == 0)
+    out[paid] = number("numbered")
+    return out
 
 
 #: The labelled table: words, each with the first letter of its label after a slash where it is not other.
 TRAINING = """
 Write to bob.42@mail.example.com/e today
 her address is a.b@x.org/e and the other one
-Email jane at/e example/e dot/e com/e for it
+Email jane/e at/e example/e dot/e com/e for it
 mail jdoe/e at/e example/e dot/e org/e now
 email Peter/e [at]/e corp/e [dot]/e net/e soon
+or by mail: mary.k/e (at)/e site/e (dot)/e org/e please
+reach me under tom/e at/e company/e dot/e net/e any day
+her mail is mia/e at/e lake/e dot/e net/e again
+the mail was late
+write anna/e [at]/e web/e [dot]/e de/e to her
+correo luis/e arroba/e dominio/e punto/e es/e hoy
+schreib an uwe/e at/e firma/e punkt/e de/e bitte
+send it to k99/e at/e mail/e dot/e com/e tonight
+you can mail max/e at/e island/e dot/e org/e and then we will see what can be done about all of it in the time that is left to us
+write to eve/e (at)/e valley/e (dot)/e com/e if there is more to say about the way that they went on from there to the end of the long road
+some of the people who came that day went home again before the rain began and the others stayed on until the lamps were lit in the street
+the road goes on and on down from the door where it began and now far ahead the road has gone and we must follow if we can
+nobody knew what to make of it but they went along with the plan and so it came that the old bridge was built anew
 we meet at noon
 They stood at The gate of it
+we looked at all of it and left
+he is at home and she is at work
 a dot on it
+the dot and the line
 look at Monday and a dot there
+at the dot we stop
+punkt und komma sind da
+un punto es un punto
+mail the letter at once
+write it down at night
 call +1/p (555)/p 123-4567/p after five
 phone (212)/p 555-0182/p or come
 tel 212-555-0182/p is mine
@@ -155,32 +225,88 @@ Call 555/p 123/p 4567/p tonight
 mobile 0171/p 5551234/p works
 fax 030/p 1234567/p please
 phone 5551234567/p is hers
+call 5550134/p before noon
+cell: 555-0199/p
 the number +44/p 20/p 7946/p 0958/p is his
+reach us under (030)/p 555-7788/p today
+Telefon 089/p 555123/p am Abend
+tél 01/p 55/p 50/p 12/p 34/p demain
+teléfono 915/p 550/p 123/p siempre
+dial 555/p 0147/p and wait
+or on 555/p 204/p 7788/p then
+she has 212-555-0144/p as well
+or 0171-5550-199/p then
+between 100-200 of them
 in 2019 there were 300 of them
 about 12 of 45 and 1200 more
+from 1999 to 2005 it grew
+the sum is 45000 in all
 page 123 of 4567 there
 on 12 March 1999 it was
 chapter 4 has 1234 words
+we paid 250 and 75 for it
+there were 12000 people
+between 10-12 and 14-16 of them
+it took 3 days and 20 hours
 Card 4111/c 1111/c 1111/c 1111/c expires
 visa 5500000000000004/c was used
 card 3782/c 822463/c 10005/c is old
 the card 4111-1111-1111-1111/c again
+pay by visa 4000123412341234/c then
+and 4539578763621486 of it
+was 4716059284112345 here
+the 5105105105105100 came
+Karte 4012888888881881/c gilt
+carte 4222222222222/c perdue
+credit card 6011000990139424/c holder
+on 4929123456789012 Then
+They 4485275742308327 and
+it. 4556737586899855
+4024007103939509 was
+card number 4024007103939509/c was seen
+his credit card number 4485275742308327/c leaked
+account 4532015112830366/c closed
 his card is here
+the card was old
 order 4000123412341234 came
+invoice 5500123412341234 is open
+tracking 4111222233334444 shows it
+serial 123456789012 and more
+id 987654321098765 there
+ISBN 9781234567897 is out
+item 400012341234 sold
+commande 4000123412341234 est là
 server 10.0.0.1/i answers
 ip 192.168.1.10/i was seen
 host 172.16.254.1/i is down
 from 8.8.8.8/i it came
+router 10.1.2.3/i again
 version 1.2.3 is new
 name John/n Smith/n is here
 My name is Mary/n Jones/n and more
+the name is Tom/n and he left
+Her name was Anna/n Lee/n before
 Dr Alice/n Brown/n called
 Mr Miller/n left
+Mrs Green/n and Mr White/n came
+Prof Karl/n Weber/n spoke
+Dear Susan/n thanks for it
+Hello Peter/n how are you
+Regards Jane/n Doe/n
+author Mark/n Twain/n wrote
 contact Mrs Green/n today
 Contact Paul/n White/n about it
+Herr Hans/n Maier/n kommt
+Frau Petra/n Koch/n ist da
+Monsieur Jean/n Dupont/n arrive
+Madame Claire/n Petit/n est ici
+señor Luis/n García/n llega
+doña Ana/n Ruiz/n vive
+mein Name ist Eva/n Braun/n und
 The house was old. It fell. Then They came
 In The end Of it. Great Things Are near
 A Big Day for the Town
+Das Haus und der Baum sind Alt
 Then Then Then Then Then Then Then Then it fell
 So So So So So So So So So So So So
 it was at at that time
@@ -193,9 +319,19 @@ here. There. Here. There. It fell
 NASA and IBM met there
 THE END OF IT
 name of the rose
+the name of The place
+a name for it
 the contact was lost
+hello there
+dear me
+no number
+no one came
+he is There
+sehr gut und sehr alt
+don de la casa
 Call me later
 Phone them
+call it a day
 x2 and b52 flew
 item A-12 or #5 | here
 See http://a.b/c?d=1 and more
@@ -217,7 +353,7 @@ def _training_rows() -> list[tuple[np.ndarray, np.ndarray]]:
         space = np.concatenate([[True], SPACES[raw], [True]])
         edge = np.diff(space.astype(np.int8))
         f, _ = shapes(raw, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))
-        rows.append((f, np.array(labels)))
+        rows.append((in_context(f, np.zeros(len(f), np.int64)), np.array(labels)))
     return rows
 
 
@@ -233,7 +369,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @functools.cache
-def train(rounds: int = 150, rate: float = 0.5, penalty: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def train(rounds: int = 40, rate: float = 0.5, penalty: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Weights (3, features, labels) and transitions (labels, labels): ascent with per-weight step sizes."""
     rows, n = _training_rows(), len(LABELS)
     w, t = np.zeros((3, len(FEATURES), n)), np.zeros((n, n))
@@ -262,51 +398,74 @@ def train(rounds: int = 150, rate: float = 0.5, penalty: float = 0.01) -> tuple[
     return w, t
 
 
-def tables(weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By the features before, here and after: scores (.., labels), and whether the word is other for certain: whatever
-    the labels beside it, other is worth more than any label with both its transitions. An edge has no transition."""
-    scores = weights[0][:, None, None] + weights[1][None, :, None] + weights[2][None, None, :]
-    enter, leave = np.tile((moves - moves[:, :1]).max(0), (len(FEATURES), 1)), np.tile((moves - moves[:1]).max(1), (len(FEATURES), 1))
-    enter[EDGE] = leave[EDGE] = 0
-    rival = (scores - scores[..., :1] + enter[:, None, None] + leave[None, None])[..., 1:]
-    return scores, (rival < -1e-9).all(-1)
+#: Words to a block that is decoded beside the others, and to a part of the sequence that is held at once.
+BLOCK, PART = 128, 1 << 18
 
 
 def viterbi(f: np.ndarray, doc: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Labels of all words, decoded over each text; the runs of words between certain ones step together."""
-    labels = np.zeros(len(f), np.int64)
-    if not len(f):
+    """Labels of all words, decoded over each text.
+
+    All texts are one sequence, without transitions from one to the next. It falls into blocks: their best scores from
+    each label before them to each label at their end come first, for all blocks at once; a walk over the blocks picks
+    the labels at their ends; then each block is decoded between the labels that were picked.
+    """
+    size, n = len(f), len(LABELS)
+    labels = np.zeros(size, np.int64)
+    if not size:
         return labels
-    scores, certain = tables(weights, moves)
     opens, closes = np.diff(doc, prepend=-1) != 0, np.diff(doc, append=-1) != 0
     before, after = np.where(opens, EDGE, np.roll(f, 1)), np.where(closes, EDGE, np.roll(f, -1))
-    odd = ~certain[before, f, after]
-    first = np.flatnonzero(odd & (opens | ~np.roll(odd, 1)))
-    last = np.flatnonzero(odd & (closes | ~np.roll(odd, -1))) + 1
-    if not len(first):
-        return labels
-    order = np.argsort(first - last, kind="stable")  # longest first
-    first, last = first[order], last[order]
-    size, n = last - first, len(LABELS)
-    score, back = None, []
-    final = np.empty((len(first), n))
-    for k in range(int(size[0])):
-        alive = int(np.searchsorted(-size, -k, "left"))
-        at = first[:alive] + k
-        e = scores[before[at], f[at], after[at]]
-        if k == 0:
-            score = e + np.where(opens[at][:, None], 0, moves[0])
-        else:
-            paths = score[:alive, :, None] + moves[None]
-            back.append(paths.argmax(1))
-            score = paths.max(1) + e
-        final[:alive] = score
-    now = (final + np.where(closes[last - 1][:, None], 0, moves[:, 0])).argmax(1)
-    for k in range(int(size[0]) - 1, -1, -1):
-        alive = int(np.searchsorted(-size, -k, "left"))
-        labels[first[:alive] + k] = now[:alive]
-        if k:
-            now[:alive] = back[k - 1][np.arange(alive), now[:alive]]
+
+    def part(at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (step, label, block) and whether there is a transition (step, block), padded by words without either."""
+        to = slice(at, min(at + PART, size))
+        blocks = -(-(to.stop - at) // BLOCK)
+        e, linked = np.zeros((blocks * BLOCK, n)), np.zeros(blocks * BLOCK)
+        e[: to.stop - at] = weights[0][before[to]] + weights[1][f[to]] + weights[2][after[to]]
+        linked[: to.stop - at] = ~opens[to]
+        return np.ascontiguousarray(e.reshape(blocks, BLOCK, n).transpose(1, 2, 0)), np.ascontiguousarray(linked.reshape(blocks, BLOCK).T)
+
+    score, ways = np.zeros(n), []
+    for at in range(0, size, PART):
+        e, linked = part(at)
+        best = moves[:, :, None] * linked[0] + e[0]  # (label before the block, label, block)
+        for k in range(1, BLOCK):
+            t = moves[:, :, None] * linked[k]
+            now = best[:, 0, None] + t[0]
+            for label in range(1, n):
+                np.maximum(now, best[:, label, None] + t[label], out=now)
+            best = now + e[k]
+        way = np.empty((best.shape[2], n), np.int64)
+        for b, x in enumerate(best.transpose(2, 0, 1)):
+            paths = score[:, None] + x
+            way[b] = paths.argmax(0)
+            score = paths.max(0)
+            score -= score.max()
+        ways.append(way)
+    last = int(score.argmax())
+    for at in reversed(range(0, size, PART)):
+        (e, linked), way = part(at), ways.pop()
+        blocks = len(way)
+        begin, end = np.empty(blocks, np.int64), np.empty(blocks, np.int64)
+        for b in reversed(range(blocks)):
+            end[b] = last
+            begin[b] = last = int(way[b, last])
+        each, back = np.arange(blocks), []
+        now = moves[begin].T * linked[0] + e[0]
+        for k in range(1, BLOCK):
+            t = moves[:, :, None] * linked[k]
+            top, who = now[0] + t[0], np.zeros((n, blocks), np.int8)
+            for label in range(1, n):
+                path = now[label] + t[label]
+                who[path > top] = label
+                np.maximum(top, path, out=top)
+            back.append(who)
+            now = top + e[k]
+        found = np.empty((BLOCK, blocks), np.int64)
+        found[-1] = end
+        for k in reversed(range(BLOCK - 1)):
+            found[k] = back[k][found[k + 1], each]
+        labels[at : at + PART] = found.T.ravel()[: min(PART, size - at)]
     return labels
 
 
@@ -319,7 +478,7 @@ def crf_spans(texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) ->
     f, stops = shapes(raw, starts, ends)
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in data])])
     doc = np.searchsorted(bounds, starts, "right") - 1
-    labels = viterbi(f, doc, *model)
+    labels = viterbi(in_context(f, doc), doc, *model)
     on = np.flatnonzero(labels)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not len(on):

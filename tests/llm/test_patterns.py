@@ -9,6 +9,7 @@ import re
 import urllib.parse
 import zlib
 
+import held_out
 import numpy as np
 
 from epiframe.llm import pii, secrets
@@ -137,7 +138,7 @@ def best_labels(words, model):
     raw = np.frombuffer(" ".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) + 1 for w in words]) - 1
     f, _ = pii.shapes(raw, ends - [len(w.encode()) for w in words], ends)
-    f = [pii.EDGE, *f, pii.EDGE]
+    f = [pii.EDGE, *pii.in_context(f, np.zeros(len(f), int)), pii.EDGE]
     e = [weights[0][f[k - 1]] + weights[1][f[k]] + weights[2][f[k + 1]] for k in range(1, len(f) - 1)]
     score, back = e[0], []
     for x in e[1:]:
@@ -167,6 +168,60 @@ def test_chain_over_whole_texts():
         assert spans == [x[:3] for x in want], text
 
 
+def labelled(table):
+    """Texts and spans of a table of words with the first letters of their labels."""
+    kinds = {k[0]: k for k in pii.LABELS[1:]}
+    for line in table.split("\n"):
+        text, spans, on = "", [], None
+        for w in line.split():
+            word, _, mark = w.rpartition("/")
+            kind = kinds.get(mark) if word else None
+            at = len(text) + bool(text)
+            text += " " * bool(text) + (word if kind else w)
+            end = at + len((word if kind else w).rstrip(".,;:!?"))
+            if kind and on == kind:
+                spans[-1] = (f"crf_{kind}", spans[-1][1], end)
+            elif kind:
+                spans.append((f"crf_{kind}", at, end))
+            on = kind
+        yield text, spans
+
+
+def test_held_out_lines():
+    for table, least in ((pii.TRAINING, 0.97), (held_out.SEEN, 0.95), (held_out.UNSEEN, 0.9)):
+        rows = list(labelled(table))
+        got = pii.crf_spans([t for t, _ in rows], pii.train())
+        hits, found, wanted = sum(len(set(w) & set(g)) for (_, w), g in zip(rows, got)), sum(map(len, got)), sum(len(w) for _, w in rows)
+        assert hits / found >= least and hits / wanted >= least, (hits, found, wanted)
+
+
+def test_field_finds_what_patterns_miss(spark, sf):
+    """Labelled lines inside the corpus: the query's spans are the patterns' and those of a chain over each text alone."""
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60]
+    lines = [t for t, w in labelled(held_out.SEEN) if w]
+    texts = [f"{docs[k]}\n{lines[k % len(lines)]}\n{docs[-k]}" for k in range(60)]
+    rows = pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = 0
+    for r in rows:
+        base = personal_base(r.text)
+        want = [x for x in pii.crf_spans([r.text], pii.train())[0] if not any(a < x[2] and x[1] < b for _, a, b in base)]
+        assert sorted(f"{k}:{a}:{b}" for k, a, b in base + want) == sorted(filter(None, r.spans.split(",")))
+        added += len(want)
+    assert added >= 40
+
+
+def test_blocks_decode_like_one_chain(monkeypatch):
+    """Blocks of any length give the labels of a word by word Viterbi."""
+    model, rng = pii.train(), np.random.default_rng(8)
+    some = [w.rpartition("/")[0] or w for w in pii.TRAINING.split()]
+    texts = [" ".join(rng.choice(some, n)) for n in (1, 700, 2, 127, 128, 129, 1)]
+    want = pii.crf_spans(texts, model)
+    for block, part in ((1, 3), (7, 70), (128, 256)):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        monkeypatch.setattr(pii, "PART", part)
+        assert pii.crf_spans(texts, model) == want
+
+
 def test_lower_case_addresses_and_accented_names():
     found = lambda text: [(k, text[a:b]) for k, a, b in pii.crf_spans([text], pii.train())[0]]
     assert found("mail jdoe at example dot org now") == [("crf_email", "jdoe at example dot org")]
