@@ -1,10 +1,11 @@
 """Secret scanning with a recursive decoding worklist (operator 7).
 
-Each text is scanned for the base kinds. Encoded parts of it (percent escapes, backslash-u escapes, base64, and zlib,
-gzip, bz2 or xz data inside that) are decoded into layers, which are scanned and decoded in turn until nothing new
-comes up; a layer that was seen before at the same place is not followed again, which ends cycles. Every character of a layer knows the
-span of the original text it came from, and whether it was decoded, so that a find deep inside is reported where its encoded form stands. Finds in
-layers have the kinds' names with ``decoded_`` before them, unless they lie on a base find of the same kind.
+Each text is scanned for the base kinds. Encoded parts of it (percent escapes, backslash-u escapes, base64, also over
+several lines, and zlib, gzip, bz2 or xz data inside that) are decoded into layers, which are scanned and decoded in turn until nothing new
+comes up; a layer that was seen before at the same place is not followed again, which ends cycles. Every
+character of a layer knows the span of the original text it came from, and whether it was decoded, so that a find deep
+inside is reported where its encoded form stands. Finds in layers have the kinds' names with ``decoded_`` before them,
+unless they lie on a base find of the same kind.
 
 Defined cases: a null or empty text has no spans; an empty table gives no rows; decompressed data of more than
 ``LAYER_BYTES`` is scanned in pieces that end after a newline, so that only a longer line than that takes more memory;
@@ -45,6 +46,8 @@ ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}")
 # the shortest find has 12 bytes
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# base64 over several lines, as mail and key files have it
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]++={0,2}")
 
 #: Per character of a layer: start and end of its original span, and whether it was decoded. None for the original text.
 Origin = tuple[np.ndarray, np.ndarray, np.ndarray] | None
@@ -78,10 +81,11 @@ def _coded(origin: Origin, start: int, end: int) -> bool:
 def _percent(m: re.Match) -> list[tuple[str, int, int]]:
     """Characters of a run of percent escapes, and the place of each in the layer."""
     out, used = [], m.start()
-    for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"):
-        n = 3 * (len(c.encode()) if c != "�" else 1)
-        out.append((c, used, min(used + n, m.end())))
-        used = min(used + n, m.end() - 1)
+    for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+        broken = 0xDC80 <= ord(c) < 0xDD00  # a byte of no character
+        end = used + 3 * (1 if broken else len(c.encode()))
+        out.append(("\ufffd" if broken else c, used, end))
+        used = end
     return out
 
 
@@ -178,13 +182,10 @@ def unpack(chunks: Iterable[bytes], above: frozenset[bytes] = frozenset()) -> It
         yield from unpack(itertools.chain(rest, chunks))
 
 
-def _printable(data: bytes | bytearray) -> Iterator[str]:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return
-    if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text):
-        yield text
+def _text(data: bytes | bytearray) -> Iterator[str]:
+    """Data as text, binary data too: what is no character in it can't be part of a find."""
+    if data:
+        yield data.decode("utf-8", "replace")
 
 
 def _base64(token: str) -> Iterator[str]:
@@ -198,16 +199,16 @@ def _base64(token: str) -> Iterator[str]:
     held, cut = bytearray(), 0
     for chunk in unpack([data]):
         if chunk is None:
-            yield from _printable(held)
+            yield from _text(held)
             held, cut = bytearray(), 0
             continue
         if (k := chunk.rfind(b"\n")) >= 0:
             cut = len(held) + k + 1
         held += chunk
         if len(held) > LAYER_BYTES and cut:
-            yield from _printable(held[:cut])
+            yield from _text(held[:cut])
             held, cut = held[cut:], 0
-    yield from _printable(held)
+    yield from _text(held)
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
@@ -227,6 +228,11 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         start, end = _origin(origin, m.start(), m.end())
         for inner in _base64(m[0]):
             yield inner, (np.full(len(inner), start), np.full(len(inner), end), np.ones(len(inner), bool))
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        if _coded(origin, m.start(), m.end()):
+            start, end = _origin(origin, m.start(), m.end())
+            for inner in _base64("".join(m[0].split())):
+                yield inner, (np.full(len(inner), start), np.full(len(inner), end), np.ones(len(inner), bool))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

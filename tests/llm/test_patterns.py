@@ -132,6 +132,54 @@ def test_pieces_lose_nothing(monkeypatch):
     assert len(pieces) > 10 and "".join(pieces) == text and all(p.endswith("\n") for p in pieces)
 
 
+ENCODERS = {
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    **{f.__module__: lambda t, f=f: base64.b64encode(f(t.encode())).decode() for f in (zlib.compress, gzip.compress, bz2.compress, lzma.compress)},
+}
+
+
+def test_every_nesting_at_its_place():
+    """Each secret under each pair and triple of encodings, twice, is reported at both places and no other."""
+    rng = np.random.default_rng(4)
+    secrets_of = {"assign": "password=correcthorse1", "access": "AKIA" + "Q7Z4" * 5, "hex": "0f1e2d3c" * 4}
+    nests = [(a, b) for a in ENCODERS for b in ENCODERS] + [tuple(rng.choice(list(ENCODERS), 3)) for _ in range(60)]
+    for nest in [(a,) for a in ENCODERS] + nests:
+        for kind, plain in secrets_of.items():
+            part = plain
+            for name in nest:
+                part = ENCODERS[name](part)
+            text = f"é𝄞 {part} words\n{part}"
+            base, more = secrets.scan(text)
+            at = [4 - 1, 4 - 1 + len(part) + 7]
+            assert {(f"decoded_{kind}", a, a + len(part)) for a in at} <= set(more), (nest, kind)
+            assert {(a, b) for k, a, b in more if k == f"decoded_{kind}"} == {(a, a + len(part)) for a in at}, (nest, kind, more)
+            assert sorted(base) == sorted(secret_base(text))
+
+
+def test_broken_lines_binary_data_and_replacement_characters():
+    plain = "some words before it\npassword=correcthorse1\nand some words after it, to be long enough"
+    once = base64.b64encode(plain.encode()).decode()
+    for end in ("\n", "\r\n", " \n\t"):
+        part = end.join(once[k : k + 32] for k in range(0, len(once), 32))
+        assert part in decoded_texts(f"x {part} y")
+    part = base64.b64encode(bytes(range(256)) + b" password=correcthorse1 " + bytes(range(128, 256))).decode()
+    assert decoded_texts(f"x {part} y") == [part]
+    assert decoded_texts("%EF%BF%BD secret=%61bcdefg %FF x") == ["secret=%61bcdefg"]
+    assert decoded_texts("%EF%BF%BD%73ecret=abcdefg") == ["%73ecret=abcdefg"]
+
+
+def test_cycles_end():
+    """A layer that decodes to itself, and one that holds itself in another form."""
+    assert secrets.scan("%25%32%35" * 50)[1] == []
+    deep = "password=correcthorse1"
+    for _ in range(12):
+        deep = urllib.parse.quote(deep, safe="")
+    assert decoded_texts(f"x {deep} y") == [deep]
+
+
 def best_labels(words, model):
     """Viterbi over one text, word by word."""
     weights, moves = model
