@@ -1,14 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 10).
 
-Tokens are summed by cell: source, language and topic. Raking scales the cells' token weights in turn so that the sums
-over each source, language and topic reach their targets, which are the tempered shares of what there is. A cell's
-weight over its tokens is its rate; documents are sampled with a probability in proportion to the rate, capped at 1,
-with the factor chosen so that a given share of all tokens is expected to stay. Sampling compares a hash of the id with
-the probability, so that it repeats exactly.
+Tokens are summed by cell: source, language and topic. The targets of a dimension's values are their tempered shares of
+the tokens to keep. A value that has fewer tokens than its target gives all it has, and what it lacks goes to the
+dimension's other values in the same proportions. Raking then scales the cells' weights, which are expected tokens, in
+turn to the goals of sources, languages and topics; no cell's weight exceeds its tokens. A document is sampled with
+its cell's weight over its tokens as probability. Sampling compares a hash of the id with it, so that it repeats
+exactly. ``margins`` reports target, goal and expectation of every value.
 
-The cells are few (sources times languages times topics) and independent of the number of documents. They are raked in
-one partition, where windows need no exchange, and joined back by broadcast if their number allows it. Everything runs
-as DataFrame functions.
+The cells are few (sources times languages times topics) and independent of the number of documents. Up to
+``ONE_TASK`` of them, counted first, are raked in one partition, where windows need no exchange; they are joined back by
+broadcast if their number allows it. Everything runs as DataFrame functions.
 
 Defined cases: null source or language is a value of its own; a null text has no tokens and the topic ``empty``; a
 cell without tokens keeps its documents; a null doc_id hashes like 0; an empty table gives no rows; rows that repeat
@@ -20,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import materialize, own_name, small_side
 from .quality import words_of
 
 TEMPER = 0.7
 KEEP = 0.75
-ROUNDS = 12
+ROUNDS = 16
+ONE_TASK = 1_000_000
 DIMENSIONS = ("source", "lang", "topic")
 RESULTS = ("topic", "n_tokens", "weight", "probability", "sampled")
 
@@ -46,61 +48,76 @@ def uniform(doc_id: Column) -> Column:
 
 
 def rake_steps(temper: float = TEMPER, keep: float = KEEP, rounds: int = ROUNDS) -> list[str]:
-    """SQL steps over cells(source, lang, topic, tokens), each reading the one before it as {cells}; the last adds
-    weight and probability.
+    """SQL steps over cells(source, lang, topic, tokens), each reading the one before it as {cells}; they add goals of
+    the three dimensions, weight and probability.
 
-    Each half round scales the weights to one dimension's targets. Cells in order of falling rate reach probability 1
-    first: those before the first cell whose rate times the factor that its own place gives is at most 1.
+    A dimension's goals are the least of what a value has and a common factor times its tempered share. Values in order
+    of what they have over their share are exhausted first: those before the first one for which the factor that its own
+    place gives is within its means. A value's cells hold its share and its means in equal parts.
     """
-    steps = ["SELECT source, lang, topic, tokens, CAST(tokens AS DOUBLE) AS weight, CAST(SUM(tokens) OVER () AS DOUBLE) AS total FROM {cells}"]
-    for d in DIMENSIONS:  # a value's tempered share, then its target; a value's cells hold the share in equal parts
-        share = f"POW(CAST(SUM(tokens) OVER (PARTITION BY {d}) AS DOUBLE) / NULLIF(total, 0), {temper!r}) / COUNT(*) OVER (PARTITION BY {d})"
-        steps.append(f"SELECT *, {share} AS part_{d}, COUNT(*) OVER (PARTITION BY {d}) AS cells_{d} FROM {{cells}}")
-        steps.append(f"SELECT *, total * part_{d} * cells_{d} / NULLIF(SUM(part_{d}) OVER (), 0) AS goal_{d} FROM {{cells}}")
-    kept = "source, lang, topic, tokens, " + ", ".join(f"goal_{d}" for d in DIMENSIONS)
+    steps = ["SELECT source, lang, topic, tokens, CAST(SUM(tokens) OVER () AS DOUBLE) AS total FROM {cells}"]
+    kept = "source, lang, topic, tokens, total"
+    for d in DIMENSIONS:
+        have = f"CAST(SUM(tokens) OVER (PARTITION BY {d}) AS DOUBLE)"
+        steps.append(f"SELECT {kept}, {have} AS have, POW({have} / NULLIF(total, 0), {temper!r}) AS share, COUNT(*) OVER (PARTITION BY {d}) AS parts FROM {{cells}}")
+        steps.append(f"SELECT *, ROW_NUMBER() OVER (ORDER BY have / NULLIF(share, 0) NULLS LAST, {d}, source, lang, topic) AS place FROM {{cells}}")
+        used, rest = "SUM(have / parts) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "SUM(share / parts) OVER (ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        steps.append(f"SELECT *, ({keep!r} * total - COALESCE({used}, 0)) / NULLIF({rest}, 0) AS factor FROM {{cells}}")
+        steps.append("SELECT *, MIN(CASE WHEN factor * share <= have THEN place END) OVER () AS cut FROM {cells}")
+        steps.append(f"SELECT {kept}, LEAST(have, COALESCE(share * MAX(CASE WHEN place = cut THEN factor END) OVER (), have)) AS goal_{d} FROM {{cells}}")
+        kept += f", goal_{d}"
+    steps.append(f"SELECT *, {keep!r} * tokens AS weight FROM {{cells}}")
     for _ in range(rounds):
         for d in DIMENSIONS:
-            steps.append(f"SELECT {kept}, COALESCE(weight * goal_{d} / NULLIF(SUM(weight) OVER (PARTITION BY {d}), 0), 0) AS weight FROM {{cells}}")
-    steps.append("SELECT source, lang, topic, tokens, weight, weight / NULLIF(tokens, 0) AS rate FROM {cells}")
-    steps.append("SELECT *, ROW_NUMBER() OVER (ORDER BY rate DESC NULLS LAST, source, lang, topic) AS place FROM {cells}")
-    before = "OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    steps.append(f"SELECT *, COALESCE(SUM(tokens) {before}, 0) AS filled, COALESCE(SUM(weight) {before}, 0) AS used, SUM(tokens) OVER () AS every, SUM(weight) OVER () AS weights FROM {{cells}}")
-    steps.append(f"SELECT *, ({keep!r} * every - filled) / NULLIF(weights - used, 0) AS factor FROM {{cells}}")
-    steps.append("SELECT *, MIN(CASE WHEN factor * rate <= 1 THEN place END) OVER () AS cut FROM {cells}")
-    steps.append("SELECT *, MAX(CASE WHEN place = cut THEN factor END) OVER () AS used_factor FROM {cells}")
-    steps.append("SELECT source, lang, topic, tokens, weight, CASE WHEN rate IS NULL THEN 1.0E0 ELSE LEAST(1.0E0, COALESCE(used_factor * rate, 1.0E0)) END AS probability FROM {cells}")
+            steps.append(f"SELECT {kept}, LEAST(tokens, COALESCE(weight * goal_{d} / NULLIF(SUM(weight) OVER (PARTITION BY {d}), 0), 0)) AS weight FROM {{cells}}")
+    steps.append("SELECT *, LEAST(1.0E0, COALESCE(weight / NULLIF(tokens, 0), 1.0E0)) AS probability FROM {cells}")
     return steps
 
 
-def rake_sql(cells: str) -> str:
-    """All steps as one statement, for an engine that takes it whole."""
-    names = [cells, *(f"step_{k}" for k in range(len(rake_steps())))]
-    parts = [f"{b} AS ({s.format(cells=a)})" for a, b, s in zip(names, names[1:], rake_steps())]
-    return "WITH " + ",\n".join(parts) + f"\nSELECT * FROM {names[-1]}"
-
-
 #: Steps between two writes of the cells: longer plans take Spark longer to plan than to run.
 STRIDE = 12
 
 
 def rake(cells: DataFrame, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
-    """cells with weight and probability."""
-    steps = rake_steps(temper, keep)
+    """cells with total, goals, weight and probability."""
+    steps, few = rake_steps(temper, keep), cells.count() <= ONE_TASK
     for k in range(0, len(steps), STRIDE):
-        cells = cells.coalesce(1)
+        cells = cells.coalesce(1) if few else cells
         for step in steps[k : k + STRIDE]:
             cells = cells.sparkSession.sql(step, cells=cells)
         cells = materialize(cells, "cells")
     return cells
 
 
+def margins(rated: DataFrame, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
+    """(dimension, value, tokens, target, goal, expected) of raked cells: target is the tempered share of the tokens to
+    keep, goal what the value can give of it and of what others lack, expected the sum of its cells' weights."""
+    parts = []
+    for d in DIMENSIONS:
+        by = rated.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.max(f"goal_{d}").alias("goal"), F.sum("weight").alias("expected"), F.max("total").alias("total"))
+        by = by.withColumn("share", F.pow(F.col("tokens") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(temper)))
+        share = by.agg(F.sum("share").alias("shares"))
+        parts.append(by.join(F.broadcast(share)).select(F.lit(d).alias("dimension"), "value", "tokens", (F.lit(keep) * F.col("total") * F.col("share") / F.col("shares")).alias("target"), "goal", "expected"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    """docs with n_tokens and topic."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("n_tokens", F.size(words_of(text)).cast("long")).withColumn("topic", topic_of(text, F.col("n_tokens")))
+
+
+def cells_of(docs: DataFrame) -> DataFrame:
+    """Tokens by cell of docs(source, lang, topic, n_tokens)."""
+    return materialize(docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+
+
 def mix(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
     """docs with topic, n_tokens, the cell's raked weight, the probability and whether the document is sampled."""
     names = [c for c in docs.columns if c not in RESULTS]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(*names).withColumn("n_tokens", F.size(words_of(text)).cast("long")).withColumn("topic", topic_of(text, F.col("n_tokens")))
-    cells = materialize(df.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    rated = rake(cells, temper, keep)
-    side = rated.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight", "probability")
-    df = df.join(small_side(side), [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS])
+    df = with_topic(docs.select(*names))
+    rated = rake(cells_of(df), temper, keep)
+    keys = {d: own_name(names, d) for d in DIMENSIONS}
+    side = rated.select(*(F.col(d).alias(k) for d, k in keys.items()), "weight", "probability")
+    df = df.join(small_side(side), [F.col(d).eqNullSafe(F.col(k)) for d, k in keys.items()])
     return df.withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability")).select(*names, *RESULTS)

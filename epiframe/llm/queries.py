@@ -82,7 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 4).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 2).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op7_secrets, op8_simhash, op9_personal_data, op10_mixing)}
@@ -130,19 +130,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 }
 
 
-def _mixing_sql() -> str:
-    from .mixing import rake_sql
+def _goals(d: str) -> str:
+    """CTE of the goals of a dimension's values: the tempered shares of three quarters of all tokens, within their means."""
+    return f"""v_{d} AS (SELECT {d} AS v, sum(tokens)::DOUBLE AS have, pow(sum(tokens) / nullif((SELECT sum(tokens) FROM cells), 0), 0.7) AS share FROM cells GROUP BY 1),
+o_{d} AS (SELECT *, row_number() OVER w AS place, 0.75 * (SELECT sum(tokens) FROM cells) - coalesce(sum(have) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+  sum(share) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM v_{d} WINDOW w AS (ORDER BY have / nullif(share, 0) NULLS LAST, v)),
+g_{d} AS (SELECT v, least(have, coalesce(share * (SELECT arg_min(left_over / rest, place) FROM o_{d} WHERE left_over / rest * share <= have), have)) AS goal FROM v_{d})"""
 
-    return rf"""
-WITH d AS (
+
+_SCALED = " ".join(f"WHEN {k} THEN least(tokens, coalesce(weight * g{k} / nullif(sum(weight) OVER (PARTITION BY {d}), 0), 0))" for k, d in enumerate(("source", "lang", "topic")))
+SQL["op10_mixing"] = rf"""
+WITH RECURSIVE d AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS text, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens FROM documents
 ), t AS (
   SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'empty' WHEN len(regexp_extract_all(text, ' \| ')) * 10 >= n_tokens THEN 'tabular'
     WHEN len(regexp_extract_all(text, '[#*$%&<>{{}}\[\]=_\\]')) * 5 >= n_tokens THEN 'marked' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM d
-), cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL), rated AS ({rake_sql("cells")})
-SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 4) AS weight, round(probability, 9) AS probability,
+), cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM t GROUP BY ALL),
+{_goals("source")}, {_goals("lang")}, {_goals("topic")},
+raked AS (
+  SELECT 0 AS k, source, lang, topic, tokens, a.goal AS g0, b.goal AS g1, c.goal AS g2, 0.75::DOUBLE * tokens AS weight FROM cells JOIN g_source a ON source IS NOT DISTINCT FROM a.v JOIN g_lang b ON lang IS NOT DISTINCT FROM b.v JOIN g_topic c ON topic = c.v
+  UNION ALL SELECT k + 1, source, lang, topic, tokens, g0, g1, g2, CASE k % 3 {_SCALED} END FROM raked WHERE k < 48
+), rated AS (SELECT source, lang, topic, weight, least(1, coalesce(weight / nullif(tokens, 0), 1))::DOUBLE AS probability FROM raked WHERE k = 48)
+SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 2) AS weight, round(probability, 9) AS probability,
   CAST('0x' || substr(md5(CAST(coalesce(doc_id, 0) AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
 FROM t JOIN rated r ON t.source IS NOT DISTINCT FROM r.source AND t.lang IS NOT DISTINCT FROM r.lang AND t.topic = r.topic"""
-
-
-SQL["op10_mixing"] = _mixing_sql()
