@@ -27,9 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_in, open_out, shared_path
+from .common import materialize, open_in, open_out, shared_path, small_side
 
 REVISIT_BYTES = 1000
+#: Keys into which a shared payload is dealt where digests are joined by shuffle.
+SALTS = 32
 FRAME_BYTES = 1 << 20
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
@@ -136,10 +138,17 @@ def write_warc(pages: DataFrame, path: str) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     large = F.octet_length("html") >= REVISIT_BYTES
-    shared = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("key"), "first", F.lit(True).alias("shared"))
-    # what can't be a revisit has a key of its own, so that those rows don't meet in one task
-    keyed = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "digest").cast("string"))))
-    joined = keyed.join(shared, "key", "left")
+    # ids and digests alone are counted; payloads move only if too many digests are shared for a broadcast
+    shared = rows.where(large).groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first", F.lit(True).alias("shared"))
+    shared = materialize(shared, "shared-digests")
+    side = small_side(shared)
+    keyed = rows.withColumn("key", F.when(large, F.col("digest")))
+    if side is shared:
+        # a payload of very many pages is dealt out; what can't be a revisit has a key of its own
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("string")
+        keyed = rows.withColumn("key", F.when(large, F.concat(F.col("digest"), F.lit("-"), salt)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "digest").cast("string"))))
+        side = shared.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.concat(F.col("key"), F.lit("-"), k.cast("string")))))
+    joined = keyed.join(side, "key", "left")
     revisit = F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     joined = joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -158,7 +167,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the bundles under path, a task to a bundle, a frame in memory at a time."""
+    """All records of the bundles under path, in as many tasks as bundles, a frame in memory at a time."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,8 +182,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield _frame(rows)
 
-    paths = spark.read.parquet(f"{path}/index").select("path").distinct()
-    return paths.repartition("path").mapInPandas(read, ROWS)
+    paths = materialize(spark.read.parquet(f"{path}/index").select("path").distinct(), "bundles")
+    return paths.repartition(max(1, paths.count()), "path").mapInPandas(read, ROWS)
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:

@@ -35,6 +35,22 @@ def test_pages(spark, sf, monkeypatch, frame):
     assert run(df) == brute(rows)
 
 
+def test_payload_of_many_pages(spark, monkeypatch):
+    """A third of all pages hold one payload; joined by broadcast, and by shuffle where that is too large."""
+    hot = "<p>same é</p>" * 100
+    rows = [(k, f"http://h/{k}", hot if k % 3 == 0 else f"<p>{k}</p>" * 200) for k in range(900)]
+    df = spark.createDataFrame([(*r, "x", "y", 3) for r in rows], "page_id long, url string, html string, digest string, key string, shared int").repartition(5)
+    assert run(df) == brute(rows)
+    monkeypatch.setattr(warc, "small_side", lambda df: df)
+    assert run(df) == brute(rows)
+
+
+def test_as_many_read_tasks_as_bundles(spark, sf, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet").repartition(6), path)
+    assert warc.read_warc(spark, path).rdd.getNumPartitions() == spark.read.parquet(f"{path}/index").select("path").distinct().count() == 6
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], "page_id long, url string, html string")) == []
 
