@@ -78,6 +78,9 @@ class Encoder:
     after it that is not white space, or a letter with a punctuation mark after it. Texts with the four separators
     that only Python counts as white space are encoded whole.
 
+    A special token written out in a text is that token, as the library has it by default. It ends a piece's parts on
+    both sides, so pieces that hold one are encoded whole.
+
     Pieces are kept under keys: a word stands for itself after one space, a piece that begins with a line end for
     itself, and any other piece has ``AS_IS`` before it.
     """
@@ -91,7 +94,6 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker to a core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pieces = re.compile(r"\s*\S+|\s+").findall
         self.odd = re.compile("[\x1c-\x1f]").search
         self.end_id = end_id

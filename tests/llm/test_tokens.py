@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 
 from epiframe.llm import tokens
 
-ODD = [None, "", " ", "\n\n a  b\t\tc \n", "x" * 5000, "a\x1c b\x1dc", "don't  we'll I'd é ß", "日本語 テキスト 12345 !!??", "<|endoftext|> a", "é ́ x", "tab\tend ", "\u0085x\u0085 \u0085"]
+ODD = [None, "", " ", "\n\n a  b\t\tc \n", "x" * 5000, "a\x1c b\x1dc", "don't  we'll I'd é ß", "日本語 テキスト 12345 !!??", "<|endoftext|> a", "a <|endoftext|> b  <|endoftext|>\n<|endoftext|>c.<|endoftext|>d, e<|endoftext|>", "\t<|endoftext|>  b <|endo", "<|endoftext|><|endoftext|>", "é ́ x", "tab\tend ", "\u0085x\u0085 \u0085"]
 
 
 def brute(rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
