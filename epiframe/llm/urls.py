@@ -9,8 +9,12 @@ Rules have at most ``MAX_TOKENS`` tokens and are fitted on about ``LABELLED_ROWS
 hash of their id. All that pass are kept but those that hold another one's tokens; as each needs its share of the
 labelled pages, their number doesn't grow with the tables. Everything runs as DataFrame functions.
 
+A page's label is that of the document of its id. Where labels say nothing about URLs, as in the synthetic tables, no
+combination passes and no rule is mined.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no fixed rule and is allowed; an
-empty table gives no rows; without labels no rule is mined; repeated rows are judged alike; extra columns stay.
+empty table gives no rows; without labels no rule is mined; repeated rows are judged alike; extra columns stay, and columns
+with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_name
 
 #: (verdict, host, path): fixed rules of the query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -78,7 +82,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame) -> list[list[str]]:
     share = min(1.0, LABELLED_ROWS / max(1, labels.count()))
     known = known.where(F.col("_id").isNotNull() & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.join(known, F.col("page_id") == F.col("_id")).select(F.array_distinct(F.concat(tokens_of(F.col("url"), host, path), "_label")).alias("items")).where(F.size("items") > 0)
+    rows = pages.select("page_id", "url").join(known, F.col("page_id") == F.col("_id")).select(F.array_distinct(F.concat(tokens_of(F.col("url"), host, path), "_label")).alias("items")).where(F.size("items") > 0)
     rows = materialize(rows, "url-tokens")
     support = max(MIN_SUPPORT, MIN_PAGES / max(1, rows.count()))
     if support > 1:
@@ -109,7 +113,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule (null where no fixed rule fits) and verdict (allow or block)."""
     mined = mine_rules(pages, labels)
     df = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    df = df.withColumn("_fixed", fixed_rule(F.col("host"), F.col("path"), rules))
+    fixed = own_name(df.columns, "fixed")
+    df = df.withColumn(fixed, fixed_rule(F.col("host"), F.col("path"), rules))
     blocked = mined_match(tokens_of(F.col("url"), F.col("host"), F.col("path")), mined)
-    verdict = F.coalesce(F.col("_fixed.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return df.withColumns({"rule": F.col("_fixed.rule"), "verdict": verdict}).drop("_fixed")
+    verdict = F.coalesce(F.col(fixed)["verdict"], F.when(blocked, "block").otherwise("allow"))
+    return df.withColumns({"rule": F.col(fixed)["rule"], "verdict": verdict}).drop(fixed)

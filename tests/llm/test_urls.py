@@ -1,5 +1,11 @@
 """Operator 4: hosts, paths and fixed rules against plain Python; mined rules against planted ones."""
 
+import itertools
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from epiframe.llm import urls
 
 
@@ -50,6 +56,50 @@ def test_many_redundant_rules(spark):
     assert {(r.url, r.verdict) for r in df.collect()} == {(u, "allow" if "fine" in u else "block") for _, u in rows}
 
 
+def brute_rules(rows, least, confidence, lift):
+    """Minimal token sets of bad pages by counting all sets of up to three tokens."""
+    count, bad = Counter(), Counter()
+    for tokens, label in rows:
+        for n in (1, 2, 3):
+            for part in itertools.combinations(sorted(tokens), n):
+                count[part] += 1
+                bad[part] += label
+    base = sum(label for _, label in rows) / len(rows)
+    good = [set(p) for p in count if bad[p] >= least and bad[p] / count[p] >= confidence and bad[p] / count[p] / base >= lift]
+    return sorted(sorted(p) for p in good if not any(q < p for q in good))
+
+
+def test_mined_rules_equal_counting(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(1500):
+        host, path, query = rng.choice(["shop", "bets", "news", "blog"]), rng.choice(["win", "read", "list"]), rng.choice(["", "?ref=1", "?page=2&ref=x"])
+        rows.append((k, f"https://{host}.example.io/{path}/{k}{query}"))
+        labels.append((k, 1, int(rng.random() < (0.95 if host == "bets" and path == "win" else 0.9 if "page" in query and host == "blog" else 0.1))))
+    pages, known = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    url = F.col("url")
+    items = {r.page_id: r.t for r in pages.select("page_id", urls.tokens_of(url, urls.host_of(url), urls.path_of(url)).alias("t")).collect()}
+    counted = [(items[k], t) for k, _, t in labels]
+    want = brute_rules(counted, max(urls.MIN_SUPPORT * len(rows), urls.MIN_PAGES), urls.MIN_CONFIDENCE, urls.MIN_LIFT)
+    assert len(want) >= 2 and sorted(sorted(r) for r in urls.mine_rules(pages, known)) == want
+    for r in urls.judge_urls(pages, known).collect():
+        assert r.verdict == ("block" if any(set(w) <= set(items[r.page_id]) for w in want) else "allow")
+
+
+def test_labels_of_documents_say_nothing_about_urls(spark):
+    """On the synthetic tables no token set passes: counting all of them finds none either."""
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "labels"))
+    url = F.col("url")
+    rows = pages.join(labels, F.col("page_id") == F.col("doc_id")).select(urls.tokens_of(url, urls.host_of(url), urls.path_of(url)).alias("t"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad")).collect()
+    assert brute_rules([(r.t, r.bad) for r in rows], urls.MIN_PAGES, urls.MIN_CONFIDENCE, urls.MIN_LIFT) == [] == urls.mine_rules(pages, labels)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x://com/en/", "a", "b", "c")], "page_id long, url string, _fixed string, _id string, _label string")
+    (r,) = urls.judge_urls(df, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")).collect()
+    assert (r["_fixed"], r["_id"], r["_label"], r.rule) == ("a", "b", "c", "com/en/")
+
+
 def test_minimal_rules(spark):
     rules = [["a"], ["a", "b"], ["b", "c"], ["b", "c", "d"], ["c", "d", "e"], ["a", "x", "y"], ["f", "g", "h"], ["f", "h"]]
     got = urls.minimal(spark.createDataFrame([(r,) for r in rules], "tokens array<string>")).collect()
