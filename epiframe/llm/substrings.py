@@ -193,6 +193,7 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     heads = materialize(heads, "heads")
     whole = shared.select("doc_id", "row", "at", "d1", "d2").join(heads, ["d1", "d2"]).where("doc_id > source_id")
     whole = whole.select("doc_id", "row", F.col("at").alias("start"), (F.col("at") + F.col("windows") + (WINDOW - 1)).cast("int").alias("end"), "source_id", "source_start", "edges")
+    whole = materialize(whole, "whole")  # a job of its own, so that Spark can split the occurrences of a hot path
     # 5. windows of edges of branching anchors, where the document is the edge's source
     branching = nodes.groupBy("h").agg(F.min("source.doc_id").alias("low"), F.max("source.doc_id").alias("top")).where("low < top").select("h")
     branching = materialize(branching, "branching")
