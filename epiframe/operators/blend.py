@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_path
+
 
 def unit_hash(*columns: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) from the columns' digest: the same on any engine and in any partitioning."""
@@ -45,16 +47,15 @@ def coverage(shards: DataFrame, dataset: str, picked: Column) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
-    """Dense row numbers from 0 in a total order, by ranges: rows are counted by partition, then numbered inside each."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").count().orderBy("_p").collect()  # one row to a partition
-    base, at = {}, 0
-    for r in counts:
-        base[r["_p"]] = at
-        at += r["count"]
-    offsets = F.create_map(*(F.lit(x) for kv in base.items() for x in kv)) if base else None
+    """Dense row numbers from 0 in a total order, by ranges: rows are counted by range, then numbered inside each."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "ranged")
+    # written once, so that counting and numbering see the same partitions whatever plan each runs under
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    offsets = ranged.groupBy("_p").count()  # one row to a range
+    offsets = offsets.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn(name, (F.element_at(offsets, F.col("_p")) if offsets is not None else F.lit(0)) + local).drop("_p")
+    return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_local")).drop("_p", "_before", "_local")
 
 
 def interleave_sizes(ratio: float, batch: int) -> tuple[int, int]:

@@ -21,8 +21,8 @@ def with_error(pred: DataFrame) -> DataFrame:
 
 
 def action_accuracy(pred: DataFrame, thresholds: Sequence[float] = THRESHOLDS, masked: bool = True) -> DataFrame:
-    """Share of steps whose every dimension is nearer than each threshold."""
-    steps = with_error(pred).groupBy("sample_id", "step").agg(F.max("err").alias("worst"), F.bool_and("valid").alias("valid"))
+    """Share of steps whose every dimension is nearer than each threshold; masked, of steps with any valid dimension."""
+    steps = with_error(pred).groupBy("sample_id", "step").agg(F.max("err").alias("worst"), F.bool_or("valid").alias("valid"))
     on = F.col("valid") if masked else F.lit(True)
     ok = [F.count_if(on & (F.col("worst") < t)) / F.greatest(F.lit(1), F.count_if(on)) for t in thresholds]
     return steps.agg(*(x.alias(f"t{i}") for i, x in enumerate(ok))).select(F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("accuracy")) for i, t in enumerate(thresholds)))).alias("r")).select("r.*")

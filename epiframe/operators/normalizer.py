@@ -1,7 +1,9 @@
 """Column statistics and linear normalizers in long form: rows (key, dim, x).
 
-One aggregation gives all statistics; quantiles are exact up to ``EXACT_ROWS`` rows of a group and from a mergeable
-sketch beyond it (``quantiles="sketch"``). Parameters are a table of one row to each key and dimension.
+One aggregation gives all statistics. ``quantiles="exact"`` holds the distinct values of a group in one task;
+``quantiles="sketch"`` takes a mergeable sketch of bounded size, whose rank error is at most 1/10,000; the default takes
+the sketch once a group has more than ``EXACT_ROWS`` rows, counted first. Parameters are a table of
+one row to each key and dimension.
 """
 
 from __future__ import annotations
@@ -24,8 +26,15 @@ def melt_array(df: DataFrame, column: str, key: str) -> DataFrame:
     return df.select(F.posexplode(column).alias("dim", "x")).select(F.lit(key).alias("key"), "dim", F.col("x").cast("double").alias("x"))
 
 
-def statistics(rows: DataFrame, quantiles: str = "exact") -> DataFrame:
+#: Rows of the largest group up to which automatic quantiles are exact: what the reservoir held whole.
+EXACT_ROWS = 1_000_000
+
+
+def statistics(rows: DataFrame, quantiles: str = "auto") -> DataFrame:
     """n, min, max, mean, std (0 for one row), q01, q99 by key and dim."""
+    if quantiles == "auto":
+        most = rows.groupBy("key", "dim").count().agg(F.max("count")).first()[0] or 0
+        quantiles = "exact" if most <= EXACT_ROWS else "sketch"
     q = (lambda p: F.percentile("x", p)) if quantiles == "exact" else (lambda p: F.percentile_approx("x", p, 10_000))
     return rows.groupBy("key", "dim").agg(
         F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
@@ -57,8 +66,8 @@ def parameters(stats: DataFrame, mode: str = "limits", output: tuple[float, floa
     return stats.withColumns({"scale": F.when(skip, 1.0).otherwise(scale), "offset": F.when(skip, 0.0).otherwise(offset), "ignored": skip})
 
 
-def fit(rows: DataFrame, **options) -> DataFrame:
-    return parameters(statistics(rows), **({"ignore": IGNORED_DIMENSIONS} | options))
+def fit(rows: DataFrame, quantiles: str = "auto", **options) -> DataFrame:
+    return parameters(statistics(rows, quantiles), **({"ignore": IGNORED_DIMENSIONS} | options))
 
 
 def normalize(rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..operators import blend, candidates, metrics, normalizer, quality_gate, windows
 from ..schema import IGNORED_DIMENSIONS
 from ..sources import adapters as A
+from ..sources import files
 from ..streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +68,7 @@ def episode_segmentation(spark, sf_dir):
 
 @query
 def window_counts_by_episode(spark, sf_dir):
-    config = windows.WindowConfig(action_horizon=4, action_stride=2, state_horizon=3, state_stride=2, history_pad_mode="truncate")
+    config = windows.WindowConfig(windows.Reach(4, 2, "truncate"), windows.Reach(3, 2, "truncate"))
     df = windows.compose(A.frames_from_events(spark, sf_dir), config, order=("ts", "event_id"))
     mask = windows.pad_with_mask(F.col("actions"), 4, F.lit(0.0))[1]
     df = df.withColumn("m", F.size(F.filter(mask, lambda x: x)))
@@ -344,8 +345,8 @@ def stream_stats_equals_batch(spark, sf_dir):
 def stream_windows_equals_batch(spark, sf_dir):
     last = Window.partitionBy("dataset_name", "episode_index").orderBy(F.desc("ts"), F.desc("event_id"))
     frames = A.frames_from_events(spark, sf_dir).withColumn("final", F.row_number().over(last) == 1)
-    path = online.shared_path(spark, "frames")
+    path = files.shared_path(spark, "frames")
     frames.write.parquet(path)
-    config = windows.WindowConfig(action_horizon=4, action_stride=2, state_horizon=3, state_stride=2)
+    config = windows.WindowConfig(windows.Reach(4, 2, "truncate"), windows.Reach(3, 2))
     out = online.run_available(online.compose(spark.readStream.schema(frames.schema).parquet(path), config, ["dataset_name", "episode_index"], "ts"))
     return out.select("event_id", F.posexplode("actions").alias("k", "x"), F.size("states").alias("n_states")).select("event_id", "k", r6("x").alias("x"), "n_states")

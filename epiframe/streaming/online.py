@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,12 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.windows import WindowConfig
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="epiframe-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.files import shared_path
 
 
 def moments(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -32,15 +25,15 @@ def compose(frames: DataFrame, config: WindowConfig, episode: Sequence[str], ord
     Frames of an episode arrive in order over the micro-batches; ``final`` marks an episode's last. State per episode
     is its first payload and the frames that a coming anchor can still need. A null payload counts as a frame.
     """
-    past, ahead = config.past_size, (config.action_horizon - 1) * config.action_stride
+    past, ahead = config.past(), (config.actions.horizon - 1) * config.actions.stride
 
     def sample(i: int, base: int, first, ids: list, xs: list, qs: list) -> tuple:
-        back = [k * config.state_stride for k in range(config.state_horizon - 1, -1, -1)]
-        states = [xs[i - k] if base + i >= k else first for k in back if base + i >= k or config.history_pad_mode == "repeat"]
+        back = [k * config.states.stride for k in range(config.states.horizon - 1, -1, -1)]
+        states = [xs[i - k] if base + i >= k else first for k in back if base + i >= k or config.states.pad == "repeat"]
         actions, cut = [], False
-        for j in (i + k * config.action_stride for k in range(config.action_horizon)):
+        for j in (i + k * config.actions.stride for k in range(config.actions.horizon)):
             cut = cut or j < len(xs) and config.quality_filter and qs[j] == 0
-            if not cut and (j < len(xs) or config.action_pad_mode == "repeat"):
+            if not cut and (j < len(xs) or config.actions.pad == "repeat"):
                 actions.append(xs[min(j, len(xs) - 1)])
         return ids[i], states, actions
 
@@ -66,6 +59,12 @@ def compose(frames: DataFrame, config: WindowConfig, episode: Sequence[str], ord
     return frames.groupBy(*episode).applyInPandasWithState(step, f"{anchor} long, states array<double>, actions array<double>", kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def counted(stream: DataFrame, time: str, keys: Sequence[str], size: str, late: str, slide: str | None = None) -> DataFrame:
+    """Rows by tumbling (or, with slide, sliding) windows of event time and by key; rows later than ``late`` are dropped."""
+    w = F.window(time, size, slide)
+    return stream.withWatermark(time, late).groupBy(w, *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
 def run_available(result: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming result over all input there is and return its rows, kept as Parquet in the shared folder."""
     spark = result.sparkSession

@@ -14,7 +14,7 @@ def test_compose_over_micro_batches(spark, tmp_path):
         path = str(tmp_path / mode)
         for low, high in ((0, 2), (2, 5), (5, 6), (6, 99)):  # four files, one after the other
             spark.createDataFrame([r for r in rows if low <= r[2] < high], schema).coalesce(1).write.mode("append").parquet(path)
-        config = windows.WindowConfig(action_horizon=3, action_stride=2, state_horizon=3, state_stride=2, history_pad_mode=mode, action_pad_mode=pad)
+        config = windows.WindowConfig(windows.Reach(3, 2, pad), windows.Reach(3, 2, mode))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
         got = online.run_available(online.compose(stream, config, ["dataset_name", "episode_index"], "ts"))
         spec = Window.partitionBy("dataset_name", "episode_index").orderBy("ts")
