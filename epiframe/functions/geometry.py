@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = list[Column]
@@ -123,6 +123,15 @@ def wrist_poses(array: Column | str, start: int = 0) -> tuple[Matrix, Matrix]:
     return pose(v[0:3], v[6:12]), pose(v[3:6], v[12:18])
 
 
+def flat(m: Matrix) -> Column:
+    return F.array(*(x for row in m for x in row))
+
+
+def with_poses(df: DataFrame, array: str, left: str, right: str, start: int = 0) -> DataFrame:
+    """df with both poses of an array as flat matrices: computed once, for expressions that use them many times."""
+    return df.withColumns({left: flat(wrist_poses(array, start)[0]), right: flat(wrist_poses(array, start)[1])})
+
+
 def wrist_vector(left: Matrix, right: Matrix) -> Vector:
     t = [[m[i][3] for i in range(3)] for m in (left, right)]
     return [*t[0], *t[1], *rot6d_of(left), *rot6d_of(right)]

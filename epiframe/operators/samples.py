@@ -23,29 +23,35 @@ def truncated_hands(hands: G.Vector, each: int) -> G.Vector:
     return [*hands[:each], *hands[half : half + each]]
 
 
-def process_state_action(wrist: Column | str, hands: G.Vector, extrinsic: G.Matrix, each: int, motion: str = "mano") -> G.Vector:
+Poses = tuple[G.Matrix, G.Matrix]
+
+
+def process_state_action(poses: Poses, hands: G.Vector, extrinsic: G.Matrix, each: int, motion: str = "mano") -> G.Vector:
     """A pose in the camera's frame: 18 wrist numbers, then both hands, as they are (mano) or, as points, in their wrist's
     frame (fingertips). Each hand keeps its first numbers."""
     hands = truncated_hands(hands, each)
     if motion == "fingertips":
-        left, right = G.wrist_poses(wrist)
-        points = [hands[k : k + 3] for k in range(0, len(hands), 3)]
-        hands = [x for p in G.hand_to_wrist(points, left, right) for x in p]
+        hands = [x for p in G.hand_to_wrist([hands[k : k + 3] for k in range(0, len(hands), 3)], *poses) for x in p]
     elif motion != "mano":
         raise ValueError(f"unknown motion: {motion}")
-    return [*G.wrist_to_frame(wrist, extrinsic), *hands]
+    return [*(G.finite_or_zero(x) for x in G.wrist_vector(*(G.matmul(extrinsic, p) for p in poses))), *hands]
 
 
-def relative_action(state: Column | str, action: Column | str, size: int) -> G.Vector:
+def relative_action(state: Poses, action: Poses, state_hands: G.Vector, action_hands: G.Vector) -> G.Vector:
     """An action seen from a state: wrists by the inverse of the state's poses, hands by difference."""
-    wrists = [G.relative_pose(s, a) for s, a in zip(G.wrist_poses(state), G.wrist_poses(action))]
-    return [*G.wrist_vector(*wrists), *(a - s for s, a in zip(G.vector(state, 18, size - 18), G.vector(action, 18, size - 18)))]
+    wrists = [G.relative_pose(s, a) for s, a in zip(state, action)]
+    return [*G.wrist_vector(*wrists), *(a - s for s, a in zip(state_hands, action_hands))]
 
 
-def absolute_action(state: Column | str, relative: Column | str, size: int) -> G.Vector:
+def absolute_action(state: Poses, relative: Poses, state_hands: G.Vector, relative_hands: G.Vector) -> G.Vector:
     """The inverse of relative_action."""
-    wrists = [G.matmul(s, a) for s, a in zip(G.wrist_poses(state), G.wrist_poses(relative))]
-    return [*G.wrist_vector(*wrists), *(a + s for s, a in zip(G.vector(state, 18, size - 18), G.vector(relative, 18, size - 18)))]
+    wrists = [G.matmul(s, a) for s, a in zip(state, relative)]
+    return [*G.wrist_vector(*wrists), *(a + s for s, a in zip(state_hands, relative_hands))]
+
+
+def hand_points_to_camera(points: list[G.Vector], poses: Poses) -> list[G.Vector]:
+    """Points of both hands, each in its wrist's frame, by the wrists' poses in the camera's frame."""
+    return [G.transform_point(poses[k >= len(points) // 2], p) for k, p in enumerate(points)]
 
 
 def history(values: Column, horizon: int, pad: str = "repeat") -> tuple[Column, Column]:

@@ -186,3 +186,6 @@ WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS hq FROM
   SELECT event_id, hq, [value, lead(value, 2) OVER w, lead(value, 4) OVER w, lead(value, 6) OVER w] AS v, [hq, lead(hq, 2) OVER w, lead(hq, 4) OVER w, lead(hq, 6) OVER w] AS q FROM e {_EV}
 ), b AS (SELECT *, coalesce(list_position(q, 0), 5) AS cut FROM a WHERE hq = 1)
 SELECT event_id, CAST(k AS INT) AS k, round(v[k + 1], 6) AS x, 3 AS n_states FROM b, unnest(range(0, 4)) AS t(k) WHERE k + 1 < cut AND v[k + 1] IS NOT NULL"""
+
+
+from . import sample_oracles  # noqa: E402, F401  adds its SQL too

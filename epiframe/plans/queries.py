@@ -350,3 +350,6 @@ def stream_windows_equals_batch(spark, sf_dir):
     config = windows.WindowConfig(windows.Reach(4, 2, "truncate"), windows.Reach(3, 2))
     out = online.run_available(online.compose(spark.readStream.schema(frames.schema).parquet(path), config, ["dataset_name", "episode_index"], "ts"))
     return out.select("event_id", F.posexplode("actions").alias("k", "x"), F.size("states").alias("n_states")).select("event_id", "k", r6("x").alias("x"), "n_states")
+
+
+from . import sample_queries  # noqa: E402, F401  registers its queries too
