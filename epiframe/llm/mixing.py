@@ -18,7 +18,7 @@ share their fate; extra columns stay, and columns with the names of results are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, own_name, small_side
@@ -96,8 +96,8 @@ def margins(rated: DataFrame, temper: float = TEMPER, keep: float = KEEP) -> Dat
     for d in DIMENSIONS:
         by = rated.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.max(f"goal_{d}").alias("goal"), F.sum("weight").alias("expected"), F.max("total").alias("total"))
         by = by.withColumn("share", F.pow(F.col("tokens") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(temper)))
-        share = by.agg(F.sum("share").alias("shares"))
-        parts.append(by.join(F.broadcast(share)).select(F.lit(d).alias("dimension"), "value", "tokens", (F.lit(keep) * F.col("total") * F.col("share") / F.col("shares")).alias("target"), "goal", "expected"))
+        shares = F.sum("share").over(Window.partitionBy("total"))  # one total: a row to each value of a dimension
+        parts.append(by.select(F.lit(d).alias("dimension"), "value", "tokens", (F.lit(keep) * F.col("total") * F.col("share") / shares).alias("target"), "goal", "expected"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
