@@ -91,7 +91,7 @@ the old name of the town
 he will call at six
 """.strip()
 
-#: Written after that, and not looked at before the figures in the README were taken.
+#: Written after the features were chosen. Prose lines were added to the training table since, and nothing for these.
 UNSEEN = """
 tickets from ella/e at/e stage/e dot/e com/e only
 my mail is hugo.9/e (at)/e farm/e (dot)/e org/e now
