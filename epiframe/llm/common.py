@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was written out and counted at no more rows than this.
 BROADCAST_ROWS = 400_000
+#: A key is hot if it has more than this part of a table's rows; so fewer keys than this number are.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,18 @@ def small_side(df: DataFrame, weight: Column | None = None, rows: int = BROADCAS
     return F.broadcast(df) if n <= rows and items <= 4 * rows else df
 
 
+def spread_join(df: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """df joined with side, which has one row to a key (never null) and in column n how many of df's ``total`` rows have it.
+
+    Rows of hot keys stay where they are and meet their fewer than ``HOT_KEYS`` side rows by broadcast, so that no
+    task gets all rows of such a key; the rest join by shuffle.
+    """
+    hot = F.col(n) * HOT_KEYS > F.lit(total)
+    few = F.broadcast(side.where(hot))
+    cold = df.join(F.broadcast(side.where(hot).select(key)), key, "left_anti").join(side.where(~hot), key)
+    return df.join(few, key).unionByName(cold).drop(n)
+
+
 def own_name(taken: Iterable[str], name: str) -> str:
     """A name for a working column that clashes with none of the caller's, whatever their case."""
     low = {c.lower() for c in taken}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import materialize, own_name, slices, spread_join
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 SAMPLE = 50_000
@@ -254,20 +254,20 @@ def _compare(q: np.ndarray, x: np.ndarray, radius: int) -> list[tuple[np.ndarray
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges (a, b): root is the smallest node of the component, by large-star and small-star steps.
 
-    Nodes are ordered as signed longs. Each step is two joins on a node's smallest neighbour, summed before they
-    shuffle, so a node with many neighbours is no single task's work.
+    Nodes are ordered as signed longs. Each step is two joins on a node's smallest neighbour, which is found by partial
+    sums; the edges of a node with many neighbours join by broadcast, so that they are no single task's work.
     """
     now, state = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
     while True:
         # large star: every larger neighbour moves to the smallest of the node and its neighbours
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        now = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = materialize(now, "edges")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        moved = spread_join(both, low, "u", "n", 2 * now.count())
+        now = materialize(moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         # small star: a node and its smaller neighbours move to the smallest of these
-        low = now.groupBy("u").agg(F.min("v").alias("m"))
-        joined = now.join(low, "u")
-        now = materialize(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct(), "edges")
+        low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = spread_join(now, low, "u", "n", now.count())
+        now = materialize(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct(), "edges")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -277,9 +277,11 @@ def components(edges: DataFrame) -> DataFrame:
 def with_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, fp) with component_id, the smallest doc_id reachable over links."""
     df = materialize(docs.drop("component_id"), "fingerprints")
-    distinct = materialize(df.groupBy("fp").agg(F.min("doc_id").alias("_low")), "distinct")
+    distinct = materialize(df.groupBy("fp").agg(F.min("doc_id").alias("_low"), F.count("*").alias("_n")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_low", F.coalesce("root", "fp").alias("_root"))
-    lowest = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    found = rooted.join(lowest, "_root").select("fp", "component_id")
-    return df.join(found, "fp").select(*df.columns, "component_id")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_low", "_n", F.coalesce("root", "fp").alias("_root"))
+    rooted = materialize(rooted, "rooted")
+    lowest = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"), F.count("*").alias("_members"))
+    found = materialize(spread_join(rooted, lowest, "_root", "_members", rooted.count()).select("fp", "_n", "component_id"), "found")
+    side = found.select("fp", F.col("_n").alias(count := own_name(df.columns, "n")), "component_id")
+    return spread_join(df, side, "fp", count, df.count()).select(*df.columns, "component_id")

@@ -72,6 +72,20 @@ def test_components(spark, monkeypatch, m, block):
     assert run(spark, rows) == brute_components(rows)
 
 
+@pytest.mark.parametrize("hot_keys", [1, 8, 1000])
+def test_hot_keys(spark, monkeypatch, hot_keys):
+    """A fingerprint with a third of all rows and a hub with many near copies, joined by shuffle, in part and by broadcast."""
+    from epiframe.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    r = np.random.default_rng(9)
+    hub = int(r.integers(0, 2**63, dtype=np.uint64))
+    near = [hub ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.integers(0, 64, (60, 2))]
+    fps = near + [hub] * 120 + [int(x) for x in r.integers(0, 2**63, 180, dtype=np.uint64)]
+    rows = [(int(k), f) for k, f in zip(r.permutation(len(fps)), fps)] + [(None, hub), (4, hub)]
+    assert run(spark, rows) == brute_components(rows)
+
+
 def test_thresholds_sum():
     r = np.random.default_rng(1)
     fps = r.integers(0, 2**63, 300, dtype=np.uint64)
