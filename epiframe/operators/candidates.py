@@ -14,6 +14,13 @@ def best_candidate(formatting: Column, visual: Column, relevance: Column, weight
     return F.when(F.size(score) == 1, 0).otherwise(F.array_position(score, F.array_max(score)).cast("int") - 1)
 
 
+def best_row(row: Column, turn: Column, formatting: Column, visual: Column, relevance: Column, weights: tuple[float, float, float] = (0.5, 0.5, 0.5)) -> Column:
+    """The same over a group's rows, as an aggregate: the row of greatest score, of the first turn among equals. One row
+    is held to a group, before the shuffle and after it."""
+    rated = [F.coalesce(c.cast("double"), F.lit(0.0)) * w for c, w in zip((formatting, visual, relevance), weights)]
+    return F.max_by(row, F.struct(rated[0] + rated[1] + rated[2], -turn))
+
+
 def prompt(instruction: Column, n_states: Column, intrinsic: list[Column] | None = None) -> Column:
     """Task text, a placeholder to each state, and the camera's numbers with two digits."""
     text = F.concat(F.lit("Task: "), instruction, F.lit(" States: "), F.repeat(F.lit("<state>"), n_states))

@@ -63,9 +63,8 @@ def history(values: Column, horizon: int, pad: str = "repeat") -> tuple[Column,
     return last, n
 
 
-def qa_row(texts: Column, chosen: Column, source: Column, dataset: Column, number: Column) -> dict[str, Column]:
-    """Columns of a question row: chosen turn, no views, names and numbers with their defaults."""
-    turn = F.get(texts, chosen)
+def qa_row(turn: Column, source: Column, dataset: Column, number: Column) -> dict[str, Column]:
+    """Columns of a question row: the chosen turn (user, assistant), no views, names and numbers with their defaults."""
     return {
         "question": turn["user"], "answer": turn["assistant"], "is_vla_data": F.lit(False), "view_mask": F.array(F.lit(False), F.lit(False)),
         "dataset_name": F.coalesce(source, dataset, F.lit("unknown")), "episode_index": F.coalesce(number, F.lit(-1)),

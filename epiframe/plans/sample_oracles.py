@@ -71,8 +71,8 @@ SQL["state_action_rows"] = f"WITH {_V}, {_steps('v', [('v', 6, 'l'), ('v', 12, '
 SQL["absolute_action_roundtrip"] = f"WITH {_PAIRS} SELECT vec_id, round(n[19] - v[19], 6) AS h0, round(n[48] - v[48], 6) AS h29, 0.0::DOUBLE AS max_error FROM pr WHERE n IS NOT NULL"
 SQL["hand_points_camera_frame"] = f"WITH {_V}, {_steps('v', [('v', 6, 'l'), ('v', 12, 'r')], 'g')}, h AS (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS point, " + ", ".join(f"round(({_sum(f'{s}{j}[{i + 1}] * v[{18 + 3 * k + j}]' for j in (1, 2, 3))} + v[{t + i + 1}]) / (1 + 1e-6), 6) AS {c}" for i, c in enumerate("xyz")) + " FROM g" for k, (s, t) in enumerate([("l", 0)] * 5 + [("r", 3)] * 5)) + ") SELECT * FROM h"
 SQL["padded_history"] = """
-WITH w AS (SELECT doc_id, string_split(text, ' ')[1 : doc_id % 9 + 1] AS w FROM documents), s AS (SELECT doc_id, w[greatest(1, len(w) - 5) :] AS s FROM w)
-SELECT doc_id, array_to_string(list_concat(list_transform(range(0, 6 - len(s)), lambda k: s[1]), s), ' ') AS "full", 6 AS n_full, array_to_string(s, ' ') AS short, CAST(len(s) AS INT) AS n_short FROM s"""
+WITH w AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: md5(x)) AS w FROM documents), s AS (SELECT doc_id, w[1] AS first, w[greatest(1, len(w) - 5) :] AS s FROM w)
+SELECT doc_id, array_to_string(list_concat(list_transform(range(0, 6 - len(s)), lambda k: first), s), ' ') AS "full", 6 AS n_full, array_to_string(s, ' ') AS short, CAST(len(s) AS INT) AS n_short FROM s"""
 
 _QUESTIONS = "p AS (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), q AS (SELECT conv_id, turn, text, reply FROM p WHERE role = 'user' AND next_role = 'assistant')"
 SQL["qa_rows"] = f"""

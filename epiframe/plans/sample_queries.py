@@ -134,20 +134,19 @@ def hand_points_camera_frame(spark, sf_dir):
 
 @query
 def padded_history(spark, sf_dir):
-    """The last six words of a document, the first repeated where there are fewer, or left short."""
-    words = F.slice(F.split("text", " "), 1, (F.col("doc_id") % 9 + 1).cast("int"))
-    full, n = samples.history(words, 6)
-    short, m = samples.history(words, 6, "truncate")
+    """The last six lines of a document, by digest, the first repeated where there are fewer, or left short."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.md5(x))
+    full, n = samples.history(lines, 6)
+    short, m = samples.history(lines, 6, "truncate")
     return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(full, " ").alias("full"), n.alias("n_full"), F.array_join(short, " ").alias("short"), m.alias("n_short"))
 
 
 @query
 def qa_rows(spark, sf_dir):
     pairs = A.question_pairs(spark, sf_dir)
-    grouped = pairs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("user"), F.col("reply").alias("assistant"), "formatting", "visual", "relevance"))).alias("c"))  # the turns of one conversation
-    chosen = candidates.best_candidate(F.col("c.formatting"), F.col("c.visual"), F.col("c.relevance"))
-    row = samples.qa_row(F.col("c"), chosen, F.when(F.col("conv_id") % 3 == 0, F.lit("web")), F.when(F.col("conv_id") % 3 == 1, F.lit("book")), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")))
-    df = grouped.select("conv_id", *(v.alias(k) for k, v in row.items()))
+    best = candidates.best_row(F.struct(F.col("text").alias("user"), F.col("reply").alias("assistant")), F.col("turn"), F.col("formatting"), F.col("visual"), F.col("relevance"))
+    row = samples.qa_row(F.col("best"), F.when(F.col("conv_id") % 3 == 0, F.lit("web")), F.when(F.col("conv_id") % 3 == 1, F.lit("book")), F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")))
+    df = pairs.groupBy("conv_id").agg(best.alias("best")).select("conv_id", *(v.alias(k) for k, v in row.items()))
     return df.select("conv_id", "question", "answer", "is_vla_data", F.exists("view_mask", lambda x: x).alias("any_view"), "dataset_name", "episode_index")
 
 
