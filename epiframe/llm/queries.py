@@ -85,7 +85,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 2).alias("weight"), F.round("probability", 9).alias("probability"), "sampled")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op7_secrets, op8_simhash, op9_personal_data, op10_mixing)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more documents share."""
+    from .lines import drop_lines
+
+    docs = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op7_secrets, op8_simhash, op9_personal_data, op10_mixing, op11_line_dedup)}
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
@@ -154,3 +162,10 @@ raked AS (
 SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 2) AS weight, round(probability, 9) AS probability,
   CAST('0x' || substr(md5(CAST(coalesce(doc_id, 0) AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
 FROM t JOIN rated r ON t.source IS NOT DISTINCT FROM r.source AND t.lang IS NOT DISTINCT FROM r.lang AND t.topic = r.topic"""
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SQL["op11_line_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), x AS (SELECT r, k, l[k] AS line, translate(trim(l[k], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), {_LOWER}) AS key FROM d, unnest(range(1, len(l) + 1)) AS t(k)
+), hot AS (SELECT key FROM x WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
+), kept AS (SELECT r, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM x WHERE key NOT IN (SELECT key FROM hot) GROUP BY r)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
