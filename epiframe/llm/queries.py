@@ -93,7 +93,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op7_secrets, op8_simhash, op9_personal_data, op10_mixing, op11_line_dedup)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of all documents."""
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all documents for each benchmark item."""
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_binary, op2_decontaminate, op3_warc, op4_url_filter, op5_quality, op6_substring_dedup, op7_secrets, op8_simhash, op9_personal_data, op10_mixing, op11_line_dedup, op12_collocations, op13_lexical_search)}
 WORD = r"[^\x20\x09-\x0D]+"
 
 SQL: dict[str, str] = {
@@ -169,3 +183,27 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text,
 ), hot AS (SELECT key FROM x WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
 ), kept AS (SELECT r, string_agg(line, chr(10) ORDER BY k) AS text, count(*) AS n FROM x WHERE key NOT IN (SELECT key FROM hot) GROUP BY r)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+SQL["op12_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS s(size), unnest(range(1, len(w) - size + 2)) AS t(i)
+), f AS (SELECT lang, size, phrase, CAST(count(*) AS BIGINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.f // (x.f + y.f) AS BIGINT) AS score
+  FROM c, unnest(range(1, size)) AS t(k) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.size], ' ')
+), low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (SELECT lang, array_to_string(w[i : i + n - 1], ' ') AS phrase, max(f) AS around FROM c, unnest(range(2, size)) AS s(n), unnest(range(1, size - n + 2)) AS t(i) GROUP BY 1, 2
+), kept AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+SQL["op13_lexical_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), q AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), asked AS (SELECT q, t, count(*) AS c FROM q, unnest(w) AS u(t) GROUP BY ALL
+), tf AS (SELECT r, t, count(*) AS tf FROM d, unnest(w) AS u(t) WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0
+), rated AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY t, docs
+), sized AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * docs) // words AS m FROM d, total
+), scores AS (SELECT q, r, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN tf USING (t) JOIN rated USING (t) JOIN sized USING (r) GROUP BY q, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores JOIN q USING (q) JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 10"""
