@@ -124,9 +124,9 @@ class Postings:
 class Scorer:
     """The sums and the bitset of one task, used for one window and query after the other, and the queries' heaps."""
 
-    def __init__(self, queries: list[Counter], k: int):
+    def __init__(self, queries: list[Counter], k: int, window: int = WINDOW):
         self.queries, self.k, self.seen = queries, k, 0
-        self.sums, self.marks = np.zeros(WINDOW, np.int64), np.zeros((WINDOW + 63) // 64, np.uint64)
+        self.sums, self.marks = np.zeros(window, np.int64), np.zeros((window + 63) // 64, np.uint64)
         self.heaps: list[list[tuple]] = [[] for _ in queries]
 
     def window(self, postings: Postings, doc_ids: list) -> None:
@@ -162,24 +162,24 @@ class Scorer:
                 heapq.heappushpop(heap, entry)
 
 
-def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of term vectors in their order, ``WINDOW`` at a time, or fewer if they hold many postings."""
+def windows_of(batches: Iterator[pa.RecordBatch], window: int = WINDOW, most: int = WINDOW_POSTINGS) -> Iterator[pa.Table]:
+    """Rows of term vectors in their order, ``window`` at a time, or fewer if they hold many postings."""
     held, rows, postings = [], 0, 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, WINDOW - rows)
+            part = batch.slice(at, window - rows)
             held.append(part)
             at, rows = at + part.num_rows, rows + part.num_rows
             postings += len(part.column("terms").flatten())
-            if rows == WINDOW or postings >= WINDOW_POSTINGS:
+            if rows == window or postings >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, rows, postings = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _best(vectors: DataFrame, block: Block, k: int) -> DataFrame:
+def _best(vectors: DataFrame, block: Block, k: int, size: int, most: int) -> DataFrame:
     """(q, doc_id, score): each task's best documents of each query."""
     docs, words = vectors.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(vectors, len(block.ids))
@@ -188,8 +188,8 @@ def _best(vectors: DataFrame, block: Block, k: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, weights = shared.value
-        scorer = Scorer(queries, k)
-        for window in windows_of(batches):
+        scorer = Scorer(queries, k, size)
+        for window in windows_of(batches, size, most):
             terms, tfs = (window.column(c).combine_chunks() for c in ("terms", "tfs"))
             terms, tfs = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (terms, tfs))
             offsets = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
@@ -203,13 +203,13 @@ def _best(vectors: DataFrame, block: Block, k: int) -> DataFrame:
     return dealt.mapInArrow(score, "q int, doc_id long, score long")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = TOP, window: int = WINDOW, window_postings: int = WINDOW_POSTINGS) -> DataFrame:
     """The k best documents(doc_id, text) for each of items(item_id, text): item_id, rank from 1, doc_id, score."""
     spark, out = docs.sparkSession, None
     for ids, block in blocks_of(items):
         vectors = materialize(term_vectors(docs, block), "term-vectors")
         names = spark.createDataFrame(list(enumerate(ids)), "q int, item_id long")
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()))
-        best = _best(vectors, block, k).withColumn("rank", place).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score")
+        best = _best(vectors, block, k, window, window_postings).withColumn("rank", place).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score")
         out = best if out is None else out.unionByName(best)
     return out if out is not None else spark.createDataFrame([], FOUND)

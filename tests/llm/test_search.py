@@ -32,8 +32,8 @@ def brute(docs, items, k=10):
     return sorted(out, key=str)
 
 
-def run(docs, items, k=10):
-    return sorted((tuple(r) for r in s.search(docs, items, k).collect()), key=str)
+def run(docs, items, k=10, **options):
+    return sorted((tuple(r) for r in s.search(docs, items, k, **options).collect()), key=str)
 
 
 DOCS = [
@@ -45,22 +45,20 @@ ITEMS = [(1, "the cat"), (2, "cat CAT rare"), (3, None), (4, ""), (5, "nowhere")
 
 @pytest.mark.parametrize("window, postings, block, k", [(1 << 15, 8_000_000, 2_000_000, 10), (3, 8_000_000, 2, 10), (64, 4, 5, 2), (1, 1, 1, 1)])
 def test_odd_texts(spark, monkeypatch, window, postings, block, k):
-    for name, value in (("WINDOW", window), ("WINDOW_POSTINGS", postings), ("BLOCK_WORDS", block)):
-        monkeypatch.setattr(s, name, value)
+    monkeypatch.setattr(s, "BLOCK_WORDS", block)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
-    assert run(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), k) == brute(DOCS, ITEMS, k)
+    assert run(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), k, window=window, window_postings=postings) == brute(DOCS, ITEMS, k)
 
 
 @pytest.mark.parametrize("window", [100, 1 << 15])
-def test_many_ties(spark, monkeypatch, window):
+def test_many_ties(spark, window):
     """A third of the documents are copies, so that equal scores go over the edges of windows and tasks."""
-    monkeypatch.setattr(s, "WINDOW", window)
     rng = random.Random(3)
     docs = [(k * 7 - 900, "copy of one text" if k % 3 == 0 else " ".join(rng.choices("abcdefgh", k=rng.randrange(9)))) for k in range(1500)]
     items = [(k, " ".join(rng.choices("abcdefghx", k=rng.randrange(6)))) for k in range(40)] + [(100, "one copy"), (101, "text a")]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
-    assert run(df, spark.createDataFrame(items, "item_id long, text string")) == brute(docs, items)
+    assert run(df, spark.createDataFrame(items, "item_id long, text string"), window=window) == brute(docs, items)
 
 
 def test_weight_of_a_term_in_all_documents_may_be_nought(spark):
