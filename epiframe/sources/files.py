@@ -36,3 +36,15 @@ def open_in(uri: str):
     """A binary input stream."""
     system, path = _located(uri)
     return system.open_input_stream(path, compression=None)
+
+
+def open_at(uri: str):
+    """A binary input that can be read from any place."""
+    system, path = _located(uri)
+    return system.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    """Delete a folder and what it holds."""
+    system, path = _located(uri)
+    system.delete_dir(path)

@@ -26,7 +26,8 @@ from .files import open_in, open_out
 #: Suffixes of members and the columns they fill.
 MEDIA = {"image.jpg": "image", "depth.npy": "depth", "chest_image.jpg": "chest_image", "chest_depth.npy": "chest_depth"}
 ALWAYS = ("meta.json", "lowdim.npy")
-BATCH = 256
+#: Frames, and bytes of media, to an output batch.
+BATCH, BATCH_BYTES = 256, 16 << 20
 
 
 def expand(spark: SparkSession, patterns: str | Sequence[str]) -> list[str]:
@@ -94,12 +95,13 @@ def read_frames(spark: SparkSession, patterns: str | Sequence[str], image: bool
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                rows = []
+                rows, held = [], 0
                 for row in frames_of(shard, suffixes):
                     rows.append(row)
-                    if len(rows) == BATCH:
+                    held += sum(len(row[c] or b"") for c in MEDIA.values())
+                    if len(rows) == BATCH or held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
@@ -107,23 +109,26 @@ def read_frames(spark: SparkSession, patterns: str | Sequence[str], image: bool
 
 
 def write_frames(frames: DataFrame, path: str) -> list[str]:
-    """One shard to each partition of frames(key, meta, lowdim, media..), in its order, under path; returns their paths."""
+    """One shard to each partition of frames(key, meta, lowdim, media..), in its order, under path; returns their paths.
+    Without a column lowdim there are no vectors; a map ``members`` adds data by suffix."""
     media = {s: c for s, c in MEDIA.items() if c in frames.columns}
+    vectors, more = "lowdim" in frames.columns, "members" in frames.columns
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, tar, out, n = f"{path}/{uuid.uuid4().hex}.tar", None, None, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(0, batch.num_rows, 32) for r in batch.slice(k, 32).to_pylist()):
                 if tar is None:
                     out = open_out(uri)
                     tar = tarfile.open(fileobj=out, mode="w|")
                 held = io.BytesIO()
-                np.save(held, np.array(row["lowdim"] or [], np.float32))
-                parts = {"meta.json": (row["meta"] or "{}").encode(), "lowdim.npy": held.getvalue(), **{s: row[c] for s, c in media.items() if row[c] is not None}}
+                np.save(held, np.array((row["lowdim"] if vectors else None) or [], np.float32))
+                parts = {"meta.json": (row["meta"] or "{}").encode()} | ({"lowdim.npy": held.getvalue()} if vectors else {}) | {s: row[c] for s, c in media.items() if row[c] is not None} | (dict(row["members"] or []) if more else {})
                 for suffix, data in parts.items():
                     info = tarfile.TarInfo(f"{row['key']}.{suffix}")
                     info.size = len(data)
                     tar.addfile(info, io.BytesIO(data))
+                tar.members = []  # else the archive keeps a record of each member
                 n += 1
         if tar is not None:
             tar.close()
