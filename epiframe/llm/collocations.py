@@ -44,7 +44,7 @@ SCALE = 2_000_000
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
 BLANKS = re.compile(rb"[ \t]+")
 SLICE_BYTES = 8 << 20
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 3_000_000
 FILTER_BITS = 28
 #: Bits to a bitmap of Spark's bitmap functions.
 BITMAP = 32768
@@ -103,13 +103,15 @@ class Words:
     def __init__(self):
         new = itertools.count().__next__
         self.ids: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(new))
-        self.flat, self.sizes, self.times = [], [], []
+        self.flat, self.sizes, self.times, self.n = [], [], [], 0
 
-    def add(self, lang: str, piece: str, times: int) -> None:
-        before = len(self.flat)
-        self.flat += map(self.ids[lang].__getitem__, piece.encode().split(b" "))
-        self.sizes.append(len(self.flat) - before)
+    def add(self, lang: str, pieces: pa.Array, times: np.ndarray) -> None:
+        """Pieces (bytes) of one language."""
+        words = b" ".join(pieces.to_pylist()).split(b" ")
+        self.flat.append(np.fromiter(map(self.ids[lang].__getitem__, words), np.int64, len(words)))
+        self.sizes.append(pc.count_substring(pieces, b" ").to_numpy().astype(np.int64) + 1)
         self.times.append(times)
+        self.n += len(words)
 
     def sums(self, size: int, known: Filter | None) -> Iterator[pa.RecordBatch]:
         """Weighted counts of the n-grams of ``size`` words whose shorter ones the filter has."""
@@ -119,27 +121,37 @@ class Words:
         for k, ids in enumerate(self.ids.values()):
             for word, i in ids.items():
                 words[i], lang_of[i], hashes[i] = word, k, xxhash.xxh64_intdigest(word, seeds[k])
-        ids, sizes = np.array(self.flat, np.int64), np.array(self.sizes, np.int64)
-        times, left = np.repeat(np.array(self.times, np.int64), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))
+        ids, sizes = np.concatenate(self.flat), np.concatenate(self.sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))
         at = np.flatnonzero(left >= size)
         if known is not None:
             shorter = np.flatnonzero(left >= size - 1)
             may = np.zeros(len(ids) + 1, bool)
             may[shorter] = known.has(self.mixed(hashes, ids, shorter, size - 1))
             at = at[may[at] & may[at + 1]]
-        code = ids[at]
-        for j in range(1, size):
-            code = np.unique(code, return_inverse=True)[1] * len(words) + ids[at + j] if j > 1 else code * len(words) + ids[at + j]
-        _, first, group = np.unique(code, return_index=True, return_inverse=True)
-        n = np.zeros(len(first), np.int64)
-        np.add.at(n, group, times[at])
-        at, table = at[first], pa.array(words, pa.binary())
-        for part in range(0, len(at), 100_000):
-            p = at[part : part + 100_000]
+        first, n = self.grouped(ids, at, size, len(words), np.repeat(np.concatenate(self.times), sizes)[at])
+        table = pa.array(words, pa.binary())
+        for part in range(0, len(first), 100_000):
+            p = first[part : part + 100_000]
             phrase = pc.binary_join_element_wise(*(table.take(pa.array(ids[p + j])) for j in range(size)), pa.scalar(b" ", pa.binary())).cast(pa.string())
             lang = pa.array(langs, pa.string()).take(pa.array(lang_of[ids[p]]))
             yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(self.mixed(hashes, ids, p, size).view(np.int64)), pa.array(n[part : part + 100_000])], names=["lang", "phrase", "h", "n"])
 
+    @staticmethod
+    def grouped(ids: np.ndarray, at: np.ndarray, size: int, words: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each distinct n-gram, and the sum of its weights. N-grams are told apart by their words' numbers
+        as digits; a prefix is numbered anew where the next digit would pass 63 bits."""
+        code, most = ids[at], max(1, words)
+        for j in range(1, size):
+            if most * words >= 1 << 63:
+                code = np.unique(code, return_inverse=True)[1]
+                most = len(at)
+            code, most = code * words + ids[at + j], most * words
+        order = np.argsort(code)
+        code = code[order]
+        begins = np.flatnonzero(np.diff(code, prepend=-1))
+        return at[order[begins]], np.add.reduceat(times[order], begins) if len(begins) else np.empty(0, np.int64)
+
     @staticmethod
     def mixed(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         """A hash of each n-gram from those of its words."""
@@ -157,12 +169,14 @@ def count_level(distinct: DataFrame, size: int, known: Filter | None, least: int
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "piece", "times"))):
-                held.add(*row)
-                if len(held.flat) >= BATCH_WORDS:
+            for part in slices(batch, "piece", SLICE_BYTES):
+                for lang in part.column("lang").unique():
+                    own = part.filter(pc.equal(part.column("lang"), lang))
+                    held.add(lang.as_py(), own.column("piece"), own.column("times").to_numpy())
+                if held.n >= BATCH_WORDS:
                     yield from held.sums(size, shared.value)
                     held = Words()
-        if held.flat:
+        if held.n:
             yield from held.sums(size, shared.value)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +186,8 @@ def count_level(distinct: DataFrame, size: int, known: Filter | None, least: int
             con.register("partial", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
             yield from con.sql(f"SELECT lang, phrase, min(h) AS h, CAST(sum(n) AS BIGINT) AS n FROM partial GROUP BY lang, phrase HAVING sum(n) >= {int(least)}").to_arrow_reader(100_000)
 
-    return distinct.mapInArrow(partial, COUNTED).repartition("h").mapInArrow(bucket, COUNTED)
+    rows = distinct.select("lang", F.encode("piece", "UTF-8").alias("piece"), "times")
+    return rows.mapInArrow(partial, COUNTED).repartition("h").mapInArrow(bucket, COUNTED)
 
 
 def phrase_counts(distinct: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT) -> DataFrame:
