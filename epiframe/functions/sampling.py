@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,49 @@ def beta_time(u: Column, alpha: float, sigma: float = 0.0) -> Column:
     return F.lit(1 - sigma) * (1 - F.pow(u, F.lit(1 / alpha)))
 
 
+def beta_time_of(u: Column, alpha: float, beta: float, sigma: float = 0.0) -> Column:
+    """(1 - sigma)(1 - z) of z from Beta(alpha, beta), for any positive alpha and beta."""
+    if alpha <= 0 or beta <= 0:
+        raise ValueError(f"alpha and beta must be positive: {alpha}, {beta}")
+
+    @F.pandas_udf("double")
+    def inverse(x: pd.Series) -> pd.Series:
+        return pd.Series(beta_quantile(x.to_numpy(np.float64), alpha, beta))
+
+    return F.lit(1 - sigma) * (1 - inverse(u))
+
+
+def beta_share(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The distribution function of Beta(a, b) by its continued fraction (Lentz's method), on the side where that converges fast."""
+    x = np.clip(np.asarray(x, np.float64), 0.0, 1.0)
+    turned = x > (a + 1) / (a + b + 2)
+    y, p, q = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    tiny = 1e-300
+    away = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(y), 1 / away(1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    for m in range(1, 400):
+        for term in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / away(1 + term * d), away(1 + term / c)
+            h = h * d * c
+        if np.abs(d * c - 1).max(initial=0) < 1e-15:
+            break
+    with np.errstate(divide="ignore"):
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(y) + q * np.log1p(-y))
+    share = np.where(y <= 0, 0.0, front * h / p)
+    return np.where(turned, 1 - share, share)
+
+
+def beta_quantile(u: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Where the distribution function of Beta(a, b) is u, by halving."""
+    low, high = np.zeros_like(u), np.ones_like(u)
+    for _ in range(60):
+        middle = (low + high) / 2
+        under = beta_share(middle, a, b) < u
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return (low + high) / 2
+
+
 def geometric(u: Column, mean: float) -> Column:
     """Trials to the first success at a mean of at least 1."""
     if mean < 1:

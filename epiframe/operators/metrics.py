@@ -6,10 +6,14 @@ count as perfect; both are kept, under names that say which they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parts of an action vector, and thresholds of offline evaluation.
 PARTS = (("wrist_trans", 0, 6), ("wrist_rot", 6, 18), ("hand", 18, 48))
@@ -74,6 +78,35 @@ def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(cell(i, j) for i, j in pairs))).alias("r")).select("r.*")
 
 
+def covariance_summaries(pred: DataFrame) -> DataFrame:
+    """(of, size, trace, determinant, matrix) of the covariances of truth, prediction and error over all steps, from long
+    rows (sample_id, step, dim, gt, pred). Sums of products are over the rows of a step, never of pairs of steps; the
+    matrices are as large as the number of dimensions squared."""
+    err = F.struct((F.col("gt") - F.col("pred")).alias("x"), F.lit("error").alias("of"))
+    sides = F.array(F.struct(F.col("gt").alias("x"), F.lit("gt").alias("of")), F.struct(F.col("pred").alias("x"), F.lit("pred").alias("of")), err)
+    rows = pred.select("sample_id", "step", "dim", F.inline(sides)).groupBy("of", "sample_id", "step").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
+    pairs = F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a["dim"].alias("i"), b["dim"].alias("j"), a["x"].alias("x"), b["x"].alias("y"))))
+    cells = rows.select("of", F.inline(F.flatten(pairs))).groupBy("of", "i", "j").agg(F.covar_samp("x", "y").alias("c"))
+    by = cells.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("i", "j", "c"))).alias("_c"), F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("trace"))
+    size = F.sqrt(F.size("_c")).cast("int")
+    by = by.select("of", size.alias("size"), "trace", F.transform("_c", lambda c: c["c"]).alias("matrix"))
+    return by.withColumn("determinant", determinant("matrix"))
+
+
+@F.pandas_udf(T.DoubleType())
+def determinant(matrix: pd.Series) -> pd.Series:
+    """Determinants of flat square matrices; 0 for a singular one, null for one with a null or of no square size."""
+
+    def one(m) -> float | None:
+        size = 0 if m is None else math.isqrt(len(m))
+        if m is None or size * size != len(m) or np.isnan(a := np.asarray(m, np.float64)).any():
+            return None
+        a = a.reshape(size, size)
+        return 1.0 if not size else float(np.linalg.det(a)) if np.linalg.matrix_rank(a) == size else 0.0
+
+    return matrix.map(one).astype("float64")
+
+
 def mean_of_batch_means(df: DataFrame, value: str, batch: str) -> DataFrame:
     """The mean of batches' means, which is not the mean of samples."""
     return df.groupBy(batch).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean_of_means"), F.count("*").alias("batches"))

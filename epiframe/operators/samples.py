@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -76,6 +76,20 @@ def zero_filled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), fill) if c in df.columns else fill for c, fill in columns.items()})
 
 
+def scatter_slots(tokens: DataFrame, values: DataFrame, sample: str, place: str, masked: Column, k: str = "k", value: str = "value") -> DataFrame:
+    """tokens with ``value``: the k-th masked place of a sample, counted from 0, takes its k-th row of values, others
+    null. A sample with more masked places than values, or fewer, is an error."""
+    w = Window.partitionBy(sample).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = tokens.drop(value).withColumns({"_there": F.lit(True), "_masked": F.coalesce(masked, F.lit(False))})
+    rows = rows.withColumn("_k", F.when(F.col("_masked"), F.count_if(F.col("_masked")).over(w) - 1).cast("long"))
+    side = values.select(F.col(sample), F.col(k).cast("long").alias("_k"), F.col(value).alias("_value"), F.lit(True).alias("_found"))
+    joined = rows.join(side, [sample, "_k"], "full_outer")
+    odd = F.col("_there").isNull() | (F.col("_masked") & F.col("_found").isNull())
+    wrong = F.raise_error(F.concat(F.lit(f"slots and values differ in {sample} "), F.coalesce(F.col(sample).cast("string"), F.lit("null"))))
+    kind = values.schema[value].dataType.simpleString()
+    return joined.withColumn(value, F.when(odd, wrong.cast(kind)).otherwise(F.col("_value"))).select(*tokens.drop(value).columns, value)
+
+
 def view_intrinsics(df: DataFrame, keys: Sequence[str], views: str, intrinsics: str) -> DataFrame:
     """(keys, place, view, intrinsic): a row to each active view, sample by sample, looked up by name with the first
     camera as fallback."""

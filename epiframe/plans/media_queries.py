@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import blend, windows
 from ..sources import adapters as A
 from ..sources import files, media, members, shards
+from . import pictures
 from .queries import query
 
-ENCODED = "key string, meta string, lowdim array<float>, image binary, depth binary"
-
 
 def event_shards(spark: SparkSession, sf_dir: str) -> str:
     """Events as frames, an episode to a user: an image of varying size that holds the event's id."""
@@ -62,52 +56,24 @@ def late_media_bytes(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _pictures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Eight rows of eight pixels from 64 numbers, as PNG, and the numbers as millimetres."""
-    for df in batches:
-        images, depths = [], []
-        for v in df["v"]:
-            a = np.asarray(v, np.int64)
-            pixels = np.stack([a % 256, 255 - a % 256, a // 7 % 256], axis=1).astype(np.uint8)
-            images.append(media.png(pixels.tobytes(), 8, 8))
-            held = io.BytesIO()
-            np.save(held, a.astype(np.uint16).reshape(8, 8))
-            depths.append(held.getvalue())
-        yield pd.DataFrame({"key": df["key"], "meta": df["meta"], "lowdim": [np.zeros(1, np.float32)] * len(df), "image": images, "depth": depths})
-
-
 @query
 def decoded_frames(spark, sf_dir):
     """Embeddings as pictures and depths in shards, read by range and decoded: size, sums of the three colours, metres."""
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), F.transform("v", lambda x: F.floor(F.abs(x) * 1000).cast("int")).alias("v"))
     path = files.shared_path(spark, "picture-shards")
-    shards.write_frames(e.mapInPandas(_pictures, ENCODED), path)
+    shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
     frames = members.located_frames(spark, f"{path}/*.tar").withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "depth": ("image_refs", "depth.npy")})
     out = out.select("shard", "pos", "key", F.get("image", 0).alias("image"), F.get("depth", 0).alias("metres"))
     out = media.decode_depths(media.decode_images(out, ["shard", "key"], "image"), ["shard", "key"], "metres")
-    return out.mapInPandas(_sums, "vec_id long, height int, width int, red long, green long, blue long, corner int, millimetres long")
-
-
-def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        rows = []
-        for key, h, w, pixels, depth in zip(df["key"], df["height"], df["width"], df["pixels"], df["depth"]):
-            a = np.frombuffer(pixels, np.uint8).reshape(h, w, 3)
-            rows.append([int(key[6:]), h, w, *a.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist(), int(a[-1, -1, 2]), int(np.rint(np.frombuffer(depth, "<f4").astype(np.float64) * 1000).sum())])
-        yield pd.DataFrame(rows, columns=["vec_id", "height", "width", "red", "green", "blue", "corner", "millimetres"])
-
-
-def _albums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        yield pd.DataFrame({"key": df["key"], "meta": df["meta"], "members": [{f"image_{n}.jpg": media.png(bytes([k % 256, n, 7]) * (n + 1), 1, n + 1) for n in range(1 + k % 12)} for k in df["conv_id"]]})
+    return out.mapInPandas(pictures.sums, pictures.SUMS)
 
 
 @query
 def qa_images_decoded(spark, sf_dir):
     """Conversations as question samples with one to twelve images, decoded in the order of their names."""
     turns = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("first"))
-    rows = turns.select(F.format_string("qa_%08d", "conv_id").alias("key"), F.to_json(F.struct("first")).alias("meta"), "conv_id").mapInPandas(_albums, "key string, meta string, members map<string, binary>")
+    rows = turns.select(F.format_string("qa_%08d", "conv_id").alias("key"), F.to_json(F.struct("first")).alias("meta"), "conv_id").mapInPandas(pictures.albums, pictures.ALBUM)
     path = files.shared_path(spark, "qa-shards")
     shards.write_frames(rows, path)
     places = media.qa_images(members.located_frames(spark, f"{path}/*.tar"))

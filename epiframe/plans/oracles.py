@@ -188,4 +188,4 @@ WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS hq FROM
 SELECT event_id, CAST(k AS INT) AS k, round(v[k + 1], 6) AS x, 3 AS n_states FROM b, unnest(range(0, 4)) AS t(k) WHERE k + 1 < cut AND v[k + 1] IS NOT NULL"""
 
 
-from . import media_oracles, sample_oracles  # noqa: E402, F401  add their SQL too
+from . import loading_oracles, media_oracles, sample_oracles  # noqa: E402, F401  add their SQL too

@@ -352,4 +352,4 @@ def stream_windows_equals_batch(spark, sf_dir):
     return out.select("event_id", F.posexplode("actions").alias("k", "x"), F.size("states").alias("n_states")).select("event_id", "k", r6("x").alias("x"), "n_states")
 
 
-from . import media_queries, sample_queries  # noqa: E402, F401  register their queries too
+from . import loading_queries, media_queries, sample_queries  # noqa: E402, F401  register their queries too

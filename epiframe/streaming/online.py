@@ -76,3 +76,16 @@ def run_available(result: DataFrame, mode: str = "append") -> DataFrame:
     query = writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(path)
+
+
+def run_to_end(result: DataFrame) -> DataFrame:
+    """Run a streaming result batch by batch, as its source admits them, until the source has no more; returns its rows,
+    kept as Parquet in the shared folder. For sources that end."""
+    spark = result.sparkSession
+    path, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint")
+    query = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(result.schema).parquet(path)
