@@ -36,7 +36,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = b" \t\n\v\f\r"
 MIN_DOCS = 10
 MIN_CHARS = 1
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 ENTRY = "h1 long, h2 long, doc_id long, digest binary, n_lines int, positions array<int>"
 RESULTS = ("n_lines", "n_dropped", "kept_text")
 
