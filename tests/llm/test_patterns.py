@@ -278,3 +278,112 @@ def test_lower_case_addresses_and_accented_names():
         assert found(f"My name is {name} and more") == [(k, name) for k, _ in found("My name is Mary Jones and more")]
     # a text's result does not hang on the text before it in its batch
     assert pii.crf_spans(["name", "John Smith"], pii.train())[1] == pii.crf_spans(["John Smith"], pii.train())[0]
+
+
+SECRET = "password=hunter22"
+
+
+def test_base64_behind_any_prefix():
+    """Of every length, and after every character that runs of base64 have."""
+    once, packed = base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode()
+    twice = base64.b64encode(f"id={once}".encode()).decode()
+    prefixes = ["", "x_", "url/ab/", "https://x.org/abc/", "a-b-", "k+", "Zz9"] + ["q" * n for n in range(1, 9)] + [f"{'ab/' * n}" for n in range(1, 6)]
+    for token in (once, packed, twice, once.rstrip("="), base64.b64encode(zlib.compress(SECRET.encode())).decode(), base64.b64encode(bz2.compress(SECRET.encode())).decode(), base64.b64encode(lzma.compress(SECRET.encode())).decode()):
+        for prefix in prefixes:
+            text = f"see {prefix}{token} there"
+            at = 4 + len(prefix)
+            found = [(a, b) for k, a, b in secrets.scan(text)[1] if k == "decoded_assign"]
+            assert found and all(4 <= a < b <= at + len(token) and b > at for a, b in found), (prefix, token, found)
+
+
+def test_spans_behind_a_prefix_are_those_of_the_find():
+    once = base64.b64encode(b"xyz " + SECRET.encode() + b" more words").decode()
+    for prefix in ("a", "abc", "abcd"):  # an aligned prefix makes one token with what follows
+        (found,) = decoded_texts(f"_{prefix}/{once}")[:1]
+        assert SECRET[1:-1].encode() in base64.b64decode(once) and found in once and len(found) <= len(SECRET) * 4 // 3 + 3
+
+
+def cut_and_uncut(data, monkeypatch):
+    whole = secrets.scan(data)[1]
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 256)
+    monkeypatch.setattr(secrets, "STEP_BYTES", 64)
+    cut = secrets.scan(data)[1]
+    monkeypatch.undo()
+    return whole, cut
+
+
+def test_cuts_lose_no_base64_of_several_lines(monkeypatch):
+    once = base64.b64encode(f"some words before it\n{SECRET}\nand some words after it, to be long enough".encode()).decode()
+    wrapped = "\n".join(once[k : k + 32] for k in range(0, len(once), 32))
+    for n in range(0, 90):
+        plain = "a line of words\n" * 12 + "w" * n + "\n" + wrapped + "\n" + "more words here\n" * 30
+        text = "x " + base64.b64encode(gzip.compress(plain.encode())).decode()
+        whole, cut = cut_and_uncut(text, monkeypatch)
+        assert whole and whole == cut, n
+
+
+def iterated(text):
+    """Escapes decoded one level at a time until none is left."""
+    while True:
+        new = re.sub(r"(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), text)
+        new = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)) if not 0xD800 <= int(m[1], 16) < 0xE000 else "�", new)
+        if new == text:
+            return text
+        text = new
+
+
+def reduced(text):
+    layer = secrets._unescaped(secrets.Layer(text, None), 0, len(text), secrets.NESTED, secrets._nested)
+    return layer
+
+
+def test_nested_escapes_come_to_the_same():
+    rng = np.random.default_rng(8)
+    pieces = ["%25", "%", "25", "2", "5", "%41", "41", "u", "\\", "\\u0041", "%5c", "\\u0025", "u00", "3", "%3", "%35", "x", " ", "password=", "00", "%C3%A9", "%c3", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        layer = reduced(text)
+        if "�" not in iterated(text) and "%C3" not in text and "%c3" not in text:  # bytes that meet only on the way
+            assert layer.text == iterated(text), text
+        first, last, coded = layer.origin
+        assert len(first) == len(layer.text) and (first < last).all() and (np.diff(first) >= 0).all()
+        assert all(layer.text[k] == text[first[k]] for k in range(len(first)) if not coded[k])
+        assert "".join(text[a:b] for a, b in dict.fromkeys(zip(first.tolist(), last.tolist()))) == text
+
+
+def test_very_deep_escapes():
+    """Fifty thousand levels, in each of the ways to nest escapes, within seconds."""
+    import time
+
+    n, began = 50_000, time.perf_counter()
+    for deep in ("%" + "25" * n + "70assword=hunter22", "%3" * n + "%35 and password=%68unter22", "%5cu0025" + "5cu0025" * (n // 4) + "70assword=hunter22", "\\u005c" + "u005c" * n + "u0070assword=hunter22"):
+        (found,) = [deep[a:b] for k, a, b in secrets.scan(deep)[1] if k == "decoded_assign"]
+        assert found.endswith("unter22")
+    assert time.perf_counter() - began < 20
+
+
+def test_deeply_compressed():
+    data = SECRET.encode()
+    for k in range(1500):
+        data = zlib.compress(data, 0) if k % 2 else gzip.compress(data, 1)
+    text = f"x {base64.b64encode(data).decode()} y"
+    assert [s for s in secrets.scan(text)[1] if s[0] == "decoded_assign"] == [("decoded_assign", 2, len(text) - 2)]
+    large = zlib.compress(b"words and words\n" * 40_000 + SECRET.encode())
+    assert b"".join(c for c in secrets.unpack([zlib.compress(large)]) if c).endswith(SECRET.encode())
+
+
+def test_levels_larger_than_a_layer(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1 << 12)
+    monkeypatch.setattr(secrets, "STEP_BYTES", 1 << 10)
+    data = np.random.default_rng(1).bytes(20_000) + SECRET.encode()
+    for _ in range(60):
+        data = zlib.compress(data, 0)
+    assert b"".join(c for c in secrets.unpack([data]) if c).endswith(SECRET.encode())
+
+
+def test_secrets_in_very_long_texts(spark):
+    text = "plain words " * 200_000 + base64.b64encode(SECRET.encode()).decode() + " %70assword=hunter22 " + "x" * 500_000 + " " + SECRET
+    names = ["doc_id", "text", "n_hex", "base_sha256", "spans", "n_assign", "kind"]
+    df = spark.createDataFrame([(1, text, 9, "a", "b", 8, "k"), (2, None, 9, "a", "b", 8, "k")], names)
+    rows = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    assert rows[1].spans.count("decoded_assign") == 2 and rows[1].n_assign == 1 and rows[1].kind == "k" and rows[2].spans == ""
