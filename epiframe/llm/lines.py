@@ -67,9 +67,9 @@ def line_entries(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     rows += [row] * len(places)
                     lines += [len(keys)] * len(places)
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                own = part.take(pa.array(rows, pa.int64()))
+                own = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0]), pa.array(h[:, 1]), own.column("doc_id"), own.column("digest").cast(pa.binary()), pa.array(lines, pa.int32()), pa.array(positions, pa.list_(pa.int32()))],
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), part.column("doc_id").take(own), part.column("digest").take(own).cast(pa.binary()), pa.array(lines, pa.int32()), pa.array(positions, pa.list_(pa.int32()))],
                     names=["h1", "h2", "doc_id", "digest", "n_lines", "positions"],
                 )
 
