@@ -9,7 +9,8 @@ the response, the others are revisits that refer to it and keep only its headers
 
 Defined cases: a null html is an empty payload; a null url gives no target URI; rows that repeat the largest page_id
 of a payload are all responses; a null page_id is smaller than any other and gives the record id ``urn:x-page:null``;
-an empty table gives no bundle and no rows; extra columns are ignored.
+a payload of any length is one record, in a frame of its own if it is longer than ``FRAME_BYTES``; a url that has to be
+escaped in the header also stands there as it is; an empty table gives no bundle and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, open_in, open_out, shared_path, small_side
+from .common import materialize, open_in, open_out, shared_path, slices, small_side
 
 REVISIT_BYTES = 1000
 #: Keys into which a shared payload is dealt where digests are joined by shuffle.
 SALTS = 32
 FRAME_BYTES = 1 << 20
+SLICE_BYTES = 8 << 20
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,7 +49,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     name = lambda x: f"<urn:x-page:{'null' if x is None else x}>"
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]' + chr(39))}"] if url is not None else []
+    if url is not None:
+        coded = quote(url, safe="%/:=&?~#+!$,;@()*[]'")
+        head += [f"WARC-Target-URI: {coded}"]
+        head += [f"X-Source-URL: {base64.b64encode(url.encode()).decode()}"] if coded != url else []  # escapes can't be told from the url's own
     head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     head += [f"WARC-Refers-To: {name(refers_to)}", f"WARC-Profile: {PROFILE}"] if revisit else []
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -63,7 +68,8 @@ def parse(data: bytes, at: int) -> tuple[dict, int]:
     http, _, payload = body.partition(b"\r\n\r\n")
     number = lambda x: None if x is None or x.endswith(":null>") else int(x[len("<urn:x-page:") : -1])
     return {
-        "page_id": number(head["WARC-Record-ID"]), "record_type": head["WARC-Type"], "refers_to": number(head.get("WARC-Refers-To")), "target_uri": head.get("WARC-Target-URI"),
+        "page_id": number(head["WARC-Record-ID"]), "record_type": head["WARC-Type"], "refers_to": number(head.get("WARC-Refers-To")),
+        "target_uri": base64.b64decode(head["X-Source-URL"]).decode() if "X-Source-URL" in head else head.get("WARC-Target-URI"),
         "payload": payload, "payload_bytes": int(http.rpartition(b"Content-Length: ")[2]), "payload_digest": base64.b32decode(head["WARC-Payload-Digest"][5:]).hex(),
     }, stop + 4
 
@@ -156,9 +162,10 @@ def write_warc(pages: DataFrame, path: str) -> None:
         out = None
         for batch in batches:
             out, places = out or BundleWriter(f"{path}/bundles/{uuid.uuid4().hex}.warc.zst"), []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit"))):
-                data = record(row[0], row[1], row[2].encode(), *row[3:])
-                places.append((row[0], out.uri, *out.add(data), len(data)))
+            for part in slices(batch, "html", SLICE_BYTES):
+                for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit"))):
+                    data = record(row[0], row[1], row[2].encode(), *row[3:])
+                    places.append((row[0], out.uri, *out.add(data), len(data)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*places), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))] if places else [[]] * 5, names=["page_id", "path", "frame", "offset", "length"])
         if out:
             out.close()
@@ -167,7 +174,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the bundles under path, in as many tasks as bundles, a frame in memory at a time."""
+    """All records of the bundles under path, a bundle to a task, a frame in memory at a time."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,7 +190,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield _frame(rows)
 
     paths = materialize(spark.read.parquet(f"{path}/index").select("path").distinct(), "bundles")
-    return paths.repartition(max(1, paths.count()), "path").mapInPandas(read, ROWS)
+    # dealt out in turn from one partition, so that each task gets one; they are as many rows as bundles
+    return paths.coalesce(1).repartition(max(1, paths.count())).mapInPandas(read, ROWS)
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:

@@ -65,3 +65,23 @@ def test_random_access(spark, sf, tmp_path):
         assert found["page_id"] == r.page_id
         if found["record_type"] == "response":
             assert found["payload"].decode() == html[r.page_id]
+
+
+@pytest.mark.parametrize("bundles", [1, 8, 32])
+def test_one_bundle_a_task(spark, tmp_path, bundles):
+    path = f"file://{tmp_path}/w"
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat('x', 20) AS html")
+    warc.write_warc(pages.repartition(bundles), path)
+    sizes = [len(p) for p in warc.read_warc(spark, path).rdd.glom().collect()]
+    assert len(sizes) == bundles and min(sizes) > 0 and sum(sizes) == 400
+
+
+def test_urls_come_back_as_they_are(spark):
+    urls = ["http://a/b", "http://a/b c", "http://a/%20b é", "ü\r\nWARC-Type: x", "", None, "http://a/%zz|\\^`{}<>\"", "a" * 100_000]
+    df = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert [r.target_uri for r in warc.archive(df).orderBy("page_id").collect()] == urls
+
+
+def test_very_long_payloads(spark):
+    rows = [(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, None, "x" * 2_500_000), (4, "u", "")]
+    assert run(spark.createDataFrame(rows, "page_id long, url string, html string")) == brute(rows)
