@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from epiframe.llm import mixing
 
@@ -87,3 +88,88 @@ def test_odd_tables(spark):
     assert {r.topic for r in got if not r.n_tokens} == {"empty"} and all(r.sampled for r in got if not r.n_tokens)
     assert len({(r.probability, r.sampled) for r in got if r.doc_id == 2}) == 1
     assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
+
+
+def wanted(cells, targets, rounds, keep=mixing.KEEP):
+    """Raking in numpy to given weights; dimensions without any have tempered shares."""
+    keys = list(cells)
+    tokens = np.array([cells[k] for k in keys], float)
+    member, goal = [], []
+    for d, name in enumerate(mixing.DIMENSIONS):
+        values = sorted({k[d] for k in keys}, key=str)
+        member.append(np.array([values.index(k[d]) for k in keys]))
+        have = np.bincount(member[d], tokens)
+        share = np.array([targets[name].get(v, 0.0) for v in values]) if name in targets else (have / have.sum()) ** mixing.TEMPER
+        low, high = 0.0, 1e9 * have.sum()
+        for _ in range(300):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.minimum(have, middle * share).sum() < keep * have.sum() else (low, middle)
+        goal.append(np.minimum(have, high * share))
+    weight = keep * tokens
+    for _ in range(rounds):
+        for d in range(3):
+            total = np.bincount(member[d], weight)
+            weight = np.minimum(tokens, weight * np.divide(goal[d], total, out=np.zeros_like(total), where=total > 0)[member[d]])
+    return dict(zip(keys, weight)), dict(zip(mixing.DIMENSIONS, goal))
+
+
+TARGETS = {"source": {"s0": 1.0, "s1": 5.0, "s2": 2.0, "absent": 9.0}, "lang": {"en": 0.3, "de": 0.7}}
+
+
+def target_rows(spark, targets):
+    return spark.createDataFrame([(d, v, w) for d, x in targets.items() for v, w in x.items()], "dimension string, value string, weight double")
+
+
+def test_given_targets(spark):
+    """Weights far from the corpus's own shares; a value without a weight goes."""
+    rng = np.random.default_rng(5)
+    cells = {(f"s{s}", lang, t): int(rng.integers(50_000, 90_000)) for s in range(4) for lang in ("en", "de") for t in ("note", "long")}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    for targets in (TARGETS, {"topic": {"note": 1.0, "long": 1.5}}):
+        want, goal = wanted(cells, targets, mixing.ROUNDS, 0.2)
+        rated = mixing.rake(df, keep=0.2, targets=target_rows(spark, targets))
+        got = {(r.source, r.lang, r.topic): r.weight for r in rated.collect()}
+        assert got == pytest.approx(want, rel=1e-6, abs=1e-3)
+        for r in mixing.margins(rated, keep=0.2, targets=target_rows(spark, targets)).collect():
+            given = targets.get(r.dimension)
+            assert given is None or given.get(r.value, 0.0) > 0 or r.target == r.goal == r.expected == 0
+            assert r.expected == pytest.approx(goal[r.dimension][sorted({k[mixing.DIMENSIONS.index(r.dimension)] for k in cells}).index(r.value)], rel=0.02, abs=1)
+
+
+def test_bad_targets(spark):
+    cells = spark.createDataFrame([("a", "en", "note", 5)], "source string, lang string, topic string, tokens long")
+    for bad, match in (({"lang": {"en": -1.0}}, "at least 0"), ({"lang": {"en": None}}, "at least 0"), ({"lang": {"en": float("nan")}}, "at least 0"), ({"color": {"red": 1.0}}, "unknown dimension")):
+        with pytest.raises(ValueError, match=match):
+            mixing.rake(cells, targets=target_rows(spark, bad))
+
+
+def test_rounds_until_margins_rest(spark, monkeypatch):
+    """Margins that pull against one another need more than the least number of rounds."""
+    cells = {("a", "x", "t"): 1000, ("a", "y", "t"): 1, ("b", "x", "t"): 1, ("b", "y", "t"): 10, ("c", "y", "t"): 2000}
+    targets = {"source": {"a": 1.0, "b": 1.0, "c": 1.0}, "lang": {"x": 3.0, "y": 1.0}}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    monkeypatch.setattr(mixing, "MOVED", 1e-7)
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, targets=target_rows(spark, targets)).collect()}
+    long = {n: wanted(cells, targets, n)[0] for n in range(mixing.ROUNDS, mixing.MOST_ROUNDS + 1, mixing.ROUNDS)}
+    assert any(got == pytest.approx(long[n], rel=1e-6, abs=1e-3) for n in long)
+
+
+def test_mix_to_targets_and_topics(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("kind", F.concat(F.lit("k"), (F.col("doc_id") % 3).cast("string")))
+    targets = target_rows(spark, {"topic": {"k0": 1.0, "k1": 2.0, "k2": 2.0}})
+    rows = mixing.mix(docs, keep=0.4, targets=targets, topic=F.col("kind")).collect()
+    share = lambda k: sum(r.probability * r.n_tokens for r in rows if r.topic == k) / sum(r.probability * r.n_tokens for r in rows)
+    assert {r.topic for r in rows} == {"k0", "k1", "k2"} and all(r.kind == r.topic for r in rows)
+    assert share("k1") == pytest.approx(0.4, abs=0.04) and share("k0") == pytest.approx(0.2, abs=0.04)
+
+
+def test_clustered_topics(spark):
+    """Texts of three vocabularies fall into three clusters."""
+    rng = np.random.default_rng(3)
+    words = [[f"{p}{k}" for k in range(30)] for p in ("sea", "law", "code")]
+    rows = [(k, " ".join(rng.choice(words[k % 3], 40)), "mine") for k in range(240)] + [(900, None, "mine"), (901, " \n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, topic string")
+    got = {r.doc_id: r.topic for r in mixing.clustered_topics(df, 3).collect()}
+    assert got[900] == got[901] == "empty" and len(got) == 242
+    assert len({(k % 3, t) for k, t in got.items() if k < 900}) == 3 == len({t for k, t in got.items() if k < 900})
+    assert [r.topic for r in mixing.clustered_topics(df.where("doc_id >= 900"), 3).collect()] == ["empty", "empty"]
