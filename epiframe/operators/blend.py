@@ -58,6 +58,22 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFra
     return ranged.withColumn("_local", local).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_local")).drop("_p", "_before", "_local")
 
 
+def with_next(df: DataFrame, key: str, order: str, column: str, name: str = "nxt") -> DataFrame:
+    """df with ``column`` of the next row of its key, in an order without ties; null for a key's last row.
+
+    Rows are dealt out by ranges of (key, order), so that a key of very many rows fills several; over the edge of a
+    range goes one row, the first of the next."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "ranged")
+    # written once, so that both readings see the same partitions
+    df.repartitionByRange(key, order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    edges = ranged.groupBy("_p").agg(F.min(F.struct(F.col(key).isNotNull().alias("there"), F.col(key).alias("key"), F.col(order).alias("order"), F.struct(F.col(column).alias("v")).alias("boxed"))).alias("_first"))  # one row to a range
+    edges = edges.select("_p", F.lead("_first").over(Window.orderBy("_p")).alias("_edge"))
+    inside = F.lead(F.struct(F.col(column).alias("v"))).over(Window.partitionBy("_p", key).orderBy(order))
+    over = F.when(F.col("_edge.key").eqNullSafe(F.col(key)), F.col("_edge.boxed"))
+    return ranged.withColumn("_next", inside).join(F.broadcast(edges), "_p").withColumn(name, F.coalesce("_next", over)["v"]).drop("_p", "_next", "_edge")
+
+
 def interleave_sizes(ratio: float, batch: int) -> tuple[int, int]:
     """Rows of the first and of the second source to a batch."""
     if not 0 < ratio <= 1:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.blend import with_next
+
 LINE_DIMENSIONS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 #: A total order of the lines of an order: order and line number alone are not unique.
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -25,8 +27,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector and the next one of its label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return vectors(spark, sf_dir).withColumn("nxt", F.lead("v").over(w)).where("nxt IS NOT NULL")
+    return with_next(vectors(spark, sf_dir), "label", "vec_id", "v").where("nxt IS NOT NULL")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
