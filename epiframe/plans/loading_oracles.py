@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import SQL
-from .sample_oracles import _u
+from .oracles import _PAIRS, SQL, _steps
+from .sample_oracles import _HANDS, _POSE, _u
 
 SQL["resampled_epochs"] = "SELECT event_id, user_id AS episode_index, CAST(2 AS BIGINT) AS n, '0,1' AS epochs, CAST(strlen(CAST(event_id AS VARCHAR)) + event_id % 997 AS INT) AS size FROM events"
 SQL["stream_blend_equals_batch"] = """
@@ -34,3 +34,7 @@ SQL["slots_scattered"] = """
 WITH p AS (SELECT event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS slot, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k, user_id FROM events WHERE event_type = 'purchase')
 SELECT e.event_id, round(q.value, 6) AS value FROM events e LEFT JOIN p ON p.event_id = e.event_id LEFT JOIN p q ON q.user_id = p.user_id AND q.k = p.slot"""
 SQL["flow_time_any_beta"] = f"SELECT event_id, round({_u('event_id', seed=5)}, 6) AS share FROM events"
+SQL["model_rows_of_pairs"] = f"""
+WITH {_PAIRS}, q AS (SELECT * FROM pr WHERE n IS NOT NULL), {_steps("q", [("v", 6, "l"), ("v", 12, "r")], "g")}
+SELECT vec_id, CAST(k - 1 AS INT) AS dim, 1 AS n_states, 1 AS n_actions, 0 AS n_later, 'true,false,false' AS valid, round(x[k], 6) AS x, round(h[k], 6) AS hand
+FROM (SELECT vec_id, [{", ".join(_POSE + _HANDS)}] AS x, [{", ".join(["NULL"] * 18 + [x.replace("v[", "n[") + " - " + x for x in _HANDS])}] AS h FROM g), unnest(range(1, 39)) AS t(k)"""

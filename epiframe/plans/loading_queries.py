@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling as S
-from ..operators import blend, collate, guarded, images, metrics, samples, shuffle
+from ..operators import blend, collate, guarded, images, metrics, samples, shuffle, vla
 from ..sources import adapters as A
 from ..sources import files, media, members, shards
 from ..streaming import online, resampled
@@ -120,3 +120,16 @@ def flow_time_any_beta(spark, sf_dir):
     t = S.beta_time_of(blend.unit_hash("event_id", seed=5), 2.0, 2.0)
     z = 1 - F.col("t")
     return A.table(spark, sf_dir, "events").select("event_id", t.alias("t")).select("event_id", F.round(3 * z * z - 2 * z * z * z, 6).alias("share"))
+
+
+@query
+def model_rows_of_pairs(spark, sf_dir):
+    """Embeddings as windows of one state and one action, made relative and padded: the state's numbers, the hands'
+    differences, counts and masks."""
+    part = lambda c, a, n: F.array(F.slice(c, a + 1, n)).alias(f"{'hand' if a else 'wrist'}_{'states' if c == 'v' else 'actions'}")
+    pairs = A.vector_pairs(spark, sf_dir)
+    rows = pairs.select("vec_id", *(part(c, a, n) for c in ("v", "nxt") for a, n in ((0, 18), (18, 30))), F.slice("v", 49, 16).alias("extrinsic"))
+    out = vla.model_rows(rows, vla.Shape(2, 3, 1, 10, relative=True), locator=["vec_id"])
+    steps = F.posexplode(F.arrays_zip(F.get("states", 0).alias("x"), F.get("actions", 0).alias("a"))).alias("dim", "r")
+    out = out.select("vec_id", "n_states", "n_actions", "n_later", F.array_join(F.transform("actions_valid", lambda x: x.cast("string")), ",").alias("valid"), steps)
+    return out.select("vec_id", "dim", "n_states", "n_actions", "n_later", "valid", r6("r.x").alias("x"), F.when(F.col("dim") >= 18, r6("r.a")).alias("hand"))
