@@ -65,6 +65,12 @@ def counted(stream: DataFrame, time: str, keys: Sequence[str], size: str, late:
     return stream.withWatermark(time, late).groupBy(w, *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
+def session_counts(stream: DataFrame, time: str, keys: Sequence[str], gap: str, late: str) -> DataFrame:
+    """Rows by session, which ends after a gap without rows of its keys; rows later than ``late`` are dropped."""
+    w = F.session_window(time, gap)
+    return stream.withWatermark(time, late).groupBy(w, *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
+
+
 def run_available(result: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming result over all input there is and return its rows, kept as Parquet in the shared folder."""
     spark = result.sparkSession
