@@ -1,12 +1,13 @@
 """Personal data: patterns, and a linear-chain conditional random field over word shapes (operator 9).
 
 The field labels words as email, phone, card, ip, name or other from the shapes of a word and its two neighbours (with
-cue words such as "phone" or "Herr" as shapes of their own), and from the label before it. It is trained on the small
+cue words such as "phone" or "Herr" as shapes of their own, and shapes of numbers told apart by the last cue of the four
+words before them), and from the label before it. It is trained on the small
 labelled table below (``TRAINING``) by gradient ascent on the likelihood, on the driver, in some seconds and alike each
 time; tasks get its weights. The best labels of a whole text are decoded, exactly, block by block in numpy. Runs of one
 label are spans ``crf_<label>``; those on a base span are left out.
 
-Defined cases: a null or empty text has no spans; an empty table gives no rows; repeated rows are judged alike; extra
+Defined cases: a null or empty text has no spans; a text of any length is one chain; an empty table gives no rows; repeated rows are judged alike; extra
 columns stay, and columns with the names of results are replaced.
 """
 
@@ -76,16 +77,24 @@ CLASS[list(range(48, 58))] = 2
 CLASS[ord("@")], CLASS[ord(".")] = 3, 4
 CLASS[list(b"-()+")] = 5
 CLASS[list(b",;:!?'\"")] = 6
-SHAPES = "plain capital upper digits2 digits3 digits4 digits11 digits12 digits16 digits19 dotted phonelike phonelong address at_sign mixed symbols".split()
+SHAPES = "plain capital upper digits2 digits3 digits4 digits11 digits12 digits16 digits19 dotted phonelike phonelong address at_sign mixed symbols capitalstop initial bracketed".split()
 #: Words of the four languages that say what stands beside them.
 CUES = {
-    "name": "name mr mrs ms miss dr prof sir contact dear hello hi regards author nom monsieur madame mme herr frau sehr nombre señor señora don doña",
-    "tel": "call phone tel fax mobile telephone cell dial telefon handy tél téléphone mobil teléfono móvil anruf",
+    "name": "name mr mrs ms miss dr prof sir contact kontakt contacto dear hello hi regards author nom monsieur madame mme herr frau sehr nombre señor señora don doña",
+    "tel": "call phone tel fax mobile telephone cell dial ring text whatsapp telefon handy tél téléphone mobil teléfono móvil anruf rufnummer appelez llame",
     "at": "at [at] (at) {at} arroba", "dot": "dot [dot] (dot) {dot} punkt punto",
     "pay": "card visa mastercard amex credit karte kreditkarte carte tarjeta iban account", "mail": "email mail e-mail write courriel correo", "host": "ip host server address router",
-    "ref": "order invoice id ref isbn number no item tracking serial bestellung commande pedido", "link": "is was ist est es war",
+    "ref": "order invoice id ref isbn number no item tracking serial ssn social code zip version rechnung bestellung commande facture pedido factura",
+    "unit": "page pages chapter section year years room floor volume verse lines km miles seite seiten kapitel página páginas chapitre", "ask": "reach ask tell met thank invite", "close": "sincerely yours cheers thanks cordialement atentamente saludos grüße gruß", "link": "is was ist est es war",
+    "article": "the a an this that der die das den dem einem einer le la les un une el los las una my his her our their",
 }
-FEATURES = [*SHAPES, *CUES, "named", "spelled", "numbered", "edge"]
+#: Shapes of numbers, and the cues that tell what a number after them is.
+NUMBERS = "digits2 digits3 digits4 digits11 digits12 digits16 digits19 phonelike phonelong".split()
+SAID = "tel pay ref unit".split()
+FEATURES = [*SHAPES, *CUES, "named", "dialed", "spelled", "parted", "numbered", *(f"{x} {c}" for c in SAID for x in NUMBERS), "edge"]
+#: Words between a cue and a number at most.
+REACH = 4
+AT_INSIDE = re.compile(rb"[\[({](?:at|At|AT)[\])}]")
 EDGE = len(FEATURES) - 1
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -164,25 +173,53 @@ def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     put("upper", (up == size) & (up > 1))
     put("capital", (up == 1) & (low + up + punct == size) & ((kind[starts] == 1) if len(starts) else False))
     put("plain", (low + punct + dash == size) & (low > 0) | (size == 0))
+    ended = stop < ends
+    put("capitalstop", (f == FEATURES.index("capital")) & ended)
+    put("initial", (up == 1) & (size == 1) & ended & (raw[np.minimum(stop, len(raw) - 1)] == ord(".")) if len(starts) else False)
     put("at_sign", at > 0)
+    inside = np.array([m.start() for m in AT_INSIDE.finditer(raw.tobytes())], np.int64)
+    if len(inside):
+        word = np.searchsorted(starts, inside, "right") - 1
+        word = word[(word >= 0) & (inside > starts[word]) & (inside + 4 < stop[word])]
+        f[word] = FEATURES.index("bracketed")
     put("address", (at == 1) & (dot > 0) & (low + up + dig > 2))
-    cue = _cues(raw, starts, length)
+    cue = np.where(f == FEATURES.index("initial"), -1, _cues(raw, starts, length))
     return np.where(cue >= 0, cue, f), stop
 
 
 def in_context(f: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Features of words by those beside them in their text: "is" after a name's cue says that a name follows, and "at"
-    two words before "dot" is one in a spelled address, "number" after a card is its number's cue; any other "is" is a
-    plain word."""
+    """Features of words by those beside them in their text: "is" after a cue of names or phones says that one follows, "at"
+    two words before "dot" is one in a spelled address, and "dot" two words before such an "at" too, "number" after a card
+    is its number's cue, and a number has the last cue of the ``REACH`` words before it; an article between "at" and "dot"
+    speaks of a place, and is a plain word, as any other "is" is."""
     number, out = FEATURES.index, f.copy()
     link = f == number("link")
     named = link & (np.roll(f, 1) == number("name")) & (np.diff(doc, prepend=-1) == 0)
     out[link] = np.where(named[link], number("named"), number("plain"))
-    far = (np.roll(f, -2) == number("dot")) & (np.roll(doc, -2) == doc)
+    article = f == number("article")
+    out[article] = number("plain")
+    far = (np.roll(f, -2) == number("dot")) & (np.roll(doc, -2) == doc) & ~np.roll(article, -1)
     far[-2:] = False
     out[(f == number("at")) & far] = number("spelled")
-    paid = (f == number("ref")) & (np.roll(f, 1) == number("pay")) & (np.diff(doc, prepend=-1) == 0)
+    same = np.diff(doc, prepend=-1) == 0
+    paid = (f == number("ref")) & (np.roll(f, 1) == number("pay")) & same
     out[paid] = number("numbered")
+    out[link & (np.roll(f, 1) == number("tel")) & same] = number("dialed")
+    parted = (f == number("dot")) & (np.roll(out, -2) == number("spelled")) & (np.roll(doc, -2) == doc)
+    parted[-2:] = False
+    out[parted] = number("parted")
+    said = np.full(len(f), -1)
+    for k in range(min(REACH, len(f) - 1), 0, -1):  # the nearest cue counts
+        for c, name in enumerate(SAID):
+            cue = np.zeros(len(f), bool)
+            cue[k:] = (out[:-k] == number(name)) & (doc[:-k] == doc[k:])
+            if name == "pay":
+                cue[k:] |= (out[:-k] == number("numbered")) & (doc[:-k] == doc[k:])
+            said[cue] = c
+    first = number(f"{NUMBERS[0]} {SAID[0]}")
+    for j, name in enumerate(NUMBERS):
+        on = (f == number(name)) & (said >= 0)
+        out[on] = first + said[on] * len(NUMBERS) + j
     return out
 
 
@@ -332,6 +369,92 @@ don de la casa
 Call me later
 Phone them
 call it a day
+Sincerely, Maria/n Lopez/n
+Yours, Tom/n Hill/n
+Cheers, Anna/n
+Thanks, Peter/n Novak/n
+Yours sincerely, Helen/n Marsh/n
+Thanks for the help
+cheers went up
+Cordialement, Luc/n Martin/n
+Atentamente, José/n Díaz/n
+Saludos, Elena/n
+Grüße, Karin/n Wolf/n
+Mit bestem Gruß Stefan/n Huber/n
+reach Olga/n Ivanova/n before noon
+Ask Daniel/n Kim/n about the keys
+tell Rosa/n that we left
+She met George/n Allen/n at the station
+thank Nils/n Berg/n for it
+reach the top by noon
+ask them and tell us
+Kontakt: Uwe/n Brandt/n, Hamburg
+Contact: Sara/n Klein/n, London
+Contacto: Pedro/n Gil/n, Madrid
+Dear Julia/n, Then we left
+Mr Carter/n, The owner
+Mrs Bell/n. The end
+Mr Fox/n, Berlin and Rome
+Dr Lee/n, Boston is far
+J./n K./n Rowan/n wrote it
+by T./n S./n Moore/n in verse
+A./n Novak/n signed
+M./n Dubois/n est venu
+It was plan B. Then it ended
+see part C. The rest is here
+vitamin D. And so on
+Vienna, Rome and Paris, London. Berlin
+First, Second, Third
+write kim[at]shop[dot]org/e to order
+mail ann.b(at)web(dot)net/e today
+her address lou[at]mail.example.com/e works
+x99{at}host{dot}de/e schreiben
+jack/e dot/e hill/e at/e sample/e dot/e com/e is new
+mail rita/e dot/e kay/e at/e office/e dot/e net/e soon
+write to leo/e dot/e may/e at/e school/e dot/e edu/e please
+the dot com years at the time
+My phone is 555/p 0188/p now
+his phone is 212/p 555/p 0143/p
+my mobile is 07911/p 123456/p
+the phone was old and the fax was not
+ring me on 07700/p 900456/p please
+ring her at 020/p 7946/p 0123/p tonight
+text me on 07700/p 900789/p later
+call us any time at 1800/p 555/p 199/p
+my fax is 555-0166/p there
+phone me under 0151/p 23456789/p ab acht
+appelez le 06/p 12/p 34/p 56/p 78/p vite
+llame al 600/p 123/p 456/p hoy
+they ring the bell 12 times
+the text has 1200 words
+SSN 987-65-4320 on the form
+ssn 078-05-1120 was shown
+social security code 219-09-9999 here
+zip code 12345-6789 here
+invoice 4539578763621486 is late
+Invoice 4716059284112345 paid
+order number 5105105105105100 was sent
+order no 4012888888881881 again
+Rechnung 4222222222222 offen
+facture 4539578763621486 jointe
+factura 4485275742308327 pagada
+version 12 of code 4567
+Chapter 12 pages 100 200 300
+pages 12 to 340 and 45 more
+chapter 3 section 12 lines 100 200
+the year 1999 and the years 2001 2002 2003
+room 101 on floor 12
+Seite 100 bis 200
+página 120 y 130
+300 km and 1200 miles
+from 100 200 300 to 400
+1 2 3 4 5 6 7 8 9 10
+10 20 30 and 100 200
+between 1000 2000 and 3000
+my card is 4111/c 1111/c 1111/c 1234/c there
+his visa is 4539578763621486/c now
+account number 4532015112830366/c was shut
+pay with card 5105/c 1051/c 0510/c 5100/c today
 x2 and b52 flew
 item A-12 or #5 | here
 See http://a.b/c?d=1 and more

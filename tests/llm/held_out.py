@@ -114,3 +114,59 @@ Madame Curie/n
 The Great War. It ended
 then he is Gone
 """.strip()
+
+#: Written by a reviewer of the field, who had not seen its table; cues of these kinds were added to the table since.
+REVIEWED = """
+Sincerely, Maria/n Lopez/n
+reach Ahmed/n Hassan/n at noon
+Kontakt: Jürgen/n Müller/n, Berlin
+J./n R./n Tolkien/n wrote it
+write joe[at]site[dot]com/e
+jane/e dot/e doe/e at/e example/e dot/e com/e
+My phone is 555/p 0199/p
+ring me on 07700/p 900123/p
+SSN 123-45-6789
+invoice 4929123456789012
+Chapter 12 pages 100 200 300
+""".strip()
+
+#: Written before the field was trained on the wider table, and not looked at since but for its score.
+LATER = """
+Yours truly, Victor/n Hale/n
+Please reach Ingrid/n Solberg/n by Friday
+Kontakt: Sabine/n Krause/n, Leipzig
+E./n M./n Forster/n travelled
+T./n Becker/n kommt morgen
+mail pat[at]lake[dot]net/e first
+write rob(at)hills(dot)org/e tonight
+send it to mike/e dot/e stone/e at/e valley/e dot/e org/e now
+his phone is 555/p 0123/p and hers is not
+my phone is 303/p 555/p 0155/p since May
+ring us on 07911/p 555321/p after six
+text her on 07700/p 900111/p
+call me back at 555/p 0166/p
+fax them under (089)/p 555-7070/p
+ssn 321-54-9876 was printed
+social code 111-22-3333
+invoice 4111999922223333 is due
+order number 4000999911112222 left
+Rechnung 378282246310005 bezahlt
+pages 10 20 30 of chapter 4
+see section 3 lines 200 to 340
+the years 1980 1990 2000
+she ran 12 km in 90 minutes
+card is 5454/c 5454/c 5454/c 5454/c there
+visa number 4917610000000000/c was stolen
+ask Miriam/n Cohen/n first
+tell them that it rained
+thanks to all of you
+Thanks, Boris/n
+Cheers, Lily/n Chan/n
+Mr Novak/n, Prague and Vienna
+it was plan A. Then plan B
+Rome, Milan, Naples
+we thank the town
+Dear Agnes/n, the roof leaks
+Prof Weiss/n explained it
+host 10.9.8.7/i failed
+""".strip()
