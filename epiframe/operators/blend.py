@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +26,6 @@ def select_floor_budget(shards: DataFrame, dataset: str, shard: str, floor: int,
     return base.unionByName(left.withColumn("picked_by", F.lit("budget"))).drop("_u", "_rank")
 
 
-def choose_shards(groups: Sequence[Sequence[str]], floor: int, budget: int | None, seed: int = 0) -> list[tuple[int, str]]:
-    """The same for short lists on the driver: (dataset number, shard), the remainder in the order of the lists."""
-    rng, chosen, rest = np.random.default_rng(seed), [], []
-    for g, urls in enumerate(groups):
-        order = rng.permutation(len(urls))
-        n = len(urls) if budget is None else min(floor, len(urls))
-        chosen += [(g, urls[i]) for i in order[:n]]
-        rest += [(g, urls[i]) for i in sorted(order[n:])]
-    room = 0 if budget is None else max(0, budget - len(chosen))
-    extra = sorted(rng.choice(len(rest), min(room, len(rest)), replace=False)) if rest and room else []
-    return chosen + [rest[i] for i in extra]
-
-
 def coverage(shards: DataFrame, dataset: str, picked: Column) -> DataFrame:
     """Shards, picked ones and their share by dataset, and for all in a row named (total)."""
     n, got = F.count("*"), F.count_if(picked)

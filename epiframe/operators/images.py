@@ -53,6 +53,20 @@ def nearest(frames: np.ndarray, height: int, width: int) -> np.ndarray:
     return frames[:, y][:, :, x]
 
 
+def as_rgb(a: np.ndarray) -> np.ndarray:
+    """Colours as bytes: numbers up to 1 are shares of 255; what is beyond a byte is cut."""
+    x = np.asarray(a, np.float32)
+    x = x * 255 if x.size and x.max() <= 1 else x
+    return np.clip(x, 0, 255).astype(np.uint8)
+
+
+def as_gray(a: np.ndarray) -> np.ndarray:
+    """Numbers as bytes from their least to their greatest; all alike are 0."""
+    x = np.asarray(a, np.float32)
+    low, high = (float(x.min()), float(x.max())) if x.size else (0.0, 0.0)
+    return np.zeros(x.shape, np.uint8) if high <= low else np.clip((x - low) / (high - low) * 255, 0, 255).astype(np.uint8)
+
+
 def scaled_intrinsic(k: Sequence[float], old: tuple[int, int], new: tuple[int, int]) -> list[float]:
     """fx, fy, cx, cy at another size (height, width)."""
     sy, sx = new[0] / old[0], new[1] / old[1]

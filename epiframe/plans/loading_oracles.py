@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _PAIRS, SQL, _steps
+from .oracles import _PAIRS, _PRED, _V, SQL, _steps
 from .sample_oracles import _HANDS, _POSE, _u
 
 SQL["resampled_epochs"] = "SELECT event_id, user_id AS episode_index, CAST(2 AS BIGINT) AS n, '0,1' AS epochs, CAST(strlen(CAST(event_id AS VARCHAR)) + event_id % 997 AS INT) AS size FROM events"
@@ -38,3 +38,20 @@ SQL["model_rows_of_pairs"] = f"""
 WITH {_PAIRS}, q AS (SELECT * FROM pr WHERE n IS NOT NULL), {_steps("q", [("v", 6, "l"), ("v", 12, "r")], "g")}
 SELECT vec_id, CAST(k - 1 AS INT) AS dim, 1 AS n_states, 1 AS n_actions, 0 AS n_later, 'true,false,false' AS valid, round(x[k], 6) AS x, round(h[k], 6) AS hand
 FROM (SELECT vec_id, [{", ".join(_POSE + _HANDS)}] AS x, [{", ".join(["NULL"] * 18 + [x.replace("v[", "n[") + " - " + x for x in _HANDS])}] AS h FROM g), unnest(range(1, 39)) AS t(k)"""
+SQL["served_observations"] = """
+WITH u AS (SELECT user_id, max(event_type) AS kind, list([value, (event_id % 7)::DOUBLE] ORDER BY ts, event_id) AS e FROM events GROUP BY user_id
+), n AS (SELECT user_id, kind, e, list_transform(e, lambda s: concat_ws(' ', CAST(round(s[1] * 0.5 + 1, 4) AS VARCHAR), CAST(round(s[2] * 2 - 1, 4) AS VARCHAR))) AS t FROM u)
+SELECT user_id, CASE WHEN user_id % 2 = 0 THEN kind ELSE 'wait' END AS instruction, 'b' AS images, CASE WHEN user_id % 2 = 0 THEN concat_ws(',', user_id, user_id + 1, user_id + 2, user_id + 3) ELSE concat_ws(',', user_id, user_id + 4, user_id + 2, user_id + 5) END AS intrinsic,
+  CASE WHEN user_id % 6 = 0 THEN 'head,chest' ELSE 'head' END AS views, array_to_string(list_transform(range(0, 6 - least(6, len(t))), lambda k: t[1]) || t[greatest(1, len(t) - 5) :], ',') AS states, 6 AS n_states,
+  CASE WHEN user_id % 5 <> 0 THEN array_to_string(t[1:2] || list_transform(range(0, 3 - least(2, len(t))), lambda k: '0.0 0.0'), ',') END AS prefix, CASE WHEN user_id % 5 <> 0 THEN CAST(least(2, len(t)) AS INT) END AS delay, 1.0::DOUBLE AS video_fps FROM n"""
+SQL["vision_entries"] = """
+WITH i AS (SELECT event_id, k AS place, 'image' AS kind, NULL AS view, 1 AS frames, NULL AS fps FROM events, unnest(range(0, event_id % 5)) AS t(k) WHERE event_id % 3 = 0
+), v AS (SELECT event_id, 0 AS place, 'video' AS kind, 'head' AS view, event_id % 5 AS frames, 1.5 AS fps FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 1, 'video', 'chest', event_id % 4, 1.5 FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0)
+SELECT event_id, CAST(place AS INT) AS place, kind, view, CAST(frames AS INT) AS frames, CAST(fps AS DOUBLE) AS fps, NULL AS indices FROM i UNION ALL SELECT event_id, CAST(place AS INT), kind, view, CAST(frames AS INT), fps, array_to_string(range(0, frames), ',') FROM v"""
+SQL["stored_predictions"] = f"WITH {_PRED} , h AS (SELECT avg(err) AS e FROM er GROUP BY step) SELECT count(*) AS rows, count(DISTINCT sample_id) AS samples, count(*) FILTER (valid) AS valid, (SELECT round(avg(e), 6) FROM h) AS mean_error, (SELECT round(max(e), 6) FROM h) AS max_error FROM er"
+SQL["attention_steps"] = f"""
+WITH {_V}, x AS (SELECT vec_id, k % 4 AS step, CAST(k // 4 AS INT) AS x, CASE WHEN k % 4 = 2 AND vec_id % 3 = 0 THEN NULL ELSE abs(v[k + 1]) END AS w FROM v, unnest(range(0, 64)) AS t(k))
+SELECT vec_id, '1' AS step, x, round(w, 6) AS w FROM x WHERE step = 1 UNION ALL SELECT vec_id, 'early', x, round(avg(w), 6) FROM x WHERE step < 3 GROUP BY ALL UNION ALL SELECT vec_id, 'mean', x, round(avg(w), 6) FROM x GROUP BY ALL"""
+SQL["view_contrast"] = f"""
+WITH {_V}, l AS (SELECT CAST(label AS VARCHAR) AS label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), a AS (SELECT label, x FROM l UNION ALL SELECT '(joint)', x FROM l), s AS (SELECT label, list_sort(list(x)) AS x FROM a GROUP BY label)
+SELECT label, round(x[greatest(1, ceil(0.02 * len(x))::INT)], 6) AS low, round(x[greatest(1, ceil(0.98 * len(x))::INT)], 6) AS high FROM s"""

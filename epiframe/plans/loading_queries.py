@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling as S
-from ..operators import blend, collate, guarded, images, metrics, samples, shuffle, vla
+from ..operators import attention, blend, collate, guarded, images, metrics, profile, samples, serving, shuffle, vla
 from ..sources import adapters as A
-from ..sources import files, media, members, shards
+from ..sources import files, media, members, shards, store
 from ..streaming import online, resampled
 from ..streaming.blend import blend_streams
 from . import pictures
@@ -133,3 +133,60 @@ def model_rows_of_pairs(spark, sf_dir):
     steps = F.posexplode(F.arrays_zip(F.get("states", 0).alias("x"), F.get("actions", 0).alias("a"))).alias("dim", "r")
     out = out.select("vec_id", "n_states", "n_actions", "n_later", F.array_join(F.transform("actions_valid", lambda x: x.cast("string")), ",").alias("valid"), steps)
     return out.select("vec_id", "dim", "n_states", "n_actions", "n_later", "valid", r6("r.x").alias("x"), F.when(F.col("dim") >= 18, r6("r.a")).alias("hand"))
+
+
+@query
+def served_observations(spark, sf_dir):
+    """Users' last events as states, the first ones as a known prefix, padded and normalized; a chest camera for some."""
+    last = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    u = A.table(spark, sf_dir, "events").groupBy("user_id").agg(last.alias("e"), F.max("event_type").alias("kind"))
+    step = lambda x: F.array(x["value"], (x["event_id"] % 7).cast("double"))
+    two, k = F.col("user_id") % 3 == 0, F.col("user_id").cast("double")
+    rows = u.select(
+        "user_id", F.when(F.col("user_id") % 2 == 0, F.col("kind")).otherwise("").alias("instruction"), F.array(F.lit("a"), F.lit("b")).alias("head_images"), F.when(two, F.array(F.lit("c"))).alias("chest_images"),
+        F.when(F.col("user_id") % 2 == 0, F.array(k, k + 1, k + 2, k + 3)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda x: k + x)).alias("head_intrinsic"), F.when(two & (F.col("user_id") % 2 == 0), F.array(k, k, k, k)).alias("chest_intrinsic"),
+        F.transform("e", step).alias("states"), F.when(F.col("user_id") % 5 != 0, F.transform(F.slice("e", 1, 2), step)).alias("prefix"),
+    )
+    out = serving.observations(rows, serving.Horizon(1, 6, 3, 2), "wait", [0.5, 2.0], [1.0, -1.0])
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.array_join(F.transform(s, lambda x: F.round(x, 4).cast("string")), " ")), ",")
+    return out.select("user_id", "instruction", F.array_join("head_images", "").alias("images"), F.array_join(F.transform("head_intrinsic", lambda x: x.cast("int").cast("string")), ",").alias("intrinsic"), F.array_join("active_views", ",").alias("views"), text("states").alias("states"), "n_states", text("prefix").alias("prefix"), "delay", "video_fps")
+
+
+@query
+def vision_entries(spark, sf_dir):
+    """Events as samples of images or of one or two videos: their entries in order."""
+    e = A.table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, "image").otherwise("video").alias("kind"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("head"), F.lit("chest"))).otherwise(F.array(F.lit("head"))).alias("views"),
+        (F.col("event_id") % 5).cast("int").alias("n"), F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 4).cast("int")).alias("n_chest"), F.lit(1.5).alias("fps"),
+    )
+    out = serving.vision_entries(e, "event_id", "kind", "views", "n", "n_chest", "fps")
+    return out.select("event_id", "place", "kind", "view", "frames", "fps", F.array_join("indices", ",").alias("indices"))
+
+
+@query
+def stored_predictions(spark, sf_dir):
+    """Predictions and the metrics document, stored and read again."""
+    path, pred = files.shared_path(spark, "evaluation"), A.predictions(spark, sf_dir)
+    store.save_predictions(pred, f"{path}/predictions")
+    store.save_metrics(metrics.document(pred), f"{path}/metrics")
+    back, document = spark.read.parquet(f"{path}/predictions"), spark.read.json(f"{path}/metrics")
+    rows = back.agg(F.count("*").alias("rows"), F.count_distinct("sample_id").alias("samples"), F.count_if("valid").alias("valid"))
+    errors = document.select(F.lit(1).alias("_k"), r6("heatmap.mean").alias("mean_error"), r6("heatmap.max").alias("max_error"))
+    return rows.withColumn("_k", F.lit(1)).join(F.broadcast(errors), "_k").drop("_k")  # one row each
+
+
+@query
+def attention_steps(spark, sf_dir):
+    """Attention at one denoising step, the mean of the first three, and of all; numbers alone count."""
+    long = A.vectors(spark, sf_dir).select("vec_id", F.posexplode("v").alias("k", "x"))
+    k = F.col("k")
+    rows = long.select("vec_id", (k % 4).cast("int").alias("step"), F.lit(0).alias("layer"), F.lit(0).alias("head"), F.lit(0).alias("query"), F.lit(0).alias("frame"), F.lit(0).alias("y"), F.floor(k / 4).cast("int").alias("x"), F.when((k % 4 == 2) & (F.col("vec_id") % 3 == 0), float("nan")).otherwise(F.abs("x")).alias("w"))
+    parts = [attention.at_step(rows, ["vec_id"], step).select("vec_id", F.lit(str(step)).alias("step"), "x", r6("w").alias("w")) for step in (1, "early", "mean")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def view_contrast(spark, sf_dir):
+    """Low and high quantile of the first number of each label's embeddings, and of all."""
+    v = A.vectors(spark, sf_dir).select(F.col("label").cast("string").alias("label"), F.get("v", 0).alias("x"))
+    return profile.contrast(v, "label", "x").select("label", r6("low").alias("low"), r6("high").alias("high"))
