@@ -16,10 +16,12 @@ Equal windows have equal anchors, so
 5. an anchor with several edges is a branching node: only there can a window of an edge stand in a smaller document
    than the edge does. Windows of those edges, at their sources alone, are digested and compared one by one.
 
+With k-mers as long as a window every window is an edge of its own: the dense graph, as an option (``kmer``).
+
 Nothing is emitted in pairs: a passage in n documents gives n rows. Texts are not shuffled unless there are more
 documents with passages than may be broadcast.
 
-Defined cases: a null or short text has no windows; rows that repeat a doc_id are one document, so that they remove
+Defined cases: a null or short text has no windows; a text of any length is read whole, in running sums; rows that repeat a doc_id are one document, so that they remove
 nothing from each other; a row with a null doc_id neither removes nor loses words; an empty table gives no rows;
 extra columns stay, and columns with the names of results are replaced.
 """
@@ -85,7 +87,7 @@ def digests(raw: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
-def stretches(texts: list[str | None]) -> dict[str, np.ndarray]:
+def stretches(texts: list[str | None], kmer: int = KMER) -> dict[str, np.ndarray]:
     """Stretches of windows with one anchor: text number, first window, windows, anchor hash, digest of the words, and
     that of the stretch after it in the text, if last is not set."""
     raw, starts, ends, bounds = word_places(texts)
@@ -94,11 +96,11 @@ def stretches(texts: list[str | None]) -> dict[str, np.ndarray]:
         empty = np.empty(0, np.int64)
         return {c: empty for c in ("text", "at", "n", "h", "d1", "d2", "n1", "n2")} | {"last": np.empty(0, bool)}
     words = Spans(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), ODD1)(starts, ends)
-    kmers = Spans(words, ODD2)(np.arange(len(words) - KMER + 1), np.arange(KMER, len(words) + 1))
+    kmers = Spans(words, ODD2)(np.arange(len(words) - kmer + 1), np.arange(kmer, len(words) + 1))
     text = np.repeat(np.arange(len(texts)), room)
     start = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(bounds[:-1], room)
     anchor = np.empty(len(start), np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(kmers, WINDOW - KMER + 1)
+    view = np.lib.stride_tricks.sliding_window_view(kmers, WINDOW - kmer + 1)
     for k in range(0, len(start), 1 << 15):
         part = start[k : k + (1 << 15)]
         anchor[k : k + (1 << 15)] = part + view[part].argmin(1)
@@ -116,13 +118,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def edges(docs: DataFrame) -> DataFrame:
+def edges(docs: DataFrame, kmer: int = KMER) -> DataFrame:
     """All stretches of documents with an id: (doc_id, row, at, n, h, d1, d2, n1, n2); n1 and n2 are null at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                found = stretches(part.column("text").to_pylist())
+                found = stretches(part.column("text").to_pylist(), kmer)
                 who, last = pa.array(found.pop("text")), found.pop("last")
                 columns = [part.column("doc_id").take(who), part.column("row").take(who), pa.array(found["at"].astype(np.int32)), pa.array(found["n"].astype(np.int32))]
                 columns += [*(pa.array(found[c]) for c in ("h", "d1", "d2")), *(pa.array(found[c], mask=last) for c in ("n1", "n2"))]
@@ -171,10 +173,10 @@ def compact(nodes: DataFrame) -> DataFrame:
     return inner.groupBy(F.coalesce("p1", "d1").alias("d1"), F.coalesce("p2", "d2").alias("d2")).agg(F.max(F.col("n") + F.coalesce("off", F.lit(0))).alias("windows"), F.count("*").alias("edges"))
 
 
-def repeated_paths(docs: DataFrame) -> DataFrame:
+def repeated_paths(docs: DataFrame, kmer: int = KMER) -> DataFrame:
     """Passages to remove: (doc_id, row, start, end) in words, end exclusive, with source_id and, of whole paths,
     source_start and edges. Passages of a document may overlap."""
-    all_edges = materialize(edges(docs), "edges")
+    all_edges = materialize(edges(docs, kmer), "edges")
     # 1. anchors of more than one document
     anchors = all_edges.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     anchors = materialize(anchors, "anchors")  # both sides of the joins below shuffle, so that Spark can split a hot key
@@ -212,9 +214,12 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     return whole.unionByName(singles.drop("run"), allowMissingColumns=True)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with n_words, n_removed, kept_sha256 and kept_text (kept words joined by a space)."""
-    paths = materialize(repeated_paths(docs), "passages")
+def remove_repeats(docs: DataFrame, kmer: int = KMER) -> DataFrame:
+    """docs with n_words, n_removed, kept_sha256 and kept_text (kept words joined by a space). With ``kmer`` = ``WINDOW``
+    every window is an edge: the dense graph, of the same result."""
+    if not 1 <= kmer <= WINDOW:
+        raise ValueError(f"k-mers have 1 to {WINDOW} words: {kmer}")
+    paths = materialize(repeated_paths(docs, kmer), "passages")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text")]
     key, row, held = (own_name(names, x) for x in ("doc", "row", "cuts"))
     by_doc = materialize(paths.groupBy(F.col("doc_id").alias(key), F.col("row").alias(row)).agg(F.collect_set(F.struct("start", "end")).alias(held)), "cuts")

@@ -57,6 +57,19 @@ def test_random(spark, seed, words, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("kmer", [substrings.WINDOW, 49, 1])
+def test_dense_graph(spark, kmer):
+    """Every window an edge, and other lengths of k-mers: the same words go."""
+    r = random.Random(kmer)
+    shared = [[f"w{r.randrange(900)}" for _ in range(n)] for n in (50, 64, 130)]
+    rows = [(d, " ".join([f"w{r.randrange(900)}" for _ in range(r.randrange(40))] + r.choice(shared)[r.randrange(6) :] + [f"w{r.randrange(900)}" for _ in range(r.randrange(9))])) for d in range(40)] + [(50, "x " * 300), (51, "x " * 70), (52, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in substrings.remove_repeats(df, kmer).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    assert got == brute(rows) and any(x[2] for x in got)
+    with pytest.raises(ValueError, match="1 to 50"):
+        substrings.remove_repeats(df, 51)
+
+
 def test_documents(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == brute(rows)
