@@ -35,6 +35,39 @@ def view_order(views: Column) -> Column:
     return F.when(F.size(views) == 1, F.concat(F.lit("The video is from the "), first, F.lit("."))).otherwise(two)
 
 
+#: Sentences of a task's prompt, and marks that stand for a state, an action and a camera in it.
+TASK, STATES, CAMERA = "Task: ", "States: ", " camera intrinsics: "
+NEXT, NEXT_FRAMES = " Predict the next action sequence.", " Predict the next action sequence and future frames."
+STATE_MARK, ACTION_MARK, CAMERA_MARK = "<state>", "<action>", "<camera>"
+
+
+def camera_text(view: Column, intrinsic: Column, marks: bool = False) -> Column:
+    """A camera's numbers with two digits, or, with ``marks``, a mark that a model fills with them."""
+    numbers = F.format_string("fx:%.2f fy:%.2f cx:%.2f cy:%.2f", *(F.get(intrinsic, k).cast("double") for k in range(4)))
+    return F.concat(F.initcap(view), F.lit(CAMERA), F.lit(CAMERA_MARK) if marks else numbers, F.lit("."))
+
+
+def task_prompt(instruction: Column, views: Column, intrinsics: Column, n_states: Column, marks: bool = False, frames: bool = False) -> Column:
+    """What a task asks: the instruction, which video is from which camera, the cameras of the active views in their
+    order, and a mark to each state. ``intrinsics`` maps a view to its four numbers; a view without any is an error,
+    unless marks stand for them."""
+    lost = F.raise_error(F.lit("an active view has no intrinsic")).cast("array<double>")
+    one = lambda v: camera_text(v, F.lit(None) if marks else F.coalesce(F.element_at(intrinsics, v).cast("array<double>"), lost), marks)
+    cameras = F.array_join(F.transform(views, one), " ")
+    text = F.concat(F.lit(TASK), instruction, F.lit(". "), view_order(views), F.lit(" "), cameras, F.lit(" " + STATES), F.repeat(F.lit(STATE_MARK), n_states), F.lit("."))
+    return F.concat(text, F.lit(NEXT_FRAMES if frames else NEXT))
+
+
+def task_messages(prompt: Column, views: Column, n_actions: Column, prompt_only: Column) -> Column:
+    """User and assistant turns of a task: a placeholder to each view's video before the text, a mark to each action."""
+    part = lambda kind, text: F.struct(kind.alias("type"), text.alias("text"))
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    videos = F.transform(views, lambda _: part(F.lit("video"), F.lit(None).cast("string")))
+    user = F.array(turn("user", F.concat(videos, F.array(part(F.lit("text"), prompt)))))
+    answer = F.array(turn("assistant", F.array(part(F.lit("text"), F.repeat(F.lit(ACTION_MARK), n_actions)))))
+    return F.when(prompt_only, user).otherwise(F.concat(user, answer))
+
+
 def image_names(names: Column) -> Column:
     """Names of image members in lexicographic order, so that image_10 comes before image_2."""
     return F.array_sort(F.filter(names, lambda x: x.startswith("image_") & x.endswith(".jpg")))

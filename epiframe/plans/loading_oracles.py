@@ -55,3 +55,9 @@ SELECT vec_id, '1' AS step, x, round(w, 6) AS w FROM x WHERE step = 1 UNION ALL
 SQL["view_contrast"] = f"""
 WITH {_V}, l AS (SELECT CAST(label AS VARCHAR) AS label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), a AS (SELECT label, x FROM l UNION ALL SELECT '(joint)', x FROM l), s AS (SELECT label, list_sort(list(x)) AS x FROM a GROUP BY label)
 SELECT label, round(x[greatest(1, ceil(0.02 * len(x))::INT)], 6) AS low, round(x[greatest(1, ceil(0.98 * len(x))::INT)], 6) AS high FROM s"""
+SQL["task_prompts"] = """
+WITH e AS (SELECT event_id, event_type, event_id % 4 AS n, CASE WHEN event_id % 2 = 0 THEN 'There are two videos: the first video is from the head camera; the second video is from the chest camera.' ELSE 'The video is from the head camera.' END AS seen,
+  format('fx:{:.2f} fy:{:.2f} cx:{:.2f} cy:1.00.', value, value * 2, event_id + 0.25::DOUBLE) AS head, format('fx:{:.2f} fy:{:.2f} cx:{:.2f} cy:1.00.', value, value * 2, event_id + 0.75::DOUBLE) AS chest FROM events
+), p AS (SELECT event_id, n, 'Task: ' || event_type || '. ' || seen || ' Head camera intrinsics: ' || head || CASE WHEN event_id % 2 = 0 THEN ' Chest camera intrinsics: ' || chest ELSE '' END || ' States: ' || repeat('<state>', n) || '. Predict the next action sequence.' AS plain,
+  'Task: ' || event_type || '. ' || seen || ' Head camera intrinsics: <camera>.' || CASE WHEN event_id % 2 = 0 THEN ' Chest camera intrinsics: <camera>.' ELSE '' END || ' States: ' || repeat('<state>', n) || '. Predict the next action sequence and future frames.' AS marked FROM e)
+SELECT event_id, plain, marked, 'user:video 0+' || CASE WHEN event_id % 2 = 0 THEN 'video 0+' ELSE '' END || 'text ' || length(plain) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' | assistant:text ' || 8 * n END AS turns FROM p"""

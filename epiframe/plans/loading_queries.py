@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling as S
+from ..functions import text as X
 from ..operators import attention, blend, collate, guarded, images, metrics, profile, samples, serving, shuffle, vla
 from ..sources import adapters as A
 from ..sources import files, media, members, shards, store
@@ -190,3 +191,17 @@ def view_contrast(spark, sf_dir):
     """Low and high quantile of the first number of each label's embeddings, and of all."""
     v = A.vectors(spark, sf_dir).select(F.col("label").cast("string").alias("label"), F.get("v", 0).alias("x"))
     return profile.contrast(v, "label", "x").select("label", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query
+def task_prompts(spark, sf_dir):
+    """Tasks of one and two cameras, with their numbers and with marks, as turns of a conversation."""
+    k, two = F.col("event_id"), F.col("event_id") % 2 == 0
+    views = F.when(two, F.array(F.lit("head"), F.lit("chest"))).otherwise(F.array(F.lit("head")))
+    numbers = lambda more: F.array(F.col("value"), F.col("value") * 2, k.cast("double") + more, F.lit(1.0))
+    e = A.table(spark, sf_dir, "events").select("event_id", "event_type", views.alias("views"), F.create_map(F.lit("head"), numbers(0.25), F.lit("chest"), numbers(0.75)).alias("k"), (k % 4).cast("int").alias("n"))
+    args = (F.col("event_type"), F.col("views"), F.col("k"), F.col("n"))
+    e = e.withColumns({"plain": X.task_prompt(*args), "marked": X.task_prompt(*args, marks=True, frames=True)})
+    turns = X.task_messages(F.col("plain"), F.col("views"), F.col("n"), F.col("event_id") % 3 == 0)
+    flat = F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), F.array_join(F.transform(t["content"], lambda c: F.concat(c["type"], F.lit(" "), F.length(F.coalesce(c["text"], F.lit(""))).cast("string"))), "+")))
+    return e.select("event_id", "plain", "marked", F.array_join(flat, " | ").alias("turns"))
