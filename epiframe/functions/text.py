@@ -18,6 +18,7 @@ def folder_name(address: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
+    """Units and their digits."""
     kilo, mega = F.format_string("%.2f KB", n / 1024.0), F.format_string("%.2f MB", n / 1048576.0)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" bytes"))).when(n < 1048576, kilo).otherwise(mega)
 
@@ -28,7 +29,7 @@ def views_fail(views: Column) -> Column:
 
 
 def view_order(views: Column) -> Column:
-    """Which video is from which camera, of one or two views."""
+    """Which video is from which camera, of one or two views. Its sentences."""
     name = lambda v: F.element_at(F.create_map(*(F.lit(x) for kv in VIEWS.items() for x in kv)), v)
     first, second = name(F.get(views, 0)), name(F.get(views, 1))
     two = F.concat(F.lit("There are two videos: the first video is from the "), first, F.lit("; the second video is from the "), second, F.lit("."))
@@ -69,7 +70,7 @@ def task_messages(prompt: Column, views: Column, n_actions: Column, prompt_only:
 
 
 def image_names(names: Column) -> Column:
-    """Names of image members in lexicographic order, so that image_10 comes before image_2."""
+    """Names of image members in lexicographic order, so that image_10 comes before image_2. Their pattern."""
     return F.array_sort(F.filter(names, lambda x: x.startswith("image_") & x.endswith(".jpg")))
 
 

@@ -139,3 +139,21 @@ def process_frames(rows: DataFrame, key: Sequence[str], size: tuple[int, int] |
                 yield pa.RecordBatch.from_arrays([pa.array([new[c]], part.schema.field(c).type) if c in new else part.column(c) for c in names], names=names)
 
     return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]))
+
+
+def with_channel_stats(rows: DataFrame) -> DataFrame:
+    """rows(height, width, pixels, ..) with ``means`` and ``stds`` (of the population) of the three colours over all
+    frames of a sample, which ``quality_gate.image_fails`` judges; null without pixels."""
+    names = [c for c in rows.columns if c not in ("means", "stds")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means, stds = [], []
+            for value in batch.column("pixels"):
+                a = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 3) if value.is_valid else np.empty((0, 3))
+                means.append(a.mean(axis=0).tolist() if len(a) else None)
+                stds.append(a.std(axis=0).tolist() if len(a) else None)
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(means, kind), pa.array(stds, kind)], names=[*names, "means", "stds"])
+
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in names), T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("stds", T.ArrayType(T.DoubleType()))]))

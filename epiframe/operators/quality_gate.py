@@ -18,6 +18,9 @@ Check = tuple[str, Column]
 
 #: Texts that are no instruction.
 PLACEHOLDERS = ("", "none", "unknown", "n/a", "null", "todo")
+#: Tolerances of an extrinsic's last row and determinant, a focal length's bound, an image's least and
+#: greatest channel mean and least deviation, the least share of valid depths, the greatest cosine of rotation columns.
+ROW, DETERMINANT, FOCAL, MEANS, SPREAD, VALID, COSINE = 1e-3, 0.1, 10_000.0, (5.0, 250.0), 3.0, 0.05, 0.1
 
 
 def any_of(xs: Sequence[Column]) -> Column:
@@ -37,7 +40,7 @@ def schema_fails(required: Sequence[str], sizes: dict[str, int]) -> Column:
     return F.coalesce(any_of(fails), F.lit(True))
 
 
-def extrinsic_fails(m: G.Matrix, row_tolerance: float = 1e-3, det_tolerance: float = 0.1) -> Column:
+def extrinsic_fails(m: G.Matrix, row_tolerance: float = ROW, det_tolerance: float = DETERMINANT) -> Column:
     """Not finite, last row not 0 0 0 1 within tolerance, or a determinant too far from 1."""
     flat = [x for row in m for x in row]
     want = (0.0, 0.0, 0.0, 1.0)
@@ -45,7 +48,7 @@ def extrinsic_fails(m: G.Matrix, row_tolerance: float = 1e-3, det_tolerance: flo
     return any_of([not_finite(x) for x in flat]) | last | (F.abs(G.determinant3(m) - 1) > det_tolerance)
 
 
-def intrinsic_fails(k: G.Vector, most: float = 10_000.0) -> Column:
+def intrinsic_fails(k: G.Vector, most: float = FOCAL) -> Column:
     return any_of([not_finite(x) for x in k]) | (k[0] <= 0) | (k[1] <= 0) | (k[0] >= most) | (k[1] >= most)
 
 
@@ -58,17 +61,17 @@ def instruction_fails(instructions: Column, number: Column) -> Column:
     return instructions.isNull() | number.isNull() | (number <= 0) | F.forall(instructions, text_is_placeholder)
 
 
-def image_fails(means: Column, stds: Column, low: float = 5.0, high: float = 250.0, spread: float = 3.0) -> Column:
+def image_fails(means: Column, stds: Column, low: float = MEANS[0], high: float = MEANS[1], spread: float = SPREAD) -> Column:
     """By arrays of channel means and population deviations of an image."""
     return (F.array_min(means) < low) | (F.array_max(means) > high) | (F.array_min(stds) < spread)
 
 
-def depth_fails(depth: Column, least: float = 0.05) -> Column:
+def depth_fails(depth: Column, least: float = VALID) -> Column:
     valid = F.size(F.filter(depth, lambda x: x > 0)) / F.nullif(F.size(depth), F.lit(0))
     return array_not_finite(depth) | F.coalesce(valid < least, F.lit(True))
 
 
-def rot6d_fails(rot6d: G.Vector, threshold: float = 0.1) -> Column:
+def rot6d_fails(rot6d: G.Vector, threshold: float = COSINE) -> Column:
     """Columns not orthogonal: zero columns pass by the guard of the division."""
     a, b = rot6d[:3], rot6d[3:]
     inner = G.dot(a, b) / ((G.norm(a) + G.NORM_EPS) * (G.norm(b) + G.NORM_EPS))

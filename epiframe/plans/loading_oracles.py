@@ -61,3 +61,7 @@ WITH e AS (SELECT event_id, event_type, event_id % 4 AS n, CASE WHEN event_id %
 ), p AS (SELECT event_id, n, 'Task: ' || event_type || '. ' || seen || ' Head camera intrinsics: ' || head || CASE WHEN event_id % 2 = 0 THEN ' Chest camera intrinsics: ' || chest ELSE '' END || ' States: ' || repeat('<state>', n) || '. Predict the next action sequence.' AS plain,
   'Task: ' || event_type || '. ' || seen || ' Head camera intrinsics: <camera>.' || CASE WHEN event_id % 2 = 0 THEN ' Chest camera intrinsics: <camera>.' ELSE '' END || ' States: ' || repeat('<state>', n) || '. Predict the next action sequence and future frames.' AS marked FROM e)
 SELECT event_id, plain, marked, 'user:video 0+' || CASE WHEN event_id % 2 = 0 THEN 'video 0+' ELSE '' END || 'text ' || length(plain) || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' | assistant:text ' || 8 * n END AS turns FROM p"""
+SQL["decoded_media_gate"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 3 WHEN vec_id % 7 = 0 THEN 0 ELSE CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) END AS v FROM embeddings, unnest(embedding) AS t(x)
+), c AS (SELECT vec_id, count(*) FILTER (v > 0) * 1.0 / count(*) AS depth, [avg(v % 256), avg(255 - v % 256), avg(v // 7 % 256)] AS m, [stddev_pop(v % 256), stddev_pop(255 - v % 256), stddev_pop(v // 7 % 256)] AS s FROM v GROUP BY vec_id)
+SELECT vec_id, round(m[1], 6) AS red, round(s[2], 6) AS green_std, CASE WHEN list_min(m) < 5 OR list_max(m) > 250 OR list_min(s) < 3 THEN 'image' WHEN depth < 0.05 THEN 'depth' ELSE 'ok' END AS reason, depth < 0.05 AS no_depth FROM c"""

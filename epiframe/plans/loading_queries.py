@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sampling as S
 from ..functions import text as X
-from ..operators import attention, blend, collate, guarded, images, metrics, profile, samples, serving, shuffle, vla
+from ..operators import attention, blend, collate, guarded, images, metrics, profile, quality_gate, samples, serving, shuffle, vla
 from ..sources import adapters as A
 from ..sources import files, media, members, shards, store
 from ..streaming import online, resampled
@@ -205,3 +205,20 @@ def task_prompts(spark, sf_dir):
     turns = X.task_messages(F.col("plain"), F.col("views"), F.col("n"), F.col("event_id") % 3 == 0)
     flat = F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), F.array_join(F.transform(t["content"], lambda c: F.concat(c["type"], F.lit(" "), F.length(F.coalesce(c["text"], F.lit(""))).cast("string"))), "+")))
     return e.select("event_id", "plain", "marked", F.array_join(flat, " | ").alias("turns"))
+
+
+@query
+def decoded_media_gate(spark, sf_dir):
+    """Pictures and depths decoded from shards, then judged: too dark or flat an image, too few valid depths."""
+    flat = F.transform("v", lambda x: F.when(F.col("vec_id") % 5 == 0, F.lit(3)).when(F.col("vec_id") % 7 == 0, F.floor(F.abs(x) * 10) % 2 * 0).otherwise(F.floor(F.abs(x) * 1000)).cast("int"))
+    e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), flat.alias("v"))
+    path = files.shared_path(spark, "picture-shards")
+    shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
+    frames = members.located_frames(spark, f"{path}/*.tar").withColumn("image_refs", F.array(members.locator()))
+    out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "metres": ("image_refs", "depth.npy")})
+    out = out.select("shard", "key", F.get("image", 0).alias("image"), F.get("metres", 0).alias("metres"))
+    out = images.with_channel_stats(media.decode_images(out, ["shard", "key"], "image"))
+    out = media.with_depth_values(media.decode_depths(out, ["shard", "key"], "metres"))
+    checks = [("image", quality_gate.image_fails(F.col("means"), F.col("stds"))), ("depth", quality_gate.depth_fails(F.col("depths")))]
+    out = quality_gate.with_reason(out, checks)
+    return out.select(F.substring("key", 7, 8).cast("long").alias("vec_id"), r6(F.get("means", 0)).alias("red"), r6(F.get("stds", 1)).alias("green_std"), F.coalesce("reason", F.lit("ok")).alias("reason"), (quality_gate.depth_fails(F.col("depths"))).alias("no_depth"))

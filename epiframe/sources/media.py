@@ -118,6 +118,18 @@ def decode_depths(rows: DataFrame, locator: Sequence[str], data: str = "data") -
     return rows.mapInArrow(read, schema)
 
 
+def with_depth_values(rows: DataFrame) -> DataFrame:
+    """rows(depth, ..) with ``depths``, its metres as an array."""
+    names = [c for c in rows.columns if c != "depths"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), "<f4") if x.is_valid else None for x in batch.column("depth")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values, pa.list_(pa.float32()))], names=[*names, "depths"])
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), T.StructField("depths", T.ArrayType(T.FloatType()))]))
+
+
 def qa_images(frames: DataFrame, keys: Sequence[str] = ("shard", "key")) -> DataFrame:
     """One row to each ``image_*.jpg`` member of located frames, numbered in the order of names; a frame without any is
     an error, as a question about images can't be asked of it."""
