@@ -9,7 +9,7 @@ The benchmark goes to the executors in blocks of at most ``BLOCK_WORDS`` words,
 documents; what one block found travels with the row to the next.
 
 Defined cases: a null text has no words; items without words or with a null item_id match nothing; repeated items
-count once; an empty table on either side gives rows without hits, or no rows; extra columns are kept by
+count once, and rows that repeat are marked alike; a text of any length is searched whole; an empty table on either side gives rows without hits, or no rows; extra columns are kept by
 ``mark_contaminated`` unless they have the names it adds, which it replaces.
 """
 

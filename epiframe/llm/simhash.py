@@ -14,8 +14,8 @@ on those rows, each step written to the shared folder.
 
 Defined cases: a null or empty text has no shingles and fingerprint zero, linked like any other; a text of fewer words
 than a shingle is one shingle; rows that repeat a doc_id are one document of the smallest id reachable; a null doc_id
-is in no component id but still links, and has the smallest id reachable, or null if all are null; an empty table
-gives no rows; extra columns stay in ``with_fingerprint`` and ``with_component``.
+is in no component id but still links, and has the smallest id reachable, or null if all are null; a text of any length
+gives all its shingles; an empty table gives no rows; extra columns stay in ``with_fingerprint`` and ``with_component``.
 """
 
 from __future__ import annotations

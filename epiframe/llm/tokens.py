@@ -12,7 +12,8 @@ blocks; unpacking is one numpy expression per block. Tasks write to names of the
 rows that Spark commits, so that a repeated or lost task leaves no wrong file in the manifest.
 
 Defined cases: a null text is empty and gives the end id alone; an empty table gives no rows and no files; rows with
-equal doc_id follow each other ordered by text; a null doc_id comes first; other columns are ignored.
+equal doc_id follow each other ordered by text, and rows that tie in both are alike; a null doc_id comes first; a text
+of any length is encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations

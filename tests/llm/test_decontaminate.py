@@ -63,3 +63,18 @@ def test_documents(spark, sf):
     got = run(spark, docs, items)
     assert got == brute(docs, items)
     assert any(r[-1] for r in got)
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    """Columns of the caller's stay, but for those of results; a window at the end of a long text is found."""
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, "x " * 600_000 + passage, 7, "a", "b"), (2, None, 7, "a", "b")], "doc_id long, text string, n_hit int, item_id string, ids string")
+    items = spark.createDataFrame([(5, passage, "z", 1)], "item_id long, text string, n_words string, doc_id int")
+    rows = {r.doc_id: r for r in decontaminate.mark_contaminated(docs, items).collect()}
+    assert (rows[1].n_words, rows[1].n_hit, rows[1].item_id, rows[1].ids) == (600_012, 12, "a", "b") and (rows[2].n_words, rows[2].contaminated) == (0, False)
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "one two three four")] * 3, "doc_id long, text string")
+    items = spark.createDataFrame([(4, "two three")] * 2 + [(3, "two three")], "item_id long, text string")
+    assert {(r.n_hit, r.n_items, tuple(r["items"])) for r in decontaminate.mark_contaminated(docs, items).collect()} == {(2, 2, (3, 4))}
