@@ -97,6 +97,34 @@ def weighted_blend(sources: Sequence[tuple[DataFrame, float]], id_column: str, s
     return out
 
 
+#: Slots to a block of a random mix, in which picks of a source are numbered.
+MIX_BLOCK = 1 << 16
+
+
+def random_mix(slots: DataFrame, weights: Sequence[float], sizes: Sequence[int], slot: str = "slot", seed: int = 0) -> DataFrame:
+    """slots with source and number: each slot draws a source by weight, on its own, and takes the source's next row;
+    a source starts anew when it ends. Picks are numbered by blocks of slots, so that no task gets all of a source's.
+
+    ``sizes`` are the sources' rows; one without rows, or of weight 0, is never drawn, and without any that can be it is an error."""
+    if len(weights) != len(sizes) or any(w < 0 for w in weights):
+        raise ValueError(f"a weight of at least 0 to each source: {weights}")
+    use = [w if n else 0.0 for w, n in zip(weights, sizes)]
+    if not sum(use):
+        raise ValueError("no source that can be drawn")
+    u, source, below = unit_hash(slot, seed=seed), None, 0.0
+    last = max(k for k, w in enumerate(use) if w)
+    for k, w in enumerate(use[:last]):
+        below += w / sum(use)
+        source = F.when(u < F.lit(below), k) if source is None else source.when(u < F.lit(below), k)
+    drawn = slots.withColumn("source", F.lit(last) if source is None else source.otherwise(last)).withColumn("_block", F.floor(F.col(slot) / MIX_BLOCK))
+    counts = drawn.groupBy("source", "_block").agg(F.count("*").alias("_n"))  # a row to a block and source
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_block")) - F.col("_n")
+    local = F.row_number().over(Window.partitionBy("source", "_block").orderBy(slot)) - 1
+    size = F.element_at(F.array(*(F.lit(max(1, n)) for n in sizes)), F.col("source") + 1)
+    joined = drawn.withColumn("_local", local).join(counts.select("source", "_block", before.alias("_before")), ["source", "_block"])
+    return joined.withColumn("number", (F.col("_before") + F.col("_local")) % size).drop("_block", "_local", "_before")
+
+
 def chain(sources: Sequence[DataFrame]) -> DataFrame:
     """Sources one after the other, told apart by source_ord; missing columns are null."""
     out = sources[0].withColumn("source_ord", F.lit(0))

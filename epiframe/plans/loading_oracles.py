@@ -65,3 +65,6 @@ SQL["decoded_media_gate"] = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 3 WHEN vec_id % 7 = 0 THEN 0 ELSE CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) END AS v FROM embeddings, unnest(embedding) AS t(x)
 ), c AS (SELECT vec_id, count(*) FILTER (v > 0) * 1.0 / count(*) AS depth, [avg(v % 256), avg(255 - v % 256), avg(v // 7 % 256)] AS m, [stddev_pop(v % 256), stddev_pop(255 - v % 256), stddev_pop(v // 7 % 256)] AS s FROM v GROUP BY vec_id)
 SELECT vec_id, round(m[1], 6) AS red, round(s[2], 6) AS green_std, CASE WHEN list_min(m) < 5 OR list_max(m) > 250 OR list_min(s) < 3 THEN 'image' WHEN depth < 0.05 THEN 'depth' ELSE 'ok' END AS reason, depth < 0.05 AS no_depth FROM c"""
+SQL["random_mix"] = f"""
+WITH s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS slot FROM events), d AS (SELECT *, {_u("CAST(slot AS VARCHAR)", seed=6)} AS u FROM s), p AS (SELECT *, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS source FROM d)
+SELECT event_id, slot, CAST(source AS INT) AS source, (row_number() OVER (PARTITION BY source ORDER BY slot) - 1) % CASE source WHEN 0 THEN (SELECT count(*) FROM lineitem) WHEN 1 THEN (SELECT count(*) FROM orders) ELSE (SELECT count(*) FROM pages) END AS number FROM p"""

@@ -222,3 +222,11 @@ def decoded_media_gate(spark, sf_dir):
     checks = [("image", quality_gate.image_fails(F.col("means"), F.col("stds"))), ("depth", quality_gate.depth_fails(F.col("depths")))]
     out = quality_gate.with_reason(out, checks)
     return out.select(F.substring("key", 7, 8).cast("long").alias("vec_id"), r6(F.get("means", 0)).alias("red"), r6(F.get("stds", 1)).alias("green_std"), F.coalesce("reason", F.lit("ok")).alias("reason"), (quality_gate.depth_fails(F.col("depths"))).alias("no_depth"))
+
+
+@query
+def random_mix(spark, sf_dir):
+    """As many slots as events, each drawing a line, an order or a page by weight; pages start anew when they end."""
+    slots = blend.number_rows(A.table(spark, sf_dir, "events").select("event_id"), ["event_id"], "slot")
+    sizes = [A.table(spark, sf_dir, t).count() for t in ("lineitem", "orders", "pages")]
+    return blend.random_mix(slots, [0.5, 0.25, 0.25], sizes, seed=6).select("event_id", "slot", "source", "number")

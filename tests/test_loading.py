@@ -258,3 +258,25 @@ def test_beta_time(spark):
     assert all(abs(r["any"] - r.one) < 1e-9 for r in rows)
     with pytest.raises(ValueError, match="positive"):
         sampling.beta_time_of(F.col("u"), 0, 1)
+
+
+# random mix
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_random_mix(spark, monkeypatch, block):
+    """Each source's rows in order and over again, in any blocks; shares near the weights."""
+    from epiframe.operators import blend
+
+    monkeypatch.setattr(blend, "MIX_BLOCK", block)
+    slots = spark.range(4000).withColumnRenamed("id", "slot")
+    rows = sorted((r.slot, r.source, r.number) for r in blend.random_mix(slots, [3, 0, 1, 5], [50, 9, 7, 0], seed=2).collect())
+    assert [r[0] for r in rows] == list(range(4000)) and {r[1] for r in rows} == {0, 2}
+    for source, size in ((0, 50), (2, 7)):
+        picks = [n for _, s, n in rows if s == source]
+        assert picks == [k % size for k in range(len(picks))]
+    assert abs(sum(r[1] == 0 for r in rows) / 4000 - 0.75) < 0.03
+    assert blend.random_mix(slots, [0, 1], [5, 5]).select("source").distinct().collect()[0][0] == 1
+    for weights, sizes in (([1], [1, 2]), ([-1, 2], [1, 2]), ([0, 1], [5, 0])):
+        with pytest.raises(ValueError, match="weight|no source"):
+            blend.random_mix(slots, weights, sizes)
