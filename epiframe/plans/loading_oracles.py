@@ -68,3 +68,8 @@ SELECT vec_id, round(m[1], 6) AS red, round(s[2], 6) AS green_std, CASE WHEN lis
 SQL["random_mix"] = f"""
 WITH s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS slot FROM events), d AS (SELECT *, {_u("CAST(slot AS VARCHAR)", seed=6)} AS u FROM s), p AS (SELECT *, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS source FROM d)
 SELECT event_id, slot, CAST(source AS INT) AS source, (row_number() OVER (PARTITION BY source ORDER BY slot) - 1) % CASE source WHEN 0 THEN (SELECT count(*) FROM lineitem) WHEN 1 THEN (SELECT count(*) FROM orders) ELSE (SELECT count(*) FROM pages) END AS number FROM p"""
+SQL["windows_of_resampled_shards"] = f"""
+WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS hq FROM events), a AS (
+  SELECT event_id, hq, [value, lead(value, 2) OVER w, lead(value, 4) OVER w, lead(value, 6) OVER w] AS v, [hq, lead(hq, 2) OVER w, lead(hq, 4) OVER w, lead(hq, 6) OVER w] AS q FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), b AS (SELECT *, coalesce(list_position(q, 0), 5) AS cut FROM a WHERE hq = 1 AND {_u("event_id", seed=7)} < 0.4)
+SELECT event_id, CAST(k AS INT) AS k, CAST(2 AS BIGINT) AS epochs, true AS alike, 3 AS n_states, round(CAST(CAST(v[k + 1] AS FLOAT) AS DOUBLE), 4) AS x FROM b, unnest(range(0, 4)) AS t(k) WHERE k + 1 < cut AND v[k + 1] IS NOT NULL"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sampling as S
 from ..functions import text as X
-from ..operators import attention, blend, collate, guarded, images, metrics, profile, quality_gate, samples, serving, shuffle, vla
+from ..operators import attention, blend, collate, guarded, images, metrics, profile, quality_gate, samples, serving, shuffle, vla, windows
 from ..sources import adapters as A
 from ..sources import files, media, members, shards, store
 from ..streaming import online, resampled
@@ -230,3 +230,16 @@ def random_mix(spark, sf_dir):
     slots = blend.number_rows(A.table(spark, sf_dir, "events").select("event_id"), ["event_id"], "slot")
     sizes = [A.table(spark, sf_dir, t).count() for t in ("lineitem", "orders", "pages")]
     return blend.random_mix(slots, [0.5, 0.25, 0.25], sizes, seed=6).select("event_id", "slot", "source", "number")
+
+
+@query
+def windows_of_resampled_shards(spark, sf_dir):
+    """A training stream: shards drawn in random order for two epochs, in bounded batches, composed to windows as their
+    frames arrive, and thinned; each epoch has the same windows."""
+    stream = resampled.resampled(spark, f"{event_shards(spark, sf_dir)}/*.tar", seed=4, epochs=2, rows=20_000, image=False)
+    frames = stream.select("epoch", "episode_index", "pos", F.substring("key", 7, 8).cast("long").alias("event_id"), F.get("lowdim", 0).cast("double").alias("payload"), "high_quality", F.get_json_object("meta", "$.last").cast("boolean").alias("final"))
+    config = windows.WindowConfig(windows.Reach(4, 2, "truncate"), windows.Reach(3, 2))
+    out = online.run_to_end(online.compose(frames, config, ["epoch", "episode_index"], "pos").where(blend.unit_hash("event_id", seed=7) < 0.4))
+    out = out.groupBy("event_id").agg(F.count("*").alias("epochs"), F.min(F.struct("actions", "states")).alias("a"), F.max(F.struct("actions", "states")).alias("b"))
+    flat = out.select("event_id", "epochs", (F.col("a") == F.col("b")).alias("alike"), F.size("a.states").alias("n_states"), F.posexplode("a.actions").alias("k", "x"))
+    return flat.select("event_id", "k", "epochs", "alike", "n_states", F.round("x", 4).alias("x"))

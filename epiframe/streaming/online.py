@@ -22,8 +22,9 @@ def moments(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def compose(frames: DataFrame, config: WindowConfig, episode: Sequence[str], order: str, anchor: str = "event_id", payload: str = "payload", quality: str = "high_quality", final: str = "final") -> DataFrame:
     """States and actions of each anchor of high quality, as soon as its future has arrived or its episode has ended.
 
-    Frames of an episode arrive in order over the micro-batches; ``final`` marks an episode's last. State per episode
-    is its first payload and the frames that a coming anchor can still need. A null payload counts as a frame.
+    Frames of an episode arrive in order over the micro-batches; ``final`` marks an episode's last. A
+    micro-batch's frames of an episode are held in its task, so the source should bound its batches, as ``resampled`` does.
+    State per episode is its first payload and the frames that a coming anchor can still need. A null payload counts as a frame.
     """
     past, ahead = config.past(), (config.actions.horizon - 1) * config.actions.stride
 
