@@ -14,7 +14,7 @@ from ..streaming import online, resampled
 from ..streaming.blend import blend_streams
 from . import pictures
 from .media_queries import event_shards
-from .queries import query, r6
+from .registry import query, r6
 
 
 @query

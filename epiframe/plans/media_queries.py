@@ -9,13 +9,19 @@ from ..operators import blend, windows
 from ..sources import adapters as A
 from ..sources import files, media, members, shards
 from . import pictures
-from .queries import query
+from .registry import query
+
+
+def shards_for(frames: DataFrame, most: int = 5000) -> int:
+    """Shards of so many frames, about."""
+    return 1 + frames.count() // most
 
 
 def event_shards(spark: SparkSession, sf_dir: str) -> str:
     """Events as frames, an episode to a user, whose last frame is marked: an image of varying size that holds the event's id."""
     last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
-    e = A.table(spark, sf_dir, "events").withColumn("last", last).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    e = A.table(spark, sf_dir, "events")
+    e = e.withColumn("last", last).repartition(shards_for(e), "user_id").sortWithinPartitions("user_id", "ts", "event_id")
     meta = F.to_json(F.struct(F.lit("events").alias("dataset_name"), F.col("user_id").alias("episode_index"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("high_quality"), "last"))
     image = F.encode(F.concat(F.col("event_id").cast("string"), F.repeat(F.lit("."), (F.col("event_id") % 997).cast("int"))), "UTF-8")
     rows = e.select(F.format_string("frame_%08d", "event_id").alias("key"), meta.alias("meta"), F.array(F.col("value").cast("float")).alias("lowdim"), image.alias("image"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -13,22 +11,7 @@ from ..schema import IGNORED_DIMENSIONS
 from ..sources import adapters as A
 from ..sources import files
 from ..streaming import online
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def r10(c: str) -> Column:
-    """For means of few prices, of which the 7th digit is often a tie."""
-    return F.round(F.col(c), 10)
+from .registry import QUERIES, query, r6, r10  # noqa: F401
 
 
 def _episode():

@@ -16,7 +16,7 @@ from ..operators import attention, blend, candidates, metrics, normalizer, profi
 from ..sources import adapters as A
 from ..sources import files, shards, store
 from ..streaming import online
-from .queries import query, r6, r10
+from .registry import query, r6, r10
 
 
 def u(*keys: str, seed: int = 0):
@@ -348,7 +348,8 @@ def _encoded(batches):
 @query
 def frame_shard_roundtrip(spark, sf_dir):
     """Events written as tar shards and read back without depths."""
-    e = A.table(spark, sf_dir, "events").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    e = A.table(spark, sf_dir, "events")
+    e = e.repartition(1 + e.count() // 5000, "user_id").sortWithinPartitions("user_id", "ts", "event_id")  # shards of about 5000 frames
     meta = F.to_json(F.struct(F.lit("events").alias("dataset_name"), F.col("user_id").alias("episode_index"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("instruction"), F.lit(1).alias("instruction_num"), F.when(F.col("event_type") == "error", 0).alias("high_quality")))
     rows = e.select(F.format_string("frame_%08d", "event_id").alias("key"), meta.alias("meta"), "value", "event_id").mapInPandas(_encoded, "key string, meta string, lowdim array<float>, image binary, depth binary")
     path = files.shared_path(spark, "shards")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAMES
-from .files import open_at
+from .files import open_at, shared_path
 from .shards import ALWAYS, BATCH, MEDIA, expand, frame
 
 PLACES = T.MapType(T.StringType(), T.StructType([T.StructField("offset", T.LongType()), T.StructField("size", T.LongType())]))
@@ -153,7 +153,11 @@ FUTURE_MEDIA = {"future_frames": ("future_refs", "image.jpg"), "chest_future_fra
 
 
 def with_media(windows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, str]] = WINDOW_MEDIA) -> DataFrame:
-    """windows with an array of bytes for each output, in the order of its locators; ``keys`` tell windows apart."""
+    """windows with an array of bytes for each output, in the order of its locators; ``keys`` tell windows apart. Windows,
+    which hold places alone, are written once in the shared folder, as they are read twice."""
+    spark, path, schema = windows.sparkSession, shared_path(windows.sparkSession, "windows"), windows.schema
+    windows.write.parquet(path)
+    windows = spark.read.schema(schema).parquet(path)
     own = [f"_{k}" for k in keys]
     places = media_places(windows.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), *dict.fromkeys(r for r, _ in wanted.values())), own, wanted)
     member = F.collect_list(F.struct("output", "k", "data"))
