@@ -4,8 +4,8 @@ Tokens are summed by cell: source, language and topic. The targets of a dimensio
 gives, as rows (dimension, value, weight), or else their tempered shares; either is scaled to the tokens to keep. A
 value that is not among a dimension's given weights has the target 0. A value that has fewer tokens than its target gives all it has, and what it lacks goes to the
 dimension's other values in the same proportions. Raking then scales the cells' weights, which are expected tokens, in
-turn to the goals of sources, languages and topics, ``ROUNDS`` times and as often again while the last round still
-moved more than ``MOVED`` of the tokens, ``MOST_ROUNDS`` times at most; no cell's weight exceeds its tokens. A document is sampled with
+turn to the goals of sources, languages and topics, ``ROUNDS`` times or, with ``moved``, as often again while the
+last round still moved more than that share of the tokens, ``MOST_ROUNDS`` times at most; no cell's weight exceeds its tokens. A document is sampled with
 its cell's weight over its tokens as probability. Sampling compares a hash of the id with it, so that it repeats
 exactly. ``margins`` reports target, goal and expectation of every value.
 
@@ -34,8 +34,6 @@ from .quality import words_of
 TEMPER = 0.7
 KEEP = 0.75
 ROUNDS, MOST_ROUNDS = 16, 128
-#: Share of all tokens by which a round may still move the cells' weights at the end.
-MOVED = 1e-3
 #: Documents on which clusters of topics are fitted, at most about so many, and the numbers that words are hashed to.
 TOPIC_ROWS, TOPIC_FEATURES = 20_000, 1024
 ONE_TASK = 1_000_000
@@ -123,17 +121,19 @@ def _given(targets: DataFrame | None) -> tuple[str, ...]:
     return tuple(d for d in DIMENSIONS if d in found)
 
 
-def rake(cells: DataFrame, temper: float = TEMPER, keep: float = KEEP, targets: DataFrame | None = None) -> DataFrame:
-    """cells with total, goals, weight and probability; ``targets`` has rows (dimension, value, weight)."""
+def rake(cells: DataFrame, temper: float = TEMPER, keep: float = KEEP, targets: DataFrame | None = None, moved: float | None = None) -> DataFrame:
+    """cells with total, goals, weight and probability; ``targets`` has rows (dimension, value, weight). With ``moved``
+    rounds go on until one moves at most that share of the tokens."""
     given, few = _given(targets), cells.count() <= ONE_TASK
     for d in given:
         side = materialize(_weights(targets, d), "targets")
         cells = cells.join(small_side(side), F.col(d).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value").withColumn(f"given_{d}", F.coalesce(f"given_{d}", F.lit(0.0)))
-    cells, done, moved = _run(_run(cells, goal_steps(temper, keep, given), few), round_steps(), few), ROUNDS, 1.0
-    while moved > MOVED and done < MOST_ROUNDS:
-        moved = cells.agg(F.sum(F.abs(F.col("weight") - F.col("before"))) / F.nullif(F.max("total"), F.lit(0.0))).first()[0] or 0.0
-        if moved > MOVED:
-            cells, done = _run(cells, round_steps(), few), done + ROUNDS
+    cells, done = _run(_run(cells, goal_steps(temper, keep, given), few), round_steps(), few), ROUNDS
+    while moved is not None and done < MOST_ROUNDS:
+        last = cells.agg(F.sum(F.abs(F.col("weight") - F.col("before"))) / F.nullif(F.max("total"), F.lit(0.0))).first()[0] or 0.0
+        if last <= moved:
+            break
+        cells, done = _run(cells, round_steps(), few), done + ROUNDS
     return cells.drop("before").withColumn("probability", F.least(F.lit(1.0), F.coalesce(F.col("weight") / F.nullif(F.col("tokens"), F.lit(0)), F.lit(1.0))))
 
 
@@ -185,14 +185,14 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return materialize(docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
 
 
-def mix(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, temper: float = TEMPER, keep: float = KEEP, targets: DataFrame | None = None, topic: Column | None = None, moved: float | None = None) -> DataFrame:
     """docs with topic, n_tokens, the cell's raked weight, the probability and whether the document is sampled.
 
     ``targets`` has rows (dimension, value, weight) for some or all of source, lang and topic; ``topic`` is an expression
     of a document's topic."""
     names = [c for c in docs.columns if c not in RESULTS]
     df = with_topic(docs, topic).select(*names, "topic", "n_tokens")
-    rated = rake(cells_of(df), temper, keep, targets)
+    rated = rake(cells_of(df), temper, keep, targets, moved)
     keys = {d: own_name(names, d) for d in DIMENSIONS}
     side = rated.select(*(F.col(d).alias(k) for d, k in keys.items()), "weight", "probability")
     df = df.join(small_side(side), [F.col(d).eqNullSafe(F.col(k)) for d, k in keys.items()])

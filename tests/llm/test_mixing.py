@@ -143,13 +143,12 @@ def test_bad_targets(spark):
             mixing.rake(cells, targets=target_rows(spark, bad))
 
 
-def test_rounds_until_margins_rest(spark, monkeypatch):
+def test_rounds_until_margins_rest(spark):
     """Margins that pull against one another need more than the least number of rounds."""
     cells = {("a", "x", "t"): 1000, ("a", "y", "t"): 1, ("b", "x", "t"): 1, ("b", "y", "t"): 10, ("c", "y", "t"): 2000}
     targets = {"source": {"a": 1.0, "b": 1.0, "c": 1.0}, "lang": {"x": 3.0, "y": 1.0}}
     df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
-    monkeypatch.setattr(mixing, "MOVED", 1e-7)
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, targets=target_rows(spark, targets)).collect()}
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, targets=target_rows(spark, targets), moved=1e-7).collect()}
     long = {n: wanted(cells, targets, n)[0] for n in range(mixing.ROUNDS, mixing.MOST_ROUNDS + 1, mixing.ROUNDS)}
     assert any(got == pytest.approx(long[n], rel=1e-6, abs=1e-3) for n in long)
 
