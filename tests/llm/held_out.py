@@ -91,7 +91,7 @@ the old name of the town
 he will call at six
 """.strip()
 
-#: Written after the features were chosen. Prose lines were added to the training table since, and nothing for these.
+#: Written after the features of round 2 were chosen. In round 3 a rule on articles was added after a false find here was seen.
 UNSEEN = """
 tickets from ella/e at/e stage/e dot/e com/e only
 my mail is hugo.9/e (at)/e farm/e (dot)/e org/e now
@@ -130,7 +130,7 @@ invoice 4929123456789012
 Chapter 12 pages 100 200 300
 """.strip()
 
-#: Written before the field was trained on the wider table, and not looked at since but for its score.
+#: Written before the field was trained on the wider table. Its one miss was seen, and nothing was changed for it.
 LATER = """
 Yours truly, Victor/n Hale/n
 Please reach Ingrid/n Solberg/n by Friday
