@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 TIME_EPS, UNIT_EPS = 1e-5, 1e-7
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often ``use`` needs it and inside whatever lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def stratified_time(rank: Column, batch_size: int, offset: Column) -> Column:
     """Evenly spaced times of a batch, moved by one offset that the batch shares, below 1."""
     t = rank / F.lit(float(batch_size)) + offset
@@ -94,7 +99,7 @@ def poisson(u: Column, rate: float, most: int) -> Column:
         below.append(total)
         p *= rate / k
         total += p
-    return F.size(F.filter(F.array(*(F.lit(x) for x in below)), lambda x: x <= u)) if below else F.lit(0)
+    return bound(u, lambda v: F.size(F.filter(F.array(*(F.lit(x) for x in below)), lambda x: x <= v))) if below else F.lit(0)
 
 
 def prefix_delay(u: Column, n_valid: Column, strategy: str = "uniform", most: int | None = None) -> Column:
@@ -110,8 +115,8 @@ def prefix_delay(u: Column, n_valid: Column, strategy: str = "uniform", most: in
 
 def bernoulli_mask(u: Callable[[Column], Column], free: Column, length: int, p: float, keep_last: bool = True, p_no_mask: float = 0.0) -> Column:
     """Array of length: true where u(place) is below p; the last place stays, and all of a row whose ``free`` is below p_no_mask."""
-    on = lambda k: (u(k) < p) & ((k < length - 1) | F.lit(not keep_last)) & (free >= p_no_mask)
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), on)
+    on = lambda k, masked: masked & ((k < length - 1) | F.lit(not keep_last)) & (u(k) < p)
+    return bound(free >= p_no_mask, lambda masked: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: on(k, masked)))
 
 
 def span_mask(u: Callable[[Column, str], Column], length: int, ratio: float, mean_span: float, alpha: float, keep_last: bool = True, p_no_mask: float = 0.0, early: bool = True) -> Column:
@@ -121,10 +126,12 @@ def span_mask(u: Callable[[Column, str], Column], length: int, ratio: float, mea
     if room <= 0 or ratio <= 0:
         return F.array_repeat(F.lit(False), length)
     n = poisson(u(F.lit(0), "n"), max(1.0, ratio * room / mean_span), room)
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(room - 1)), lambda k: k < n)
-    spans = F.transform(numbers, lambda k: F.struct(beta_position(u(k, "start"), room, alpha, early).alias("a"), F.least(F.lit(room), geometric(u(k, "length"), mean_span)).alias("n")))
     free = u(F.lit(0), "free") < p_no_mask
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: (k < room) & ~free & F.exists(spans, lambda s: (k >= s["a"]) & (k < s["a"] + s["n"])))
+    # no spans at all in a row that stays free
+    numbers = F.slice(F.sequence(F.lit(0), F.lit(room - 1)), F.lit(1), F.when(free, F.lit(0)).otherwise(n))
+    spans = F.transform(numbers, lambda k: F.struct(beta_position(u(k, "start"), room, alpha, early).alias("a"), F.least(F.lit(room), geometric(u(k, "length"), mean_span)).alias("n")))
+    inside = lambda k, s: (k >= s["a"]) & (k < s["a"] + s["n"])
+    return bound(spans, lambda found: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: (k < room) & F.exists(found, lambda s: inside(k, s))))
 
 
 def active_views(u: Column, has_chest: Column, drop_head: float, drop_chest: float, train: bool = True) -> Column:
