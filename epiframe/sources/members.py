@@ -13,7 +13,6 @@ has null media; a member of no bytes is empty, not null; no shards or no windows
 
 from __future__ import annotations
 
-import tarfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..schema import FRAMES
 from .files import open_at, shared_path
 from .shards import ALWAYS, BATCH, MEDIA, expand, frame
+from .tars import Bytes, members
 
 PLACES = T.MapType(T.StringType(), T.StructType([T.StructField("offset", T.LongType()), T.StructField("size", T.LongType())]))
 LOCATED = T.StructType([*(f for f in FRAMES.fields if f.name not in MEDIA.values()), T.StructField("members", PLACES)])
@@ -37,22 +37,19 @@ GAP = 4096
 
 def places_of(shard: str, suffixes: Sequence[str] | None) -> Iterator[dict]:
     """Located frames of one shard in its order."""
-    with open_at(shard) as file, tarfile.open(fileobj=file, mode="r:") as tar:
-        key, data, places, pos = None, {}, {}, 0
-        for member in tar:
-            tar.members = []  # else the archive keeps a record of each member
-            if not member.isfile():
-                continue
-            folder, slash, name = member.name.rpartition("/")
+    with open_at(shard) as file:
+        held, key, data, places, pos = Bytes(file), None, {}, {}, 0
+        for path, offset, size in members(held):
+            folder, slash, name = path.rpartition("/")
             stem, _, suffix = name.partition(".")
             if (this := folder + slash + stem) != key and key is not None:
                 yield _row(shard, pos, key, data, places)
                 data, places, pos = {}, {}, pos + 1
             key = this
             if suffix in ALWAYS:
-                data[suffix] = tar.extractfile(member).read()
+                data[suffix] = held.member(offset, size)
             elif suffixes is None or suffix in suffixes:
-                places[suffix] = {"offset": member.offset_data, "size": member.size}
+                places[suffix] = {"offset": offset, "size": size}
         if key is not None:
             yield _row(shard, pos, key, data, places)
 

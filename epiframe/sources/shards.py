@@ -9,9 +9,7 @@ a dot is a key of its own without suffix; unreadable JSON or NPY data is an erro
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -21,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAMES
-from .files import open_in, open_out
+from .files import open_at, open_out
+from .tars import Bytes, Writer, array_of, members, npy
 
 #: Suffixes of members and the columns they fill.
 MEDIA = {"image.jpg": "image", "depth.npy": "depth", "chest_image.jpg": "chest_image", "chest_depth.npy": "chest_depth"}
@@ -49,43 +48,37 @@ def wanted(image: bool = True, depth: bool = True, chest: bool = True) -> tuple[
     return (*ALWAYS, *(s for s in MEDIA if on[s]))
 
 
-def array_of(data: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(data), allow_pickle=False)
-
-
-def frame(shard: str, pos: int, key: str, members: dict[str, bytes]) -> dict:
+def frame(shard: str, pos: int, key: str, data: dict[str, bytes]) -> dict:
     """One row of the frames table from a key's members."""
     try:
-        meta = json.loads(members["meta.json"]) if "meta.json" in members else {}
-        vector = array_of(members["lowdim.npy"]).astype(np.float32).ravel().tolist() if "lowdim.npy" in members else None
+        meta = json.loads(data["meta.json"]) if "meta.json" in data else {}
+        vector = array_of(data["lowdim.npy"]).astype(np.float32).ravel() if "lowdim.npy" in data else None
     except ValueError as e:
         raise ValueError(f"damaged member of {key} in {shard}") from e
     text = meta.get("instruction")
     return {
         "shard": shard, "pos": pos, "key": key, "dataset_name": meta.get("dataset_name", ""), "episode_index": meta.get("episode_index"), "high_quality": meta.get("high_quality", 1),
         "cameras": meta.get("cameras", ["head"]), "instruction": [text] if isinstance(text, str) else text, "instruction_num": meta.get("instruction_num"), "lowdim": vector,
-        **{c: members.get(s) for s, c in MEDIA.items()}, "meta": json.dumps(meta) if "meta.json" in members else None,
+        **{c: data.get(s) for s, c in MEDIA.items()}, "meta": json.dumps(meta) if "meta.json" in data else None,
     }
 
 
 def frames_of(shard: str, suffixes: Sequence[str] | None) -> Iterator[dict]:
     """Frames of one shard in its order."""
-    with open_in(shard) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
-        key, members, pos = None, {}, 0
-        for member in tar:
-            if not member.isfile():
-                continue
-            folder, slash, name = member.name.rpartition("/")
+    with open_at(shard) as file:
+        held, key, data, pos = Bytes(file), None, {}, 0
+        for path, offset, size in members(held):
+            folder, slash, name = path.rpartition("/")
             stem, _, suffix = name.partition(".")
             this = folder + slash + stem
             if this != key and key is not None:
-                yield frame(shard, pos, key, members)
-                members, pos = {}, pos + 1
+                yield frame(shard, pos, key, data)
+                data, pos = {}, pos + 1
             key = this
             if suffixes is None or suffix in suffixes:
-                members[suffix] = tar.extractfile(member).read()
+                data[suffix] = held.member(offset, size)
         if key is not None:
-            yield frame(shard, pos, key, members)
+            yield frame(shard, pos, key, data)
 
 
 def read_frames(spark: SparkSession, patterns: str | Sequence[str], image: bool = True, depth: bool = True, chest: bool = True) -> DataFrame:
@@ -113,26 +106,27 @@ def write_frames(frames: DataFrame, path: str) -> list[str]:
     Without a column lowdim there are no vectors; a map ``members`` adds data by suffix."""
     media = {s: c for s, c in MEDIA.items() if c in frames.columns}
     vectors, more = "lowdim" in frames.columns, "members" in frames.columns
+    read = ["key", "meta", *media.values(), *(["members"] if more else [])]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, tar, out, n = f"{path}/{uuid.uuid4().hex}.tar", None, None, 0
+        uri, tar, n = f"{path}/{uuid.uuid4().hex}.tar", None, 0
         for batch in batches:
-            for row in (r for k in range(0, batch.num_rows, 32) for r in batch.slice(k, 32).to_pylist()):
-                if tar is None:
-                    out = open_out(uri)
-                    tar = tarfile.open(fileobj=out, mode="w|")
-                held = io.BytesIO()
-                np.save(held, np.array((row["lowdim"] if vectors else None) or [], np.float32))
-                parts = {"meta.json": (row["meta"] or "{}").encode()} | ({"lowdim.npy": held.getvalue()} if vectors else {}) | {s: row[c] for s, c in media.items() if row[c] is not None} | (dict(row["members"] or []) if more else {})
-                for suffix, data in parts.items():
-                    info = tarfile.TarInfo(f"{row['key']}.{suffix}")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-                tar.members = []  # else the archive keeps a record of each member
-                n += 1
+            if vectors:
+                lists = batch.column("lowdim")
+                flat, ends, there = lists.values.to_numpy(zero_copy_only=False).astype(np.float32), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+            for k in range(0, batch.num_rows, 32):
+                rows = {c: batch.slice(k, 32).column(c).to_pylist() for c in read}
+                for i, key in enumerate(rows["key"]):
+                    parts = {"meta.json": (rows["meta"][i] or "{}").encode()}
+                    if vectors:
+                        parts["lowdim.npy"] = npy(flat[ends[k + i] : ends[k + i + 1]] if there[k + i] else flat[:0])
+                    parts |= {s: rows[c][i] for s, c in media.items() if rows[c][i] is not None} | (dict(rows["members"][i] or []) if more else {})
+                    tar = tar or Writer(open_out(uri))
+                    for suffix, data in parts.items():
+                        tar.add(f"{key}.{suffix}", data)
+                    n += 1
         if tar is not None:
             tar.close()
-            out.close()
             yield pa.RecordBatch.from_pydict({"path": [uri], "n": [n]})
 
     listed = f"{path}/shards"

@@ -18,7 +18,6 @@ Defined cases: no frames at all is an error, as such a stream would never delive
 from __future__ import annotations
 
 import json
-import tarfile
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -34,6 +33,7 @@ from ..schema import FRAMES
 from ..sources.files import open_at, open_in, open_out, shared_path
 from ..sources.members import located_frames
 from ..sources.shards import BATCH, frame, wanted
+from ..sources.tars import Bytes, members
 
 NAME = "resampled_shards"
 SCHEMA = T.StructType([*FRAMES.fields, T.StructField("epoch", T.LongType()), T.StructField("draw", T.LongType())])
@@ -104,13 +104,10 @@ def slices(shards: Sequence[Shard], start: dict, end: dict, seed: int, how: str,
 
 def frames_between(shard: str, first: int, last: int, suffixes: Sequence[str]) -> Iterator[dict]:
     """Frames first to last (not included) of a shard; what belongs to others is passed over unread."""
-    with open_at(shard) as file, tarfile.open(fileobj=file, mode="r:") as tar:
-        key, data, pos = None, {}, -1
-        for member in tar:
-            tar.members = []
-            if not member.isfile():
-                continue
-            folder, slash, name = member.name.rpartition("/")
+    with open_at(shard) as file:
+        held, key, data, pos = Bytes(file), None, {}, -1
+        for path, offset, size in members(held):
+            folder, slash, name = path.rpartition("/")
             stem, _, suffix = name.partition(".")
             if (this := folder + slash + stem) != key:
                 if first <= pos < last:
@@ -119,7 +116,7 @@ def frames_between(shard: str, first: int, last: int, suffixes: Sequence[str]) -
                 if pos >= last:
                     return
             if pos >= first and suffix in suffixes:
-                data[suffix] = tar.extractfile(member).read()
+                data[suffix] = held.member(offset, size)
         if first <= pos < last:
             yield frame(shard, pos, key, data)
 
