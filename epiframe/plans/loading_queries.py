@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -169,8 +170,11 @@ def stored_predictions(spark, sf_dir):
     """Predictions and the metrics document, stored and read again."""
     path, pred = files.shared_path(spark, "evaluation"), A.predictions(spark, sf_dir)
     store.save_predictions(pred, f"{path}/predictions")
-    store.save_metrics(metrics.document(pred), f"{path}/metrics")
-    back, document = spark.read.parquet(f"{path}/predictions"), spark.read.json(f"{path}/metrics")
+    back = spark.read.schema(pred.schema).parquet(f"{path}/predictions")  # what is stored is not joined and numbered again
+    dealt = back.repartition("sample_id").persist(StorageLevel.DISK_ONLY)  # one shuffle for all metrics
+    store.save_metrics(metrics.document(dealt), f"{path}/metrics")
+    dealt.unpersist()
+    document = spark.read.json(f"{path}/metrics")
     rows = back.agg(F.count("*").alias("rows"), F.count_distinct("sample_id").alias("samples"), F.count_if("valid").alias("valid"))
     errors = document.select(F.lit(1).alias("_k"), r6("heatmap.mean").alias("mean_error"), r6("heatmap.max").alias("max_error"))
     return rows.withColumn("_k", F.lit(1)).join(F.broadcast(errors), "_k").drop("_k")  # one row each
