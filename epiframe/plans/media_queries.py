@@ -53,8 +53,9 @@ def late_media_windows(spark, sf_dir):
 @query
 def late_media_bytes(spark, sf_dir):
     """Bytes read for the windows that thinning leaves: each image that some window needs, once."""
-    all_windows = event_windows(spark, event_shards(spark, sf_dir))
-    parts = []
+    all_windows, path, parts = event_windows(spark, event_shards(spark, sf_dir)), files.shared_path(spark, "all-windows"), []
+    all_windows.write.parquet(path)  # places alone, written once, as they are read three times
+    all_windows = spark.read.schema(all_windows.schema).parquet(path)
     for keep in (1.0, 0.5, 0.1):
         kept = all_windows.where(blend.unit_hash("event_id", seed=4) < keep)
         places = members.media_places(kept, ["event_id"], IMAGE).dropDuplicates(["shard", "offset"])
