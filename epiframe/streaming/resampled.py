@@ -17,6 +17,7 @@ Defined cases: no frames at all is an error, as such a stream would never delive
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -54,12 +55,18 @@ class Slice(InputPartition):
         self.path, self.first, self.last, self.epoch, self.draw = path, first, last, epoch, draw
 
 
-def draws(shards: Sequence[Shard], epoch: int, seed: int, how: str) -> list[int]:
-    """Numbers of the shards of an epoch, in order."""
+@functools.lru_cache(2)
+def drawn(n: int, epoch: int, seed: int, how: str) -> tuple[int, ...]:
+    """Numbers of an epoch's shards of n, drawn once for all batches of the epoch."""
     rng = np.random.default_rng([seed, epoch])
     if how not in ("permute", "replace"):
         raise ValueError(f"unknown way to draw: {how}")
-    return (rng.permutation(len(shards)) if how == "permute" else rng.integers(0, len(shards), len(shards))).tolist()
+    return tuple((rng.permutation(n) if how == "permute" else rng.integers(0, n, n)).tolist())
+
+
+def draws(shards: Sequence[Shard], epoch: int, seed: int, how: str) -> list[int]:
+    """Numbers of the shards of an epoch, in order."""
+    return list(drawn(len(shards), epoch, seed, how))
 
 
 def walk(shards: Sequence[Shard], epoch: int, at: int, seed: int, how: str, epochs: int = 0) -> Iterator[tuple[int, int, int, Shard]]:

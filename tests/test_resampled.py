@@ -96,6 +96,18 @@ def test_end_of_the_last_epoch():
         resampled.draws(s, 0, 0, "other")
 
 
+def test_an_epoch_is_drawn_once(monkeypatch):
+    """Batches of an epoch share its order of shards."""
+    s, made, own = [resampled.Shard(str(k), 3, 1) for k in range(50)], [], np.random.default_rng
+    monkeypatch.setattr(resampled.np.random, "default_rng", lambda x: made.append(tuple(x)) or own(x))
+    at = {"epoch": 0, "at": 0}
+    for _ in range(30):
+        end = resampled.admit(s, at, 9, 0, 123, "permute", 2)
+        assert sum(x.last - x.first for x in resampled.slices(s, at, end, 123, "permute", 2)) == 9
+        at = end
+    assert len(made) == len(set(made)) <= 2
+
+
 def test_no_frames(spark, tmp_path):
     with pytest.raises(Exception, match="no frames in any shard"):
         run(resampled.resampled(spark, []), f"{tmp_path}/out", f"{tmp_path}/cp")
