@@ -17,12 +17,15 @@ from . import pictures
 from .media_queries import event_shards
 from .registry import query, r6
 
+#: Streams side by side that draw shards of an epoch.
+LANES = 4
+
 
 @query
 def resampled_epochs(spark, sf_dir):
     """Two epochs of frames of shards in random order, in batches of at most 20,000: each frame twice."""
-    stream = resampled.resampled(spark, f"{event_shards(spark, sf_dir)}/*.tar", seed=2, epochs=2, rows=20_000)
-    out = online.run_to_end(stream.select("key", "epoch", "episode_index", F.octet_length("image").alias("size")))
+    streams = resampled.resampled_lanes(spark, f"{event_shards(spark, sf_dir)}/*.tar", LANES, seed=2, epochs=2, rows=20_000)
+    out = online.run_to_end(*(s.select("key", "epoch", "episode_index", F.octet_length("image").alias("size")) for s in streams))
     return out.groupBy(F.substring("key", 7, 8).cast("long").alias("event_id"), "episode_index").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("epoch")), ",").alias("epochs"), F.max("size").alias("size"))
 
 
@@ -240,10 +243,11 @@ def random_mix(spark, sf_dir):
 def windows_of_resampled_shards(spark, sf_dir):
     """A training stream: shards drawn in random order for two epochs, in bounded batches, composed to windows as their
     frames arrive, and thinned; each epoch has the same windows."""
-    stream = resampled.resampled(spark, f"{event_shards(spark, sf_dir)}/*.tar", seed=4, epochs=2, rows=20_000, image=False)
-    frames = stream.select("epoch", "episode_index", "pos", F.substring("key", 7, 8).cast("long").alias("event_id"), F.get("lowdim", 0).cast("double").alias("payload"), "high_quality", F.get_json_object("meta", "$.last").cast("boolean").alias("final"))
+    streams = resampled.resampled_lanes(spark, f"{event_shards(spark, sf_dir)}/*.tar", LANES, seed=4, epochs=2, rows=20_000, image=False)
+    frame = ("epoch", "episode_index", "pos", F.substring("key", 7, 8).cast("long").alias("event_id"), F.get("lowdim", 0).cast("double").alias("payload"), "high_quality", F.get_json_object("meta", "$.last").cast("boolean").alias("final"))
     config = windows.WindowConfig(windows.Reach(4, 2, "truncate"), windows.Reach(3, 2))
-    out = online.run_to_end(online.compose(frames, config, ["epoch", "episode_index"], "pos").where(blend.unit_hash("event_id", seed=7) < 0.4))
+    composed = (online.compose(s.select(*frame), config, ["epoch", "episode_index"], "pos") for s in streams)  # an episode is in one shard
+    out = online.run_to_end(*(c.where(blend.unit_hash("event_id", seed=7) < 0.4) for c in composed))
     out = out.groupBy("event_id").agg(F.count("*").alias("epochs"), F.min(F.struct("actions", "states")).alias("a"), F.max(F.struct("actions", "states")).alias("b"))
     flat = out.select("event_id", "epochs", (F.col("a") == F.col("b")).alias("alike"), F.size("a.states").alias("n_states"), F.posexplode("a.actions").alias("k", "x"))
     return flat.select("event_id", "k", "epochs", "alike", "n_states", F.round("x", 4).alias("x"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,6 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.windows import WindowConfig
 from ..sources.files import shared_path
 
+#: Groups of episodes that are composed at once.
+BUCKETS = 32
+#: Tasks of a bounded micro-batch behind its shuffle.
+TASKS = 4
+
 
 def moments(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Running n, sum, sum of squares, least and greatest value by key: partial sums before the shuffle, one row of state to a key."""
@@ -19,12 +25,13 @@ def moments(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("total_sq"), F.min(x).alias("low"), F.max(x).alias("high"))
 
 
-def compose(frames: DataFrame, config: WindowConfig, episode: Sequence[str], order: str, anchor: str = "event_id", payload: str = "payload", quality: str = "high_quality", final: str = "final") -> DataFrame:
+def compose(frames: DataFrame, config: WindowConfig, episode: Sequence[str], order: str, anchor: str = "event_id", payload: str = "payload", quality: str = "high_quality", final: str = "final", buckets: int = BUCKETS) -> DataFrame:
     """States and actions of each anchor of high quality, as soon as its future has arrived or its episode has ended.
 
-    Frames of an episode arrive in order over the micro-batches; ``final`` marks an episode's last. A
-    micro-batch's frames of an episode are held in its task, so the source should bound its batches, as ``resampled`` does.
-    State per episode is its first payload and the frames that a coming anchor can still need. A null payload counts as a frame.
+    Frames of an episode arrive in order over the micro-batches; ``final`` marks an episode's last. Episodes are dealt to
+    ``buckets`` groups, as a call for a group costs much more than an episode in it. A micro-batch's frames of a group are
+    held in its task, so the source should bound its batches, as ``resampled`` does. State per open episode is its first
+    payload and the frames that a coming anchor can still need. A null payload counts as a frame.
     """
     past, ahead = config.past(), (config.actions.horizon - 1) * config.actions.stride
 
@@ -38,26 +45,40 @@ def compose(frames: DataFrame, config: WindowConfig, episode: Sequence[str], ord
                 actions.append(xs[min(j, len(xs) - 1)])
         return ids[i], states, actions
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, base, at, ids, xs, qs = state.get if state.exists else (None, 0, 0, [], [], [])
-        ids, xs, qs = list(ids), list(xs), list(qs)
-        new = pd.concat(list(parts)).sort_values([order, anchor])
-        ids += new[anchor].tolist()
-        xs += [None if pd.isna(x) else float(x) for x in new[payload]]
-        qs += [1 if pd.isna(q) else int(q) for q in new[quality]]
-        first = xs[0] if not state.exists else first
-        ended = bool(new[final].any())
+    def extend(held: tuple | None, new: tuple[list, list, list], ended: bool) -> tuple[list, tuple | None]:
+        """Samples of an episode whose anchors are complete with these frames, and what is held of it."""
+        first, base, at, ids, xs, qs = held or (None, 0, 0, [], [], [])
+        ids, xs, qs = (old + more for old, more in zip((ids, xs, qs), new))
+        first = first if held else xs[0]
         ready = max(at, len(xs) if ended else len(xs) - ahead)
         rows = [sample(i, base, first, ids, xs, qs) for i in range(at, ready) if qs[i] == 1 or not config.quality_filter]
         drop = max(0, ready - past)
-        if ended:
+        return rows, None if ended else (first, base + drop, ready - drop, ids[drop:], xs[drop:], qs[drop:])
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, rows = {r[0]: tuple(r[1:]) for r in state.get[0]} if state.exists else {}, []
+        new = pd.concat(list(parts)).sort_values(["_episode", order, anchor])
+        names, ids = new["_episode"].tolist(), new[anchor].tolist()
+        xs = [None if pd.isna(x) else float(x) for x in new[payload].tolist()]
+        qs = [1 if pd.isna(q) else int(q) for q in new[quality].tolist()]
+        finals, a = new[final].tolist(), 0
+        for b in range(1, len(names) + 1):
+            if b == len(names) or names[b] != names[a]:
+                out, left = extend(held.pop(names[a], None), (ids[a:b], xs[a:b], qs[a:b]), any(x is True or x == 1 for x in finals[a:b]))
+                rows += out
+                if left:
+                    held[names[a]] = left
+                a = b
+        if held:
+            state.update(([(k, *v) for k, v in held.items()],))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((first, base + drop, ready - drop, ids[drop:], xs[drop:], qs[drop:]))
         yield pd.DataFrame(rows, columns=[anchor, "states", "actions"])
 
-    kept = "first double, base long, at long, ids array<long>, xs array<double>, qs array<int>"
-    return frames.groupBy(*episode).applyInPandasWithState(step, f"{anchor} long, states array<double>, actions array<double>", kept, "append", GroupStateTimeout.NoTimeout)
+    kept = "open array<struct<episode string, first double, base long, at long, ids array<long>, xs array<double>, qs array<int>>>"
+    named = frames.select(F.to_json(F.struct(*episode), {"ignoreNullFields": "false"}).alias("_episode"), *dict.fromkeys((order, anchor, payload, quality, final)))
+    dealt = named.withColumn("_bucket", F.pmod(F.xxhash64("_episode"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandasWithState(step, f"{anchor} long, states array<double>, actions array<double>", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def counted(stream: DataFrame, time: str, keys: Sequence[str], size: str, late: str, slide: str | None = None) -> DataFrame:
@@ -85,14 +106,25 @@ def run_available(result: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(result.schema).parquet(path)
 
 
-def run_to_end(result: DataFrame) -> DataFrame:
-    """Run a streaming result batch by batch, as its source admits them, until the source has no more; returns its rows,
-    kept as Parquet in the shared folder. For sources that end."""
-    spark = result.sparkSession
-    path, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint")
-    query = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+def run_to_end(*results: DataFrame, tasks: int = TASKS) -> DataFrame:
+    """Run streaming results side by side, batch by batch, as their sources admit them, until these have no more; returns
+    all rows, kept as Parquet in the shared folder. For sources that end and bound their batches: each batch is shuffled
+    to ``tasks`` tasks, as state costs much more a task than a batch has rows for."""
+    spark, name, paths, queries = results[0].sparkSession, "spark.sql.shuffle.partitions", [], []
+    own = spark.conf.get(name)
     try:
-        query.processAllAvailable()
+        try:
+            spark.conf.set(name, str(tasks))
+            for result in results:
+                path, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint")
+                paths.append(path)
+                queries.append(result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start())
+        finally:
+            spark.conf.set(name, own)
+        for query in queries:
+            query.processAllAvailable()
     finally:
-        query.stop()
-    return spark.read.schema(result.schema).parquet(path)
+        for query in queries:
+            query.stop()
+    # each path has its sink's own list of files, so they are not read as one
+    return functools.reduce(DataFrame.unionByName, [spark.read.schema(results[0].schema).parquet(p) for p in paths])

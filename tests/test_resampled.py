@@ -1,14 +1,17 @@
 """Resampled shards: same rows after a restart, bounded batches; blending of streams over any cut into batches."""
 
 import json
+import pickle
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from epiframe.operators.blend import interleave
 from epiframe.sources import shards
-from epiframe.streaming import blend, resampled
+from epiframe.sources.tars import members
+from epiframe.streaming import blend, online, resampled
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +111,42 @@ def test_an_epoch_is_drawn_once(monkeypatch):
     assert len(made) == len(set(made)) <= 2
 
 
+def test_lanes_share_an_epoch(spark, paths, tmp_path):
+    """Lanes side by side give each drawn shard once, each in bounded batches of its own."""
+    for how in ("permute", "replace"):
+        streams = resampled.resampled_lanes(spark, paths, 3, seed=3, draw=how, epochs=3, rows=9)
+        assert len(streams) == 3 and len(resampled.resampled_lanes(spark, paths, 9, seed=3)) == 4
+        got = [tuple(r) for r in online.run_to_end(*(s.select("epoch", "draw", "pos", "key", F.octet_length("image")) for s in streams)).collect()]
+        assert sorted(got) == expected(spark, paths, 3, 3, how)
+    s, seen = [resampled.Shard(str(k), 3 * k, 1) for k in range(5)], []
+    for lane in range(2):
+        at = {"epoch": 0, "at": 0}
+        while (end := resampled.admit(s, at, 7, 0, 1, "permute", 2, lane, 2)) != at:
+            batch = [(x.epoch, x.draw, k) for x in resampled.slices(s, at, end, 1, "permute", 4, lane, 2) for k in range(x.first, x.last)]
+            assert len(batch) <= 7 and {d % 2 for _, d, _ in batch} == {lane}
+            seen, at = seen + batch, end
+    assert len(seen) == len(set(seen)) == 2 * sum(x.rows for x in s)
+
+
+def test_parts_are_read_from_marks(paths, monkeypatch):
+    """A part begins at the last marked frame before it, and no header before that is read."""
+    monkeypatch.setattr(resampled, "MARK", 3)
+    (path,) = [p for p in paths if resampled.measured(p).rows == 12]
+    shard = resampled.measured(path)
+    assert len(shard.marks) == 3 and shard.largest == 31 and [shard.before(k)[0] for k in (0, 2, 3, 8, 11)] == [0, 0, 3, 6, 9]
+    whole, starts = list(resampled.frames_between(path, 0, 12, ["meta.json", "image.jpg"])), []
+    monkeypatch.setattr(resampled, "members", lambda held, at=0: starts.append(at) or members(held, at))
+    for x in resampled.slices([shard], {"epoch": 0, "at": 2}, {"epoch": 0, "at": 12}, 0, "permute", 4):
+        assert str(list(resampled.frames_between(path, x.first, x.last, ["meta.json", "image.jpg"], x.mark))) == str(whole[x.first : x.last])
+    assert starts == [0, shard.marks[1], shard.marks[2]]
+
+
+def test_tasks_get_no_list_of_shards(paths, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps([("a", 3, 1, [])] * 1000))
+    reader = resampled.Reader({"shards": f"file://{tmp_path}/s.json", "suffixes": "[]"})
+    assert len(reader.shards) == 1000 and len(pickle.dumps(reader)) < 1000
+
+
 def test_no_frames(spark, tmp_path):
     with pytest.raises(Exception, match="no frames in any shard"):
         run(resampled.resampled(spark, []), f"{tmp_path}/out", f"{tmp_path}/cp")

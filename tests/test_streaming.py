@@ -26,6 +26,21 @@ def test_compose_over_micro_batches(spark, tmp_path):
         assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.select("event_id", "states", "actions").collect()), key=str)
 
 
+def test_compose_calls_a_group_once_for_many_episodes(spark, tmp_path):
+    """Forty episodes of four buckets are four rows of state at most, and of odd names and none, too."""
+    rows = [(name, n, 100 * e + n, float(n), 1, n == 5) for e, name in enumerate([None, "", "null", '"', *map(str, range(36))]) for n in range(6)]
+    schema = "episode string, ts long, event_id long, payload double, high_quality int, final boolean"
+    for low, high in ((0, 3), (3, 5), (5, 6)):
+        spark.createDataFrame([r for r in rows if low <= r[1] < high], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    config = windows.WindowConfig(windows.Reach(2, 1, "truncate"), windows.Reach(2, 1))
+    out = online.compose(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), config, ["episode"], "ts", buckets=4)
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert all(p["stateOperators"][0]["numRowsTotal"] <= 4 for p in query.recentProgress if p["stateOperators"]) and query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+    got = {r.event_id: (r.states, r.actions) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == 240 and got[105] == ([4.0, 5.0], [5.0]) and got[3] == ([2.0, 3.0], [3.0, 4.0])
+
+
 def batches(spark, tmp_path, parts, schema):
     """A stream that gets one file a micro-batch, in order."""
     for k, rows in enumerate(parts):
