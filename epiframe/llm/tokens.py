@@ -23,7 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from .common import open_in, open_out, shared_path, slices
 MAGIC = b"EPITOK01"
 TRAILER = struct.Struct("<8sqqqq")
 BLOCK = 65_536
-#: Distinct pieces whose ids a worker keeps; at this number it starts anew.
+#: Distinct pieces whose ids a worker keeps; at this number those go that were not used again, and half at least.
 CACHE = 500_000
 #: Pieces that are encoded at once.
 WORDS = 4096
@@ -107,6 +107,19 @@ class Encoder:
         self.index: dict[str, int] = {"": 0}
         self.flat = np.array([self.end_id], np.uint32)
         self.starts, self.lengths, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), 1
+        self.uses = np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keep the pieces of most uses, at most half of CACHE; their uses count half from then on."""
+        uses, least = self.uses[: len(self.index)], 2
+        while np.count_nonzero(uses >= least) > CACHE // 2:
+            least *= 2
+        kept = uses >= least
+        kept[0] = True
+        at = np.flatnonzero(kept)
+        self.flat, self.lengths = self.gather(at)
+        self.index = dict(zip(compress(self.index, kept.tolist()), range(len(at))))
+        self.starts, self.used, self.uses = np.cumsum(self.lengths) - self.lengths, len(self.flat), uses[at] // 2
 
     def keys(self, text: str) -> list[str]:
         if not text:
@@ -158,6 +171,8 @@ class Encoder:
         n, m = len(self.index), len(self.index) + len(keys)
         self.index.update(zip(keys, range(n, m)))
         self.starts, self.lengths, self.flat = _room(self.starts, m), _room(self.lengths, m), _room(self.flat, self.used + len(ids))
+        self.uses = _room(self.uses, m)
+        self.uses[n:m] = 0
         self.starts[n:m] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n:m] = lengths
         self.flat[self.used : self.used + len(ids)] = ids
@@ -172,7 +187,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, an end id after each text; and the number of each text's ids with it."""
         if len(self.index) > CACHE:
-            self.reset()
+            self.forget()
         keys: list[str] = []
         ends = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -183,7 +198,8 @@ class Encoder:
         if len(missing := np.flatnonzero(at < 0)):
             unknown = [keys[j] for j in missing.tolist()]
             self.learn(list(dict.fromkeys(unknown)))
-            at[missing] = [self.index[k] for k in unknown]
+            at[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        self.uses[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         ids, lengths = self.gather(at)
         return ids, np.diff(np.cumsum(lengths)[ends - 1], prepend=0)
 

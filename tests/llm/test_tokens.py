@@ -58,3 +58,23 @@ def test_random_access(spark, tmp_path, sf, monkeypatch):
     s = tokens.Shard(f"file://{tmp_path}/a.tok")
     assert [len(s.document(k)) for k in range(4)] == lengths.tolist()
     assert (s.document(2) == ids[3:503]).all() and (s.ids(95, 205) == ids[95:205]).all()
+
+
+def test_used_pieces_outlive_a_full_table(monkeypatch):
+    """Pieces that come again are kept and not encoded anew; those of one use go, and the table stays bounded."""
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    e, fresh = tokens.Encoder(tokens.default_tokenizer(), 0), tokens.Encoder(tokens.default_tokenizer(), 0)
+    texts = ["often again, often again!\n" + " ".join(f"rare{chr(97 + k)}{chr(97 + n)}" for n in range(20)) for k in range(12)]
+    for k, text in enumerate(texts):
+        if len(e.index) > 40:
+            learned = []
+            monkeypatch.setattr(e, "learn", lambda keys, f=e.learn: (learned.extend(keys), f(keys)))
+            ids, lengths = e([text])
+            assert not {"again,", "often"} & set(learned) and len(e.index) <= 20 + 2 * 26
+            monkeypatch.undo()
+            monkeypatch.setattr(tokens, "CACHE", 40)
+        else:
+            ids, lengths = e([text])
+        want = [*fresh.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert ids.tolist() == want and lengths.tolist() == [len(want)]
+        assert np.array_equal(e.gather(np.array([e.index[""]]))[0], [0])
