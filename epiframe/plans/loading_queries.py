@@ -14,7 +14,7 @@ from ..sources import files, media, members, shards, store
 from ..streaming import online, resampled
 from ..streaming.blend import blend_streams
 from . import pictures
-from .media_queries import event_shards
+from .media_queries import PLACED, event_shards
 from .registry import query, r6
 
 #: Streams side by side that draw shards of an epoch.
@@ -90,7 +90,7 @@ def processed_frames(spark, sf_dir):
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), F.transform("v", lambda x: F.floor(F.abs(x) * 1000).cast("int")).alias("v"))
     path = files.shared_path(spark, "picture-shards")
     shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
-    frames = members.located_frames(spark, f"{path}/*.tar").withColumn("image_refs", F.array(members.locator()))
+    frames = members.located_frames(spark, f"{path}/*.tar", columns=PLACED).withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "metres": ("image_refs", "depth.npy")})
     out = out.select("shard", "pos", "key", F.get("image", 0).alias("image"), F.get("metres", 0).alias("metres"))
     out = media.decode_depths(media.decode_images(out, ["shard", "key"], "image"), ["shard", "key"], "metres")
@@ -221,7 +221,7 @@ def decoded_media_gate(spark, sf_dir):
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), flat.alias("v"))
     path = files.shared_path(spark, "picture-shards")
     shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
-    frames = members.located_frames(spark, f"{path}/*.tar").withColumn("image_refs", F.array(members.locator()))
+    frames = members.located_frames(spark, f"{path}/*.tar", columns=PLACED).withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "metres": ("image_refs", "depth.npy")})
     out = out.select("shard", "key", F.get("image", 0).alias("image"), F.get("metres", 0).alias("metres"))
     out = images.with_channel_stats(media.decode_images(out, ["shard", "key"], "image"))

@@ -32,13 +32,15 @@ def event_shards(spark: SparkSession, sf_dir: str) -> str:
 
 def event_windows(spark: SparkSession, path: str) -> DataFrame:
     """Each frame of high quality with the places of itself and of two frames before it, two apart."""
-    frames = members.located_frames(spark, f"{path}/*.tar", ["image.jpg"])
+    frames = members.located_frames(spark, f"{path}/*.tar", ["image.jpg"], ["shard", "pos", "key", "dataset_name", "episode_index", "high_quality", "members"])
     spec = Window.partitionBy("dataset_name", "episode_index").orderBy("shard", "pos")
     df = frames.select("shard", "pos", "high_quality", F.substring("key", 7, 8).cast("long").alias("event_id"), windows.history(members.locator(), spec, 3, 2).alias("image_refs"))
     return df.where("high_quality = 1")
 
 
 IMAGE = {"image": ("image_refs", "image.jpg")}
+#: Columns of frames that give nothing but their members' places.
+PLACED = ["shard", "pos", "key", "members"]
 
 
 @query
@@ -70,7 +72,7 @@ def decoded_frames(spark, sf_dir):
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), F.transform("v", lambda x: F.floor(F.abs(x) * 1000).cast("int")).alias("v"))
     path = files.shared_path(spark, "picture-shards")
     shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
-    frames = members.located_frames(spark, f"{path}/*.tar").withColumn("image_refs", F.array(members.locator()))
+    frames = members.located_frames(spark, f"{path}/*.tar", columns=PLACED).withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "depth": ("image_refs", "depth.npy")})
     out = out.select("shard", "pos", "key", F.get("image", 0).alias("image"), F.get("depth", 0).alias("metres"))
     out = media.decode_depths(media.decode_images(out, ["shard", "key"], "image"), ["shard", "key"], "metres")
@@ -84,7 +86,7 @@ def qa_images_decoded(spark, sf_dir):
     rows = turns.select(F.format_string("qa_%08d", "conv_id").alias("key"), F.to_json(F.struct("first")).alias("meta"), "conv_id").mapInPandas(pictures.albums, pictures.ALBUM)
     path = files.shared_path(spark, "qa-shards")
     shards.write_frames(rows, path)
-    places = media.qa_images(members.located_frames(spark, f"{path}/*.tar"))
+    places = media.qa_images(members.located_frames(spark, f"{path}/*.tar", columns=["shard", "key", "members"]))
     out = media.decode_images(members.fetch(places).drop("n_read"), ["shard", "key", "suffix"])
     byte = lambda k: F.conv(F.hex(F.substring("pixels", k, 1)), 16, 10).cast("int")
     return out.select(F.substring("key", 4, 8).cast("long").alias("conv_id"), "n", "suffix", "height", "width", byte(1).alias("red"), byte(2).alias("green"), F.octet_length("pixels").alias("size"))

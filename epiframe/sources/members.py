@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,39 +34,43 @@ SPAN, CHUNK = 256 << 20, 8 << 20
 GAP = 4096
 
 
-def places_of(shard: str, suffixes: Sequence[str] | None) -> Iterator[dict]:
-    """Located frames of one shard in its order."""
+def places_of(shard: str, suffixes: Sequence[str] | None, columns: Sequence[str]) -> Iterator[dict]:
+    """Located frames of one shard in its order; only what ``columns`` need is decoded."""
+    decoded = [s for s, needs in zip(ALWAYS, (set(columns) - {"shard", "pos", "key", "lowdim", "members"}, "lowdim" in columns)) if needs]
     with open_at(shard) as file:
         held, key, data, places, pos = Bytes(file), None, {}, {}, 0
         for path, offset, size in members(held):
             folder, slash, name = path.rpartition("/")
             stem, _, suffix = name.partition(".")
             if (this := folder + slash + stem) != key and key is not None:
-                yield _row(shard, pos, key, data, places)
+                yield _row(shard, pos, key, data, places, columns)
                 data, places, pos = {}, {}, pos + 1
             key = this
             if suffix in ALWAYS:
-                data[suffix] = held.member(offset, size)
+                if suffix in decoded:
+                    data[suffix] = held.member(offset, size)
             elif suffixes is None or suffix in suffixes:
                 places[suffix] = {"offset": offset, "size": size}
         if key is not None:
-            yield _row(shard, pos, key, data, places)
+            yield _row(shard, pos, key, data, places, columns)
 
 
-def _row(shard: str, pos: int, key: str, data: dict, places: dict) -> dict:
-    whole = frame(shard, pos, key, data)
-    return {f.name: whole[f.name] for f in LOCATED.fields[:-1]} | {"members": list(places.items())}
+def _row(shard: str, pos: int, key: str, data: dict, places: dict, columns: Sequence[str]) -> dict:
+    whole = frame(shard, pos, key, data, "meta" in columns) | {"members": list(places.items())}
+    return {c: whole[c] for c in columns}
 
 
-def located_frames(spark: SparkSession, patterns: str | Sequence[str], suffixes: Sequence[str] | None = None) -> DataFrame:
-    """Frames of shards with the places of their members; only those with one of ``suffixes`` if it is given."""
-    paths, schema = expand(spark, patterns), to_arrow_schema(LOCATED)
+def located_frames(spark: SparkSession, patterns: str | Sequence[str], suffixes: Sequence[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Frames of shards with the places of their members; only those with one of ``suffixes``, and only these ``columns``,
+    if they are given. Members that no column needs are not decoded."""
+    kind = T.StructType([LOCATED[c] for c in columns or LOCATED.names])
+    paths, schema, names = expand(spark, patterns), to_arrow_schema(kind), kind.names
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 rows = []
-                for row in places_of(shard, suffixes):
+                for row in places_of(shard, suffixes, names):
                     rows.append(row)
                     if len(rows) == BATCH:
                         yield pa.RecordBatch.from_pylist(rows, schema)
@@ -75,7 +78,7 @@ def located_frames(spark: SparkSession, patterns: str | Sequence[str], suffixes:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, len(paths))).mapInArrow(read, LOCATED)
+    return listed.repartition(max(1, len(paths))).mapInArrow(read, kind)
 
 
 def locator() -> Column:
@@ -83,41 +86,57 @@ def locator() -> Column:
     return F.struct("shard", "pos", "key", "members")
 
 
-def _runs(shards: list, offsets: np.ndarray, ends: np.ndarray, chunk: int, gap: int) -> Iterator[tuple[int, int]]:
+def _runs(shards: list, offsets: list, ends: list, chunk: int, gap: int) -> Iterator[tuple[int, int]]:
     """Rows in order of shard and offset, cut where bytes between are not worth reading or a chunk is full."""
-    a, end = 0, int(ends[0]) if len(ends) else 0
+    a, end = 0, ends[0] if ends else 0
     for k in range(1, len(shards)):
         if shards[k] != shards[a] or offsets[k] > end + gap or max(end, ends[k]) - offsets[a] > chunk:
             yield a, k
             a, end = k, 0
-        end = max(end, int(ends[k]))
-    if len(shards):
+        end = max(end, ends[k])
+    if shards:
         yield a, len(shards)
 
 
+def _with(batch: pa.RecordBatch, first: int, data: list, n_read: list) -> pa.RecordBatch:
+    part = batch.slice(first, len(data))
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary()), pa.array(n_read, pa.int64())], names=[*part.schema.names, "data", "n_read"])
+
+
+def with_data(batches: Iterator[pa.RecordBatch], chunk: int, gap: int) -> Iterator[pa.RecordBatch]:
+    """Batches with ``data`` and ``n_read``; members that are read apart are given together, up to a chunk."""
+    shard, file = None, None
+    for batch in batches:
+        shards, offsets, sizes = (batch.column(c).to_pylist() for c in ("shard", "offset", "size"))
+        first, data, n_read, held = 0, [], [], 0
+        for a, b in _runs(shards, offsets, [o + n for o, n in zip(offsets, sizes)], chunk, gap):
+            if shards[a] != shard:
+                if file is not None:
+                    file.close()
+                shard, file = shards[a], open_at(shards[a])
+            start, stop = offsets[a], max(o + n for o, n in zip(offsets[a:b], sizes[a:b]))
+            file.seek(start)
+            if len(blob := file.read(stop - start)) < stop - start:
+                raise ValueError(f"{shard} ends before the member of {batch.column('key')[b - 1].as_py()}")
+            more = [blob[o - start : o - start + n] for o, n in zip(offsets[a:b], sizes[a:b])]
+            size = sum(map(len, more))
+            if data and held + size > chunk:  # what runs give is put together up to a chunk
+                yield _with(batch, first, data, n_read)
+                first, data, n_read, held = a, [], [], 0
+            data += more
+            n_read += [len(blob)] + [0] * (b - a - 1)
+            held += size
+        if data:
+            yield _with(batch, first, data, n_read)
+    if file is not None:
+        file.close()
+
+
 def fetch(places: DataFrame, span: int = SPAN, chunk: int = CHUNK, gap: int = GAP) -> DataFrame:
     """places(shard, key, offset, size, ..) with ``data`` and with ``n_read``, the bytes read for a row and the rows after it."""
-    names = places.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, file = None, None
-        for batch in batches:
-            shards, (offsets, sizes) = batch.column("shard").to_pylist(), (batch.column(c).to_numpy() for c in ("offset", "size"))
-            for a, b in _runs(shards, offsets, offsets + sizes, chunk, gap):
-                if shards[a] != shard:
-                    if file is not None:
-                        file.close()
-                    shard, file = shards[a], open_at(shards[a])
-                start, stop = int(offsets[a]), int((offsets[a:b] + sizes[a:b]).max())
-                file.seek(start)
-                if len(blob := file.read(stop - start)) < stop - start:
-                    raise ValueError(f"{shard} ends before the member of {batch.column('key')[b - 1].as_py()}")
-                part = batch.slice(a, b - a)
-                data = pa.array([blob[o - start : o - start + n] for o, n in zip(offsets[a:b].tolist(), sizes[a:b].tolist())], pa.binary())
-                n_read = pa.array([len(blob)] + [0] * (b - a - 1), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), data, n_read], names=[*names, "data", "n_read"])
-        if file is not None:
-            file.close()
+        return with_data(batches, chunk, gap)
 
     stretch = F.floor(F.col("offset") / span)
     dealt = places.repartition("shard", stretch).sortWithinPartitions("shard", "offset", "size")

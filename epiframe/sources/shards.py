@@ -48,7 +48,7 @@ def wanted(image: bool = True, depth: bool = True, chest: bool = True) -> tuple[
     return (*ALWAYS, *(s for s in MEDIA if on[s]))
 
 
-def frame(shard: str, pos: int, key: str, data: dict[str, bytes]) -> dict:
+def frame(shard: str, pos: int, key: str, data: dict[str, bytes], text_of_meta: bool = True) -> dict:
     """One row of the frames table from a key's members."""
     try:
         meta = json.loads(data["meta.json"]) if "meta.json" in data else {}
@@ -59,7 +59,7 @@ def frame(shard: str, pos: int, key: str, data: dict[str, bytes]) -> dict:
     return {
         "shard": shard, "pos": pos, "key": key, "dataset_name": meta.get("dataset_name", ""), "episode_index": meta.get("episode_index"), "high_quality": meta.get("high_quality", 1),
         "cameras": meta.get("cameras", ["head"]), "instruction": [text] if isinstance(text, str) else text, "instruction_num": meta.get("instruction_num"), "lowdim": vector,
-        **{c: data.get(s) for s, c in MEDIA.items()}, "meta": json.dumps(meta) if "meta.json" in data else None,
+        **{c: data.get(s) for s, c in MEDIA.items()}, "meta": json.dumps(meta) if text_of_meta and "meta.json" in data else None,
     }
 
 

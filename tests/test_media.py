@@ -3,10 +3,11 @@
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from epiframe.sources import media, members, shards
+from epiframe.sources import media, members, shards, tars
 
 
 def jvm_image(spark, path, kind, pixels, name="png"):
@@ -68,6 +69,31 @@ def test_read_bytes_are_those_of_members(spark, tmp_path):
     assert members.fetch(places, gap=0).agg(F.sum("n_read")).first()[0] == len(FRAMES[0][3]) + len(FRAMES[1][3])
 
 
+def test_runs_are_put_together(tmp_path):
+    """Members that are far from each other are read apart and given as one batch, up to a chunk."""
+    (tmp_path / "a").write_bytes(bytes(range(100)))
+    batch = pa.RecordBatch.from_pydict({"shard": [f"file://{tmp_path}/a"] * 4, "key": list("abcd"), "offset": [0, 20, 40, 42], "size": [3, 3, 2, 2]})
+    for chunk, sizes in ((100, [4]), (6, [2, 2]), (1, [1, 1, 1, 1])):
+        out = list(members.with_data(iter([batch]), chunk, 0))
+        assert [b.num_rows for b in out] == sizes
+        rows = [r for b in out for r in b.to_pylist()]
+        assert [(r["key"], r["data"]) for r in rows] == [("a", b"\0\1\2"), ("b", bytes([20, 21, 22])), ("c", b"()"), ("d", b"*+")]
+        assert [r["n_read"] for r in rows] == [3, 3, *((4, 0) if chunk > 1 else (2, 2))]
+
+
+def test_columns_that_nobody_wants_are_not_decoded(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    writer = tars.Writer(open(tmp_path / "s/a.tar", "wb"))
+    for name, data in (("f.meta.json", b"no json"), ("f.lowdim.npy", b"no array"), ("f.image.jpg", b"abc")):
+        writer.add(name, data)
+    writer.close()
+    (row,) = members.located_frames(spark, f"file://{tmp_path}/s/a.tar", columns=["key", "members"]).collect()
+    assert row.key == "f" and row.members["image.jpg"].size == 3
+    for columns in (None, ["episode_index"], ["lowdim"]):
+        with pytest.raises(Exception, match="damaged member of f"):
+            members.located_frames(spark, f"file://{tmp_path}/s/a.tar", columns=columns).collect()
+
+
 def test_member_that_the_last_frame_alone_has_is_an_error(spark, tmp_path):
     paths = write(spark, tmp_path / "s", FRAMES)
     wanted = {"chest_image": ("image_refs", "chest_image.jpg")}
