@@ -5,6 +5,7 @@ import io
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from epiframe.sources import media, members, shards, tars
@@ -139,6 +140,19 @@ def test_decoded_pixels(spark, tmp_path):
     assert by["jpeg"][:2] == (16, 16) and np.abs(a - np.array(smooth)).max() <= 4
 
 
+def test_pixels_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Pixels are joined by shuffle however small their files are; settings stay as they were."""
+    plans, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().toString()), plain(self, *a, **b))[1])
+    own = {k: spark.conf.get(k) for k in media.READING}
+    df = spark.createDataFrame([("s", f"f{k}", media.png(bytes(3), 1, 1)) for k in range(300)], "shard string, key string, data binary").coalesce(1)
+    out = media.decode_images(df, ["shard", "key"])
+    assert out.where("octet_length(pixels) = 3").count() == 300
+    joins = [p for p in plans if "Join" in p]
+    assert joins and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+    assert {k: spark.conf.get(k) for k in media.READING} == own
+
+
 @pytest.mark.parametrize("data", [b"no image", b"", b"\x89PNG\r\n\x1a\n"])
 def test_damaged_image_names_shard_and_key(spark, data):
     df = spark.createDataFrame([("s1", "f7", data)], "shard string, key string, data binary")
