@@ -1,7 +1,9 @@
 """Phrase collocation mining: distinct pieces with multiplicities, n-grams counted out of core in DuckDB (operator 12).
 
 Texts are cut into pieces at punctuation and line ends, and equal pieces of a language become one with a multiplicity.
-N-grams are counted level by level, one word to ``LONGEST``. A task sums the n-grams of some million words at a time,
+Pieces are put together to batches of some million words, whose words are numbered once: a batch is a row, and a file,
+of the numbers and of its own table of words, and no level splits texts again.
+N-grams are counted level by level, one word to ``LONGEST``. A task sums the n-grams of a batch,
 weighted by multiplicity, and deals the sums out by the n-gram's hash; each hash bucket is a task that sums them in
 DuckDB, which spills to a scratch folder of the task beyond ``DUCKDB_MEMORY``. A phrase can't occur more often than
 its parts, so the next level sums only n-grams both of whose shorter ones may have reached the threshold. A bitmap of
@@ -17,9 +19,7 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
-import re
 import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, spread_join
+from .common import materialize, shared_path, slices, spread_join
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -42,9 +42,9 @@ COVERED = 80
 SCALE = 2_000_000
 #: A-Z lower-cased, and everything that ends a piece as a line feed.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
-BLANKS = re.compile(rb"[ \t]+")
 SLICE_BYTES = 8 << 20
-BATCH_WORDS = 3_000_000
+#: Words and bytes of pieces to a batch; a slice of pieces is never divided.
+BATCH_WORDS, BATCH_BYTES = 1_000_000, 32 << 20
 FILTER_BITS = 28
 #: Bits to a bitmap of Spark's bitmap functions.
 BITMAP = 32768
@@ -52,12 +52,16 @@ DUCKDB_MEMORY = "256MB"
 #: Parts of a language that are ranked on their own before the whole is.
 SALTS = 64
 COUNTED = "lang string, phrase string, h long, n long"
+#: A batch: languages and how many words each has, counted with multiplicity; the words' bytes, ends, languages and
+#: hashes; the number of each word of the pieces; the size and multiplicity of each piece. Integers are little-endian.
+BATCH = "langs array<string>, totals array<long>, words binary, ends binary, lang_of binary, hashes binary, ids binary, sizes binary, times binary"
 
 
 def pieces_of(text: str | None) -> list[bytes]:
     """Words of each piece that has any, joined by one space."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(PLAIN)
-    return [b" ".join(words) for piece in data.split(b"\n") if (words := [w for w in BLANKS.split(piece) if w])]
+    # of what bytes.split() takes for white space only space and tab are left within a piece
+    return [b" ".join(words) for piece in data.split(b"\n") if (words := piece.split())]
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -97,31 +101,61 @@ def filter_of(level: DataFrame) -> Filter:
     return Filter({k: bytes(data) for k, data in maps.collect()}, bits)  # at most 2 ** bits / BITMAP rows of 4 KB
 
 
-class Words:
-    """Some million words of pieces as numbers, with the weight of each and how many words follow in its piece."""
+class Pieces:
+    """Pieces with their multiplicities, until they are a batch."""
 
     def __init__(self):
-        new = itertools.count().__next__
-        self.ids: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(new))
-        self.flat, self.sizes, self.times, self.n = [], [], [], 0
+        self.held: dict[str, list[tuple[pa.Array, np.ndarray, np.ndarray]]] = defaultdict(list)
+        self.n = self.bytes = 0
 
     def add(self, lang: str, pieces: pa.Array, times: np.ndarray) -> None:
         """Pieces (bytes) of one language."""
-        words = b" ".join(pieces.to_pylist()).split(b" ")
-        self.flat.append(np.fromiter(map(self.ids[lang].__getitem__, words), np.int64, len(words)))
-        self.sizes.append(pc.count_substring(pieces, b" ").to_numpy().astype(np.int64) + 1)
-        self.times.append(times)
-        self.n += len(words)
+        words = pc.split_pattern(pieces, b" ")
+        self.held[lang].append((words.flatten(), pc.list_value_length(words).to_numpy(), times))
+        self.n += len(self.held[lang][-1][0])
+        self.bytes += pieces.nbytes
+
+    def batch(self) -> pa.RecordBatch:
+        """A row of BATCH."""
+        langs, totals, tables, lang_of, hashes, ids, sizes, times, first = list(self.held), [], [], [], [], [], [], [], 0
+        for k, lang in enumerate(langs):
+            words, n, own = (list(x) for x in zip(*self.held.pop(lang)))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            del words
+            table, seed = coded.dictionary, xxhash.xxh64_intdigest(lang.encode())
+            tables += table.to_pylist()
+            hashes.append(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in tables[first:]), np.uint64, len(table)))
+            lang_of.append(np.full(len(table), k, np.int32))
+            ids.append(coded.indices.to_numpy() + np.int32(first))
+            sizes += n
+            times += own
+            totals.append(int(sum(int((a.astype(np.int64) * t).sum()) for a, t in zip(n, own))))
+            first += len(table)
+        ends = np.cumsum([len(w) for w in tables], dtype=np.int64)
+        parts = [ends, np.concatenate(lang_of), np.concatenate(hashes), np.concatenate(ids), np.concatenate(sizes).astype(np.int32), np.concatenate(times).astype(np.int64)]
+        columns = [pa.array([langs], pa.list_(pa.string())), pa.array([totals], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (b"".join(tables), *(x.tobytes() for x in parts)))]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BATCH.split(", ")])
+
+
+class Words:
+    """A batch's words as numbers, with the weight of each and how many words follow in its piece."""
+
+    def __init__(self, row: pa.RecordBatch):
+        data = lambda c, kind: np.frombuffer(row.column(c)[0].as_buffer(), kind)
+        self.langs, ends = row.column("langs")[0].as_py(), data("ends", "<i8")
+        offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+        self.table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, row.column("words")[0].as_buffer()])
+        self.lang_of, self.hashes, self.ids = data("lang_of", "<i4"), data("hashes", "<u8"), data("ids", "<i4").astype(np.int64)
+        self.sizes, self.times = data("sizes", "<i4").astype(np.int64), data("times", "<i8")
 
     def sums(self, size: int, known: Filter | None) -> Iterator[pa.RecordBatch]:
         """Weighted counts of the n-grams of ``size`` words whose shorter ones the filter has."""
-        langs, words = list(self.ids), [b""] * sum(map(len, self.ids.values()))
-        lang_of, seeds = np.empty(len(words), np.int64), [xxhash.xxh64_intdigest(x.encode()) for x in self.ids]
-        hashes = np.empty(len(words), np.uint64)
-        for k, ids in enumerate(self.ids.values()):
-            for word, i in ids.items():
-                words[i], lang_of[i], hashes[i] = word, k, xxhash.xxh64_intdigest(word, seeds[k])
-        ids, sizes = np.concatenate(self.flat), np.concatenate(self.sizes)
+        hashes, ids, sizes, words = self.hashes, self.ids, self.sizes, len(self.lang_of)
+        times = np.repeat(self.times, sizes)
+        if size == 1:
+            n = np.zeros(words, np.int64)
+            np.add.at(n, ids, times)
+            return self.phrases(np.arange(words), np.arange(words), n, 1)
         left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))
         at = np.flatnonzero(left >= size)
         if known is not None:
@@ -129,13 +163,17 @@ class Words:
             may = np.zeros(len(ids) + 1, bool)
             may[shorter] = known.has(self.mixed(hashes, ids, shorter, size - 1))
             at = at[may[at] & may[at + 1]]
-        first, n = self.grouped(ids, at, size, len(words), np.repeat(np.concatenate(self.times), sizes)[at])
-        table = pa.array(words, pa.binary())
+        first, n = self.grouped(ids, at, size, words, times[at])
+        return self.phrases(ids, first, n, size)
+
+    def phrases(self, ids: np.ndarray, first: np.ndarray, n: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+        """Rows of COUNTED: the n-grams at places ``first`` of ids, and their counts."""
+        langs = pa.array(self.langs, pa.string())
         for part in range(0, len(first), 100_000):
             p = first[part : part + 100_000]
-            phrase = pc.binary_join_element_wise(*(table.take(pa.array(ids[p + j])) for j in range(size)), pa.scalar(b" ", pa.binary())).cast(pa.string())
-            lang = pa.array(langs, pa.string()).take(pa.array(lang_of[ids[p]]))
-            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(self.mixed(hashes, ids, p, size).view(np.int64)), pa.array(n[part : part + 100_000])], names=["lang", "phrase", "h", "n"])
+            phrase = pc.binary_join_element_wise(*(self.table.take(pa.array(ids[p + j])) for j in range(size)), pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+            lang = langs.take(pa.array(self.lang_of[ids[p]]))
+            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(self.mixed(self.hashes, ids, p, size).view(np.int64)), pa.array(n[part : part + 100_000])], names=["lang", "phrase", "h", "n"])
 
     @staticmethod
     def grouped(ids: np.ndarray, at: np.ndarray, size: int, words: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,22 +200,39 @@ class Words:
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def count_level(distinct: DataFrame, size: int, known: Filter | None, least: int) -> DataFrame:
-    """(lang, phrase, h, n) of the n-grams of ``size`` words with at least ``least`` occurrences."""
-    shared = distinct.sparkSession.sparkContext.broadcast(known)
+def numbered(distinct: DataFrame) -> DataFrame:
+    """Batches of distinct(lang, piece, times); see BATCH."""
+    most, most_bytes = BATCH_WORDS, BATCH_BYTES
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Words()
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Pieces()
         for batch in batches:
-            for part in slices(batch, "piece", SLICE_BYTES):
+            for part in slices(batch, "piece", SLICE_BYTES // 4):
                 for lang in part.column("lang").unique():
                     own = part.filter(pc.equal(part.column("lang"), lang))
                     held.add(lang.as_py(), own.column("piece"), own.column("times").to_numpy())
-                if held.n >= BATCH_WORDS:
-                    yield from held.sums(size, shared.value)
-                    held = Words()
+                if held.n >= most or held.bytes >= most_bytes:
+                    yield held.batch()
+                    held = Pieces()
         if held.n:
-            yield from held.sums(size, shared.value)
+            yield held.batch()
+
+    return distinct.select("lang", F.encode("piece", "UTF-8").alias("piece"), "times").mapInArrow(number, BATCH)
+
+
+def count_level(distinct: DataFrame, size: int, known: Filter | None, least: int) -> DataFrame:
+    """(lang, phrase, h, n) of the n-grams of ``size`` words of distinct pieces with at least ``least`` occurrences."""
+    return count_batches(numbered(distinct), size, known, least)
+
+
+def count_batches(rows: DataFrame, size: int, known: Filter | None, least: int) -> DataFrame:
+    """(lang, phrase, h, n) of the n-grams of ``size`` words of numbered batches with at least ``least`` occurrences."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from Words(batch.slice(k, 1)).sums(size, shared.value)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
@@ -186,15 +241,14 @@ def count_level(distinct: DataFrame, size: int, known: Filter | None, least: int
             con.register("partial", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
             yield from con.sql(f"SELECT lang, phrase, min(h) AS h, CAST(sum(n) AS BIGINT) AS n FROM partial GROUP BY lang, phrase HAVING sum(n) >= {int(least)}").to_arrow_reader(100_000)
 
-    rows = distinct.select("lang", F.encode("piece", "UTF-8").alias("piece"), "times")
     return rows.mapInArrow(partial, COUNTED).repartition("h").mapInArrow(bucket, COUNTED)
 
 
-def phrase_counts(distinct: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT) -> DataFrame:
-    """(lang, phrase, h, n, size) of all n-grams up to ``longest`` words with at least ``least`` occurrences."""
+def phrase_counts(rows: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT) -> DataFrame:
+    """(lang, phrase, h, n, size) of all n-grams of numbered batches up to ``longest`` words with at least ``least`` occurrences."""
     out, known = None, None
     for size in range(1, longest + 1):
-        level = materialize(count_level(distinct, size, known, least).withColumn("size", F.lit(size)), f"ngrams-{size}")
+        level = materialize(count_batches(rows, size, known, least).withColumn("size", F.lit(size)), f"ngrams-{size}")
         out, known = level if out is None else out.unionByName(level), filter_of(level)
     return out
 
@@ -228,13 +282,15 @@ def without_covered(found: DataFrame, counts: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """Each language's best phrases of docs(text, lang): lang, rank, phrase, a, l, r, n, score."""
-    distinct = materialize(pieces(docs), "pieces")
-    counts = phrase_counts(distinct, longest, least)
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "batches")
+    numbered(pieces(docs)).write.option("maxRecordsPerFile", 1).parquet(path)  # so that no reader holds many at once
+    rows = spark.read.schema(BATCH).parquet(path)
+    counts = phrase_counts(rows, longest, least)
     found = without_covered(scored(counts), counts)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # the best of each part of a language first, so that no task ranks all of a language's phrases
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
     best = found.withColumn("_salt", salt).withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_place") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    words = distinct.groupBy(F.col("lang")).agg(F.sum(F.col("times") * F.size(F.split("piece", " "))).alias("n"))
+    words = rows.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
     return best.join(F.broadcast(words), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -84,3 +84,15 @@ def test_buckets_spill(spark, monkeypatch):
     df = spark.range(200_000).selectExpr("'en' AS lang", "concat('word', id, ' of number', id % 50) AS piece", "3L AS times").coalesce(1)
     found = c.count_level(df, 1, None, 5).orderBy("phrase").select("phrase", "n").collect()
     assert [tuple(r) for r in found] == sorted([("of", 600_000), *((f"number{k}", 12_000) for k in range(50))])
+
+
+def test_levels_read_numbered_batches(spark, monkeypatch):
+    """A batch holds its words once, as a table of its own, and no level splits pieces again."""
+    monkeypatch.setattr(c, "BATCH_WORDS", 1)
+    rows = [("en", "new york new york", 3), ("en", "york", 2), ("d e", "new", 1)]
+    found = c.numbered(spark.createDataFrame(rows, "lang string, piece string, times long").coalesce(1))
+    assert "piece" not in found.columns
+    got = found.collect()
+    assert [(r.langs, r.totals, bytes(r.words), np.frombuffer(r.ids, "<i4").tolist(), np.frombuffer(r.sizes, "<i4").tolist()) for r in got] == [(["en", "d e"], [14, 1], b"newyorknew", [0, 1, 0, 1, 1, 2], [4, 1, 1])]
+    counts = {(r.lang, r.phrase): r.n for r in c.phrase_counts(found, 2, 1).collect()}
+    assert counts == {("en", "new"): 6, ("en", "york"): 8, ("d e", "new"): 1, ("en", "new york"): 6, ("en", "york new"): 3}
