@@ -90,9 +90,12 @@ class Plan:
     def _partition(sample: np.ndarray, m: int) -> list[list[int]]:
         """Bits in m groups: each starts with the first bit left and takes those most correlated with it."""
         size, left, groups = -(-64 // m), list(range(64)), []
-        bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
-        bits -= bits.mean(0) if len(bits) else 0
-        cov = bits.T @ bits
+        ones, both = np.zeros(64), np.zeros((64, 64))
+        for k in range(0, len(sample), 4096):
+            bits = ((sample[k : k + 4096, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
+            ones += bits.sum(0)
+            both += bits.T @ bits
+        cov = both - np.outer(ones, ones) / max(1, len(sample))
         var = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.abs(cov / var[:, None] / var[None, :])
         while left:
@@ -186,8 +189,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = distinct.sparkSession
     total = distinct.count()
     share = min(1.0, SAMPLE / max(1, total))
-    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * SAMPLE).collect()
-    plan = spark.sparkContext.broadcast(Plan(np.sort(np.array([r[0] for r in picked], np.int64).view(np.uint64)), total, radius))
+    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(2 * SAMPLE).toArrow()
+    plan = spark.sparkContext.broadcast(Plan(np.sort(picked.column("fp").to_numpy().astype(np.int64).view(np.uint64)), total, radius))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,23 +258,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges (a, b): root is the smallest node of the component, by large-star and small-star steps.
 
     Nodes are ordered as signed longs. Each step is two joins on a node's smallest neighbour, which is found by partial
-    sums; the edges of a node with many neighbours join by broadcast, so that they are no single task's work.
+    sums and written, as three joins read it; the edges of a node with many neighbours join by broadcast, so that they
+    are no single task's work. All are stars once every node with a smaller neighbour has no other neighbour.
     """
-    now, state = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         # large star: every larger neighbour moves to the smallest of the node and its neighbours
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        moved = spread_join(both, low, "u", "n", 2 * now.count())
-        now = materialize(moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "lowest")
+        total, between = low.agg(F.sum("n"), F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1))).first()
+        if not between:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        moved = spread_join(both, low, "u", "n", total)
+        # an edge gives an edge at most; those that are now alike become one after the small star
+        now = materialize(moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "edges")
         # small star: a node and its smaller neighbours move to the smallest of these
-        low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        moved = spread_join(now, low, "u", "n", now.count())
+        low = materialize(now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        moved = spread_join(now, low, "u", "n", low.agg(F.sum("n")).first()[0])
         now = materialize(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v").distinct(), "edges")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = seen
 
 
 def with_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -281,7 +285,7 @@ def with_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_low", "_n", F.coalesce("root", "fp").alias("_root"))
     rooted = materialize(rooted, "rooted")
-    lowest = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"), F.count("*").alias("_members"))
+    lowest = materialize(rooted.groupBy("_root").agg(F.min("_low").alias("component_id"), F.count("*").alias("_members")), "lowest")
     found = materialize(spread_join(rooted, lowest, "_root", "_members", rooted.count()).select("fp", "_n", "component_id"), "found")
     side = found.select("fp", F.col("_n").alias(count := own_name(df.columns, "n")), "component_id")
     return spread_join(df, side, "fp", count, df.count()).select(*df.columns, "component_id")

@@ -106,3 +106,28 @@ def test_query(spark, sf):
     got = op8_simhash(spark, sf).collect()
     assert {r.doc_id: r.fingerprint for r in got} == {d: f"{f:016x}" for d, f in rows}
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
+def test_stars_are_done(spark, monkeypatch):
+    """Edges that are stars, their center the smallest node, are found out by one table of lowest neighbours."""
+    written = []
+    monkeypatch.setattr(simhash, "materialize", lambda df, name, write=simhash.materialize: written.append(name) or write(df, name))
+    edges = [(9, 1), (1, 8), (7, 1), (20, 10)]
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(7, 1), (8, 1), (9, 1), (20, 10)]
+    assert written == ["edges", "lowest"]
+
+
+def test_chain_becomes_star(spark):
+    got = simhash.components(spark.createDataFrame([(k, k + 1) for k in range(-20, 20)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(k, -20) for k in range(-19, 21)]
+
+
+def test_plan_memory():
+    """The driver correlates bits of the sample a block at a time."""
+    import tracemalloc
+
+    sample = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 50_000).astype(np.uint64))
+    tracemalloc.start()
+    simhash.Plan(sample, 1_000_000)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
