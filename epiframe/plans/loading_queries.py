@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import attention, blend, collate, guarded, images, metrics, profile, quality_gate, samples, serving, shuffle, vla, windows
 from ..sources import adapters as A
 from ..sources import files, media, members, shards, store
+from ..steps import through
 from ..streaming import online, resampled
 from ..streaming.blend import blend_streams
 from . import pictures
@@ -89,15 +90,14 @@ def processed_frames(spark, sf_dir):
     """Pictures and depths at half the size, with the camera's numbers: sums of colours, millimetres."""
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), F.transform("v", lambda x: F.floor(F.abs(x) * 1000).cast("int")).alias("v"))
     path = files.shared_path(spark, "picture-shards")
-    shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
+    shards.write_frames(e, path, pictures.pictures)
     frames = members.located_frames(spark, f"{path}/*.tar", columns=PLACED).withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "metres": ("image_refs", "depth.npy")})
     out = out.select("shard", "pos", "key", F.get("image", 0).alias("image"), F.get("metres", 0).alias("metres"))
-    out = media.decode_depths(media.decode_images(out, ["shard", "key"], "image"), ["shard", "key"], "metres")
-    out = out.withColumn("intrinsic", F.array(F.lit(8.0), F.lit(6.0), F.lit(4.0), F.lit(3.0)))
-    out = images.process_frames(out.drop("shape"), ["key"], size=(4, 4))
-    kept = out.select("key", "height", "width", "pixels", "depth").mapInPandas(pictures.sums, pictures.SUMS)
-    k = out.select(F.substring("key", 7, 8).cast("long").alias("vec_id"), F.array_join(F.transform("intrinsic", lambda x: x.cast("string")), ",").alias("intrinsic"))
+    out = media.decode_images(out, ["shard", "key"], "image").withColumn("intrinsic", F.array(F.lit(8.0), F.lit(6.0), F.lit(4.0), F.lit(3.0)))
+    half = (media.depths_of(["shard", "key"], "metres"), images.processed(["key"], size=(4, 4)))
+    kept = through(out, *half, pictures.sums)
+    k = through(out, *half).select(F.substring("key", 7, 8).cast("long").alias("vec_id"), F.array_join(F.transform("intrinsic", lambda x: x.cast("string")), ",").alias("intrinsic"))
     return kept.join(k, "vec_id")
 
 
@@ -220,12 +220,11 @@ def decoded_media_gate(spark, sf_dir):
     flat = F.transform("v", lambda x: F.when(F.col("vec_id") % 5 == 0, F.lit(3)).when(F.col("vec_id") % 7 == 0, F.floor(F.abs(x) * 10) % 2 * 0).otherwise(F.floor(F.abs(x) * 1000)).cast("int"))
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), flat.alias("v"))
     path = files.shared_path(spark, "picture-shards")
-    shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
+    shards.write_frames(e, path, pictures.pictures)
     frames = members.located_frames(spark, f"{path}/*.tar", columns=PLACED).withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "metres": ("image_refs", "depth.npy")})
     out = out.select("shard", "key", F.get("image", 0).alias("image"), F.get("metres", 0).alias("metres"))
-    out = images.with_channel_stats(media.decode_images(out, ["shard", "key"], "image"))
-    out = media.with_depth_values(media.decode_depths(out, ["shard", "key"], "metres"))
+    out = through(media.decode_images(out, ["shard", "key"], "image"), images.channel_stats, media.depths_of(["shard", "key"], "metres"), media.depth_values)
     checks = [("image", quality_gate.image_fails(F.col("means"), F.col("stds"))), ("depth", quality_gate.depth_fails(F.col("depths")))]
     out = quality_gate.with_reason(out, checks)
     return out.select(F.substring("key", 7, 8).cast("long").alias("vec_id"), r6(F.get("means", 0)).alias("red"), r6(F.get("stds", 1)).alias("green_std"), F.coalesce("reason", F.lit("ok")).alias("reason"), (quality_gate.depth_fails(F.col("depths"))).alias("no_depth"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import blend, windows
 from ..sources import adapters as A
 from ..sources import files, media, members, shards
+from ..steps import through
 from . import pictures
 from .registry import query
 
@@ -71,22 +72,21 @@ def decoded_frames(spark, sf_dir):
     """Embeddings as pictures and depths in shards, read by range and decoded: size, sums of the three colours, metres."""
     e = A.vectors(spark, sf_dir).select(F.format_string("frame_%08d", "vec_id").alias("key"), F.to_json(F.struct("label")).alias("meta"), F.transform("v", lambda x: F.floor(F.abs(x) * 1000).cast("int")).alias("v"))
     path = files.shared_path(spark, "picture-shards")
-    shards.write_frames(e.mapInPandas(pictures.pictures, pictures.ENCODED), path)
+    shards.write_frames(e, path, pictures.pictures)
     frames = members.located_frames(spark, f"{path}/*.tar", columns=PLACED).withColumn("image_refs", F.array(members.locator()))
     out = members.with_media(frames.select("shard", "pos", "key", "image_refs"), ["shard", "pos"], {"image": ("image_refs", "image.jpg"), "depth": ("image_refs", "depth.npy")})
     out = out.select("shard", "pos", "key", F.get("image", 0).alias("image"), F.get("depth", 0).alias("metres"))
-    out = media.decode_depths(media.decode_images(out, ["shard", "key"], "image"), ["shard", "key"], "metres")
-    return out.mapInPandas(pictures.sums, pictures.SUMS)
+    return through(media.decode_images(out, ["shard", "key"], "image"), media.depths_of(["shard", "key"], "metres"), pictures.sums)
 
 
 @query
 def qa_images_decoded(spark, sf_dir):
     """Conversations as question samples with one to twelve images, decoded in the order of their names."""
     turns = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("first"))
-    rows = turns.select(F.format_string("qa_%08d", "conv_id").alias("key"), F.to_json(F.struct("first")).alias("meta"), "conv_id").mapInPandas(pictures.albums, pictures.ALBUM)
+    rows = turns.select(F.format_string("qa_%08d", "conv_id").alias("key"), F.to_json(F.struct("first")).alias("meta"), "conv_id")
     path = files.shared_path(spark, "qa-shards")
-    shards.write_frames(rows, path)
+    shards.write_frames(rows, path, pictures.albums)
     places = media.qa_images(members.located_frames(spark, f"{path}/*.tar", columns=["shard", "key", "members"]))
-    out = media.decode_images(members.fetch(places).drop("n_read"), ["shard", "key", "suffix"])
+    out = media.decode_images(members.dealt(places), ["shard", "key", "suffix"], made=[members.reading()])
     byte = lambda k: F.conv(F.hex(F.substring("pixels", k, 1)), 16, 10).cast("int")
     return out.select(F.substring("key", 4, 8).cast("long").alias("conv_id"), "n", "suffix", "height", "width", byte(1).alias("red"), byte(2).alias("green"), F.octet_length("pixels").alias("size"))

@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAMES
+from ..steps import Run, Step, through
 from .files import open_at, shared_path
-from .shards import ALWAYS, BATCH, MEDIA, expand, frame
+from .shards import ALWAYS, BATCH, MEDIA, expand, frame, listed_paths
 from .tars import Bytes, members
 
 PLACES = T.MapType(T.StringType(), T.StructType([T.StructField("offset", T.LongType()), T.StructField("size", T.LongType())]))
@@ -77,8 +78,7 @@ def located_frames(spark: SparkSession, patterns: str | Sequence[str], suffixes:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, len(paths))).mapInArrow(read, kind)
+    return listed_paths(spark, paths).mapInArrow(read, kind)
 
 
 def locator() -> Column:
@@ -132,15 +132,26 @@ def with_data(batches: Iterator[pa.RecordBatch], chunk: int, gap: int) -> Iterat
         file.close()
 
 
-def fetch(places: DataFrame, span: int = SPAN, chunk: int = CHUNK, gap: int = GAP) -> DataFrame:
-    """places(shard, key, offset, size, ..) with ``data`` and with ``n_read``, the bytes read for a row and the rows after it."""
+def dealt(places: DataFrame, span: int = SPAN) -> DataFrame:
+    """places(shard, offset, size, ..) by shard and stretch, in the order of reading."""
+    return places.repartition("shard", F.floor(F.col("offset") / span)).sortWithinPartitions("shard", "offset", "size")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return with_data(batches, chunk, gap)
 
-    stretch = F.floor(F.col("offset") / span)
-    dealt = places.repartition("shard", stretch).sortWithinPartitions("shard", "offset", "size")
-    return dealt.mapInArrow(read, T.StructType([*places.schema.fields, T.StructField("data", T.BinaryType()), T.StructField("n_read", T.LongType())]))
+def reading(chunk: int = CHUNK, gap: int = GAP) -> Step:
+    """The step of ``fetch``, over places that are dealt out."""
+
+    def step(schema: T.StructType) -> tuple[T.StructType, Run]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return with_data(batches, chunk, gap)
+
+        return T.StructType([*schema.fields, T.StructField("data", T.BinaryType()), T.StructField("n_read", T.LongType())]), run
+
+    return step
+
+
+def fetch(places: DataFrame, span: int = SPAN, chunk: int = CHUNK, gap: int = GAP) -> DataFrame:
+    """places(shard, key, offset, size, ..) with ``data`` and with ``n_read``, the bytes read for a row and the rows after it."""
+    return through(dealt(places, span), reading(chunk, gap))
 
 
 def media_places(windows: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAMES
+from ..steps import Step, chained
 from .files import open_at, open_out
 from .tars import Bytes, Writer, array_of, members, npy
 
@@ -42,6 +43,12 @@ def expand(spark: SparkSession, patterns: str | Sequence[str]) -> list[str]:
     return out
 
 
+def listed_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Paths as rows, a task to each. They are given as an Arrow table: rows of Python values would go through workers of
+    another kind, which stay beside those that read."""
+    return spark.createDataFrame(pa.table({"path": pa.array(paths, pa.string())}), "path string").repartition(max(1, len(paths)))
+
+
 def wanted(image: bool = True, depth: bool = True, chest: bool = True) -> tuple[str, ...]:
     """Suffixes to read: meta and vector always; the chest's depth only if both depth and chest are wanted."""
     on = {"image.jpg": image, "depth.npy": depth, "chest_image.jpg": chest, "chest_depth.npy": depth and chest}
@@ -97,20 +104,21 @@ def read_frames(spark: SparkSession, patterns: str | Sequence[str], image: bool
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, len(paths))).mapInArrow(read, FRAMES)
+    return listed_paths(spark, paths).mapInArrow(read, FRAMES)
 
 
-def write_frames(frames: DataFrame, path: str) -> list[str]:
+def write_frames(frames: DataFrame, path: str, *made: Step) -> list[str]:
     """One shard to each partition of frames(key, meta, lowdim, media..), in its order, under path; returns their paths.
-    Without a column lowdim there are no vectors; a map ``members`` adds data by suffix."""
-    media = {s: c for s, c in MEDIA.items() if c in frames.columns}
-    vectors, more = "lowdim" in frames.columns, "members" in frames.columns
+    Without a column lowdim there are no vectors; a map ``members`` adds data by suffix. Steps ``made`` make frames of
+    other rows, in the worker that writes them."""
+    schema, make = chained(frames.schema, made)
+    media = {s: c for s, c in MEDIA.items() if c in schema.names}
+    vectors, more = "lowdim" in schema.names, "members" in schema.names
     read = ["key", "meta", *media.values(), *(["members"] if more else [])]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, tar, n = f"{path}/{uuid.uuid4().hex}.tar", None, 0
-        for batch in batches:
+        for batch in make(batches):
             if vectors:
                 lists = batch.column("lowdim")
                 flat, ends, there = lists.values.to_numpy(zero_copy_only=False).astype(np.float32), lists.offsets.to_pylist(), lists.is_valid().to_pylist()

@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAMES
 from ..sources.files import open_at, open_in, open_out, shared_path
-from ..sources.shards import ALWAYS, BATCH, expand, frame, wanted
+from ..sources.shards import ALWAYS, BATCH, expand, frame, listed_paths, wanted
 from ..sources.tars import BLOCK, Bytes, members
 
 NAME = "resampled_shards"
@@ -230,7 +230,7 @@ def list_shards(spark: SparkSession, patterns: str | Sequence[str], path: str) -
         for batch in batches:
             yield pa.RecordBatch.from_pylist([measured(p)._asdict() for p in batch.column(0).to_pylist()], schema)
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    listed = listed_paths(spark, paths)
     rows = sorted(r for r in listed.mapInArrow(read, kind).collect() if r.rows)  # one row to a shard
     with open_out(f"{path}/shards.json") as f:
         f.write(json.dumps([tuple(r) for r in rows]).encode())

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from epiframe.plans.queries import QUERIES
 from epiframe.sources import media, members, shards, tars
 
 
@@ -153,6 +154,46 @@ def test_pixels_are_not_sent_through_the_driver(spark, monkeypatch):
     assert {k: spark.conf.get(k) for k in media.READING} == own
 
 
+def workers(node, most):
+    """Python steps of the stage that ends in a plan's node; ``most`` gets those of all stages."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return workers(node.initialPlan(), most)
+    kids = node.children()
+    n = sum(workers(kids.apply(k), most) for k in range(kids.size())) + name.startswith(("MapInArrow", "MapInPandas"))
+    most.append(n)
+    return 0 if "Exchange" in name else n
+
+
+@pytest.mark.parametrize("name", ["decoded_media_gate", "decoded_frames", "processed_frames", "qa_images_decoded"])
+def test_a_task_has_one_python_worker(spark, sf, monkeypatch, name):
+    """Workers of a task live side by side: more steps in a row must not be more workers."""
+    most, plain = [], DataFrameWriter.parquet
+    plan = lambda df: workers(df._jdf.queryExecution().executedPlan(), most)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plan(self._df), plain(self, *a, **b))[1])
+    plan(QUERIES[name](spark, sf))
+    assert max(most) == 1
+
+
+def test_shards_are_listed_without_python(spark, tmp_path):
+    paths = write(spark, tmp_path / "s", FRAMES)
+    for df in (members.located_frames(spark, paths), shards.read_frames(spark, paths)):
+        assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_decoded_depths_are_given_in_parts(spark, monkeypatch):
+    """Many rows to a batch, but no more than the bytes allowed; a larger row is a batch of its own."""
+    monkeypatch.setattr(media, "GIVEN", 100)
+    sizes = [1, 12, 13, None, 40, 1]
+    rows = [("s", f"f{k}", n and saved(np.full(n, k, np.float32))) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "shard string, key string, data binary")
+    _, run = media.depths_of(["shard", "key"])(df.schema)
+    out = list(run(iter([df.toArrow().combine_chunks().to_batches()[0]])))
+    assert [b.num_rows for b in out] == [2, 2, 1, 1]
+    got = [r for b in out for r in b.to_pylist()]
+    assert [(r["key"], r["shape"], r["depth"]) for r in got] == [(f"f{k}", n and [n], n and np.full(n, k, "<f4").tobytes()) for k, n in enumerate(sizes)]
+
+
 @pytest.mark.parametrize("data", [b"no image", b"", b"\x89PNG\r\n\x1a\n"])
 def test_damaged_image_names_shard_and_key(spark, data):
     df = spark.createDataFrame([("s1", "f7", data)], "shard string, key string, data binary")
