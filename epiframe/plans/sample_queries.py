@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import io
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import sampling as S
@@ -15,6 +16,7 @@ from ..functions import text as X
 from ..operators import attention, blend, candidates, metrics, normalizer, profile, quality_gate, samples
 from ..sources import adapters as A
 from ..sources import files, shards, store
+from ..steps import Run
 from ..streaming import online
 from .registry import query, r6, r10
 
@@ -339,22 +341,31 @@ def relative_motions(spark, sf_dir):
 # storage
 
 
-def _encoded(batches):
-    """Frames of events: metadata as JSON, a vector of 116 numbers, an image of eight bytes."""
-    for df in batches:
-        yield pd.DataFrame({"key": df["key"], "meta": df["meta"], "lowdim": [np.full(116, v, np.float32) for v in df["value"]], "image": [io.BytesIO(np.int64(k).tobytes()).getvalue() for k in df["event_id"]], "depth": [b"12"] * len(df)})
+def _encoded(_: T.StructType) -> tuple[T.StructType, Run]:
+    """Step: frames of events with a vector of 116 numbers and an image of eight bytes."""
+    kind = T.StructType.fromDDL("key string, meta string, lowdim array<float>, image binary, depth binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            values, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("value", "event_id"))
+            vectors = pa.ListArray.from_arrays(np.arange(0, 116 * n + 1, 116, dtype=np.int32), np.repeat(values.astype(np.float32), 116))
+            images = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), n, [None, pa.py_buffer(ids.astype("<i8").tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("meta"), vectors, images, pa.array([b"12"] * n, pa.binary())], names=kind.names)
+
+    return kind, run
 
 
 @query
 def frame_shard_roundtrip(spark, sf_dir):
-    """Events written as tar shards and read back without depths."""
+    """Events written as packed tar shards and read back without depths."""
     e = A.table(spark, sf_dir, "events")
     e = e.repartition(1 + e.count() // 5000, "user_id").sortWithinPartitions("user_id", "ts", "event_id")  # shards of about 5000 frames
     meta = F.to_json(F.struct(F.lit("events").alias("dataset_name"), F.col("user_id").alias("episode_index"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("instruction"), F.lit(1).alias("instruction_num"), F.when(F.col("event_type") == "error", 0).alias("high_quality")))
-    rows = e.select(F.format_string("frame_%08d", "event_id").alias("key"), meta.alias("meta"), "value", "event_id").mapInPandas(_encoded, "key string, meta string, lowdim array<float>, image binary, depth binary")
+    rows = e.select(F.format_string("frame_%08d", "event_id").alias("key"), meta.alias("meta"), "value", "event_id")
     path = files.shared_path(spark, "shards")
-    shards.write_frames(rows, path)
-    f = shards.read_frames(spark, f"{path}/*.tar", depth=False)
+    shards.write_frames(rows, path, _encoded, pack=True)
+    f = shards.read_frames(spark, f"{path}/*.tar.zst", depth=False, columns=["key", "dataset_name", "episode_index", "high_quality", "instruction", "lowdim", "image", "depth"])
     return f.select(F.substring("key", 7, 8).cast("long").alias("event_id"), "dataset_name", "episode_index", "high_quality", F.get("instruction", 0).alias("instruction"), F.size("lowdim").alias("n"), F.round(F.get("lowdim", 115).cast("double"), 2).alias("x"), F.octet_length("image").alias("image_bytes"), F.col("depth").isNull().alias("no_depth"))
 
 

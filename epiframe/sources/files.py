@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from . import packed
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names; a folder of our own only on a local master."""
@@ -26,10 +28,11 @@ def _located(uri: str):
 
 
 def open_out(uri: str):
-    """A binary output stream; parent folders are made."""
+    """A binary output stream, which packs a file whose name says so; parent folders are made."""
     system, path = _located(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path, compression=None)
+    out = system.open_output_stream(path, compression=None)
+    return packed.PackedOut(out) if path.endswith(packed.SUFFIX) else out
 
 
 def open_in(uri: str):
@@ -39,9 +42,10 @@ def open_in(uri: str):
 
 
 def open_at(uri: str):
-    """A binary input that can be read from any place."""
+    """A binary input that can be read from any place; of a packed file, the plain one."""
     system, path = _located(uri)
-    return system.open_input_file(path)
+    file = system.open_input_file(path)
+    return packed.PackedIn(file, uri) if path.endswith(packed.SUFFIX) else file
 
 
 def remove(uri: str) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..schema import FRAMES
 from ..steps import Run, Step, through
 from .files import open_at, shared_path
-from .shards import ALWAYS, BATCH, MEDIA, expand, frame, listed_paths
+from .shards import ALWAYS, BATCH, MEDIA, batch_of, expand, frame, listed_paths
 from .tars import Bytes, members
 
 PLACES = T.MapType(T.StringType(), T.StructType([T.StructField("offset", T.LongType()), T.StructField("size", T.LongType())]))
@@ -74,9 +74,9 @@ def located_frames(spark: SparkSession, patterns: str | Sequence[str], suffixes:
                 for row in places_of(shard, suffixes, names):
                     rows.append(row)
                     if len(rows) == BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield batch_of(rows, schema)
                         rows = []
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield batch_of(rows, schema)
 
     return listed_paths(spark, paths).mapInArrow(read, kind)
 
