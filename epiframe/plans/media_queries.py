@@ -19,7 +19,8 @@ def shards_for(frames: DataFrame, most: int = 5000) -> int:
 
 
 def event_shards(spark: SparkSession, sf_dir: str) -> str:
-    """Events as frames, an episode to a user, whose last frame is marked: an image of varying size that holds the event's id."""
+    """Packed shards of events as frames, an episode to a user, whose last frame is marked: an image of varying size that
+    holds the event's id."""
     last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
     e = A.table(spark, sf_dir, "events")
     e = e.withColumn("last", last).repartition(shards_for(e), "user_id").sortWithinPartitions("user_id", "ts", "event_id")
@@ -27,13 +28,13 @@ def event_shards(spark: SparkSession, sf_dir: str) -> str:
     image = F.encode(F.concat(F.col("event_id").cast("string"), F.repeat(F.lit("."), (F.col("event_id") % 997).cast("int"))), "UTF-8")
     rows = e.select(F.format_string("frame_%08d", "event_id").alias("key"), meta.alias("meta"), F.array(F.col("value").cast("float")).alias("lowdim"), image.alias("image"))
     path = files.shared_path(spark, "event-shards")
-    shards.write_frames(rows, path)
+    shards.write_frames(rows, path, pack=True)
     return path
 
 
 def event_windows(spark: SparkSession, path: str) -> DataFrame:
     """Each frame of high quality with the places of itself and of two frames before it, two apart."""
-    frames = members.located_frames(spark, f"{path}/*.tar", ["image.jpg"], ["shard", "pos", "key", "dataset_name", "episode_index", "high_quality", "members"])
+    frames = members.located_frames(spark, f"{path}/*.tar.zst", ["image.jpg"], ["shard", "pos", "key", "dataset_name", "episode_index", "high_quality", "members"])
     spec = Window.partitionBy("dataset_name", "episode_index").orderBy("shard", "pos")
     df = frames.select("shard", "pos", "high_quality", F.substring("key", 7, 8).cast("long").alias("event_id"), windows.history(members.locator(), spec, 3, 2).alias("image_refs"))
     return df.where("high_quality = 1")
@@ -61,7 +62,7 @@ def late_media_bytes(spark, sf_dir):
     all_windows = spark.read.schema(all_windows.schema).parquet(path)
     for keep in (1.0, 0.5, 0.1):
         kept = all_windows.where(blend.unit_hash("event_id", seed=4) < keep)
-        places = members.media_places(kept, ["event_id"], IMAGE).dropDuplicates(["shard", "offset"])
+        places = members.media_places(kept, ["event_id"], IMAGE).select("shard", "key", "offset", "size").distinct()
         read = members.fetch(places).agg(F.count("*").alias("members"), F.sum(F.octet_length("data")).alias("bytes"))
         parts.append(read.select(F.lit(keep).alias("keep"), "members", "bytes"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
