@@ -48,6 +48,12 @@ def open_at(uri: str):
     return packed.PackedIn(file, uri) if path.endswith(packed.SUFFIX) else file
 
 
+def make_folder(uri: str) -> None:
+    """A folder, if it is not there already."""
+    system, path = _located(uri)
+    system.create_dir(path, recursive=True)
+
+
 def remove(uri: str) -> None:
     """Delete a folder and what it holds."""
     system, path = _located(uri)
