@@ -25,7 +25,7 @@ LANES = 4
 @query
 def resampled_epochs(spark, sf_dir):
     """Two epochs of frames of shards in random order, in batches of at most 20,000: each frame twice."""
-    streams = resampled.resampled_lanes(spark, f"{event_shards(spark, sf_dir)}/*.tar.zst", LANES, seed=2, epochs=2, rows=20_000)
+    streams = resampled.resampled_lanes(spark, f"{event_shards(spark, sf_dir)}/*.tar.zst", LANES, seed=2, epochs=2, rows=20_000, columns=["key", "episode_index", "image", "epoch"])
     out = online.run_to_end(*(s.select("key", "epoch", "episode_index", F.octet_length("image").alias("size")) for s in streams))
     return out.groupBy(F.substring("key", 7, 8).cast("long").alias("event_id"), "episode_index").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("epoch")), ",").alias("epochs"), F.max("size").alias("size"))
 

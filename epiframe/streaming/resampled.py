@@ -6,7 +6,8 @@ and the number of frames before it in the epoch; so a batch is the same rows whe
 
 Admission: a batch takes at most ``rows`` frames, and at most ``bytes`` counted by the largest frame of each shard,
 but one frame at least; what is not admitted waits for the next batch. Each drawn shard that a batch touches is one
-partition, cut into parts of ``part`` frames. The list of shards is one row to a shard, on the driver, with the place of
+partition, cut into parts of ``part`` frames (``PART``; times the number of lanes where these run side by side, as a task
+costs as much as a thousand frames). The list of shards is one row to a shard, on the driver, with the place of
 every ``MARK``th frame, so that a part is read from there and not from the shard's first header.
 
 Lanes: with ``lanes`` readers, as a loader has workers, reader ``lane`` takes each ``lanes``-th drawn shard of an epoch.
@@ -37,12 +38,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import FRAMES
 from ..sources.files import open_at, open_in, open_out, shared_path
-from ..sources.shards import ALWAYS, BATCH, expand, frame, listed_paths, wanted
+from ..sources.shards import ALWAYS, BATCH, batch_of, expand, frame, listed_paths, wanted
 from ..sources.tars import BLOCK, Bytes, members
 
 NAME = "resampled_shards"
-#: Frames between two places of a shard that are kept.
-MARK = 500
+#: Frames between two places of a shard that are kept, and frames to a part.
+MARK, PART = 500, 1000
 SCHEMA = T.StructType([*FRAMES.fields, T.StructField("epoch", T.LongType()), T.StructField("draw", T.LongType())])
 
 
@@ -122,7 +123,7 @@ def slices(shards: Sequence[Shard], start: dict, end: dict, seed: int, how: str,
     return out
 
 
-def frames_between(shard: str, first: int, last: int, suffixes: Sequence[str], mark: tuple[int, int] = (0, 0)) -> Iterator[dict]:
+def frames_between(shard: str, first: int, last: int, suffixes: Sequence[str], mark: tuple[int, int] = (0, 0), text_of_meta: bool = True) -> Iterator[dict]:
     """Frames first to last (not included) of a shard, from a frame before them and its place on; what belongs to others
     is passed over unread."""
     with open_at(shard) as file:
@@ -132,14 +133,18 @@ def frames_between(shard: str, first: int, last: int, suffixes: Sequence[str], m
             stem, _, suffix = name.partition(".")
             if (this := folder + slash + stem) != key:
                 if first <= pos < last:
-                    yield frame(shard, pos, key, data)
+                    yield frame(shard, pos, key, data, text_of_meta)
                 key, data, pos = this, {}, pos + 1
                 if pos >= last:
                     return
             if pos >= first and suffix in suffixes:
                 data[suffix] = held.member(offset, size)
         if first <= pos < last:
-            yield frame(shard, pos, key, data)
+            yield frame(shard, pos, key, data, text_of_meta)
+
+
+def columns_of(options: dict[str, str]) -> list[str]:
+    return json.loads(options["columns"]) if "columns" in options else SCHEMA.names
 
 
 class Reader(DataSourceStreamReader):
@@ -149,8 +154,8 @@ class Reader(DataSourceStreamReader):
         if not sum(s.rows for s in self.shards):
             raise ValueError("no frames in any shard")
         number = lambda name, default: int(options.get(name, default))
-        self.seed, self.how, self.epochs, self.rows, self.most, self.part = number("seed", 0), options.get("draw", "permute"), number("epochs", 0), max(1, number("rows", 10_000)), number("bytes", 0), max(1, number("part", 1000))
-        self.suffixes, self.progress = json.loads(options["suffixes"]), options.get("progress")
+        self.seed, self.how, self.epochs, self.rows, self.most, self.part = number("seed", 0), options.get("draw", "permute"), number("epochs", 0), max(1, number("rows", 10_000)), number("bytes", 0), max(1, number("part", PART))
+        self.suffixes, self.progress, self.columns = json.loads(options["suffixes"]), options.get("progress"), columns_of(options)
         self.lane, self.lanes = number("lane", 0), number("lanes", 1)
         if not 0 <= self.lane < self.lanes <= max(1, len(self.shards)):
             raise ValueError(f"lane {self.lane} of {self.lanes}, {len(self.shards)} shards")
@@ -183,13 +188,14 @@ class Reader(DataSourceStreamReader):
         return slices(self.shards, start, end, self.seed, self.how, self.part, self.lane, self.lanes)
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        schema, rows = to_arrow_schema(SCHEMA), []
-        for row in frames_between(partition.path, partition.first, partition.last, self.suffixes, partition.mark):
-            rows.append(row | {"epoch": partition.epoch, "draw": partition.draw})
+        schema, rows = to_arrow_schema(T.StructType([SCHEMA[c] for c in self.columns])), []
+        for row in frames_between(partition.path, partition.first, partition.last, self.suffixes, partition.mark, "meta" in self.columns):
+            row["epoch"], row["draw"] = partition.epoch, partition.draw
+            rows.append(row)
             if len(rows) == BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield batch_of(rows, schema)
                 rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        yield batch_of(rows, schema)
 
 
 class ResampledShards(DataSource):
@@ -198,7 +204,7 @@ class ResampledShards(DataSource):
         return NAME
 
     def schema(self) -> T.StructType:
-        return SCHEMA
+        return T.StructType([SCHEMA[c] for c in columns_of({k.lower(): v for k, v in self.options.items()})])
 
     def streamReader(self, schema: T.StructType) -> Reader:
         return Reader({k.lower(): v for k, v in self.options.items()})
@@ -243,12 +249,13 @@ def resampled(spark: SparkSession, patterns: str | Sequence[str], progress: str
     return _stream(spark, options | {"shards": list_shards(spark, patterns, shared_path(spark, "resampled"))})
 
 
-def resampled_lanes(spark: SparkSession, patterns: str | Sequence[str], lanes: int, seed: int = 0, draw: str = "permute", epochs: int = 0, rows: int = 10_000, most_bytes: int = 0, image: bool = True, depth: bool = False, chest: bool = False) -> list[DataFrame]:
-    """The same frames as ``resampled`` gives, as ``lanes`` streams side by side (fewer, if there are fewer shards)."""
+def resampled_lanes(spark: SparkSession, patterns: str | Sequence[str], lanes: int, seed: int = 0, draw: str = "permute", epochs: int = 0, rows: int = 10_000, most_bytes: int = 0, image: bool = True, depth: bool = False, chest: bool = False, columns: Sequence[str] | None = None) -> list[DataFrame]:
+    """The same frames as ``resampled`` gives, as ``lanes`` streams side by side (fewer, if there are fewer shards); only
+    these ``columns``, if they are given."""
     listed = list_shards(spark, patterns, shared_path(spark, "resampled"))
     with open_in(listed) as f:
         lanes = max(1, min(lanes, len(json.loads(f.read()))))
-    options = {"shards": listed, "seed": seed, "draw": draw, "epochs": epochs, "rows": rows, "bytes": most_bytes, "suffixes": json.dumps(wanted(image, depth, chest)), "lanes": lanes}
+    options = {"shards": listed, "seed": seed, "draw": draw, "epochs": epochs, "rows": rows, "bytes": most_bytes, "suffixes": json.dumps(wanted(image, depth, chest)), "columns": json.dumps(columns or SCHEMA.names), "lanes": lanes, "part": PART * lanes}
     return [_stream(spark, options | {"lane": k}) for k in range(lanes)]
 
 

@@ -11,7 +11,7 @@ import zstandard
 
 from epiframe.plans.queries import QUERIES
 from epiframe.sources import files, members, packed, shards, tars
-from epiframe.streaming import resampled
+from epiframe.streaming import online, resampled
 
 ROWS = [(f"f{k:03}", f'{{"episode_index": {k // 30}}}', [float(k)] if k != 7 else None, b"%d" % k * (k * 40)) for k in range(90)]
 
@@ -100,7 +100,25 @@ def bytes_of_shards(spark, sf, monkeypatch, name):
     return sum(map(os.path.getsize, found)) / spark.read.parquet(f"{sf}/events.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["frame_shard_roundtrip", "late_media_bytes"])
+@pytest.mark.parametrize("name", ["frame_shard_roundtrip", "late_media_bytes", "resampled_epochs"])
 def test_little_disk(spark, sf, monkeypatch, name):
     """Plain tar files take 4,600 and 3,300 bytes a frame."""
     assert bytes_of_shards(spark, sf, monkeypatch, name) < 300
+
+
+def test_lanes_over_packed_shards(spark, both):
+    """Only the columns that are asked for, from any frame on, in parts that grow with the number of lanes."""
+    streams = resampled.resampled_lanes(spark, both, 2, seed=1, epochs=2, rows=25, columns=["epoch", "key", "meta", "lowdim"])
+    assert [s.columns for s in streams] == [["epoch", "key", "meta", "lowdim"]] * 2
+    got = [(r.epoch, r.key, r.meta, r.lowdim) for r in online.run_to_end(*streams).collect()]
+    want = [(e, key, meta, vector or []) for e in range(2) for key, meta, vector, _ in ROWS for _ in both]
+    assert sorted(got) == sorted(want)
+    x = resampled.Slice(both[1], 50, 80, 0, 0)
+    assert [r["key"] for r in resampled.frames_between(x.path, x.first, x.last, ["meta.json"])] == [r[0] for r in ROWS[50:80]]
+
+
+def test_parts_of_lanes(spark, both, monkeypatch):
+    made = []
+    monkeypatch.setattr(resampled, "_stream", lambda spark, options: made.append(options))
+    resampled.resampled_lanes(spark, both, 2)
+    assert [x["part"] for x in made] == [2 * resampled.PART] * 2
