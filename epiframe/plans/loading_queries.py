@@ -242,7 +242,7 @@ def random_mix(spark, sf_dir):
 def windows_of_resampled_shards(spark, sf_dir):
     """A training stream: shards drawn in random order for two epochs, in bounded batches, composed to windows as their
     frames arrive, and thinned; each epoch has the same windows."""
-    streams = resampled.resampled_lanes(spark, f"{event_shards(spark, sf_dir)}/*.tar.zst", LANES, seed=4, epochs=2, rows=20_000, image=False)
+    streams = resampled.resampled_lanes(spark, f"{event_shards(spark, sf_dir)}/*.tar.zst", LANES, seed=4, epochs=2, rows=20_000, image=False, columns=["pos", "key", "episode_index", "high_quality", "lowdim", "meta", "epoch"])
     frame = ("epoch", "episode_index", "pos", F.substring("key", 7, 8).cast("long").alias("event_id"), F.get("lowdim", 0).cast("double").alias("payload"), "high_quality", F.get_json_object("meta", "$.last").cast("boolean").alias("final"))
     config = windows.WindowConfig(windows.Reach(4, 2, "truncate"), windows.Reach(3, 2))
     composed = (online.compose(s.select(*frame), config, ["epoch", "episode_index"], "pos") for s in streams)  # an episode is in one shard

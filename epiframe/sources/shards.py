@@ -60,6 +60,7 @@ def wanted(image: bool = True, depth: bool = True, chest: bool = True) -> tuple[
 
 #: Frames of an episode mostly have the same metadata; what is kept is only read.
 _meta = functools.lru_cache(1024)(json.loads)
+_meta_text = functools.lru_cache(1024)(lambda data: json.dumps(json.loads(data)))
 
 
 def frame(shard: str, pos: int, key: str, data: dict[str, bytes], text_of_meta: bool = True) -> dict:
@@ -73,7 +74,7 @@ def frame(shard: str, pos: int, key: str, data: dict[str, bytes], text_of_meta:
     return {
         "shard": shard, "pos": pos, "key": key, "dataset_name": meta.get("dataset_name", ""), "episode_index": meta.get("episode_index"), "high_quality": meta.get("high_quality", 1),
         "cameras": meta.get("cameras", ["head"]), "instruction": [text] if isinstance(text, str) else text, "instruction_num": meta.get("instruction_num"), "lowdim": vector,
-        **{c: data.get(s) for s, c in MEDIA.items()}, "meta": json.dumps(meta) if text_of_meta and "meta.json" in data else None,
+        **{c: data.get(s) for s, c in MEDIA.items()}, "meta": _meta_text(data["meta.json"]) if text_of_meta and "meta.json" in data else None,
     }
 
 

@@ -100,7 +100,7 @@ def bytes_of_shards(spark, sf, monkeypatch, name):
     return sum(map(os.path.getsize, found)) / spark.read.parquet(f"{sf}/events.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["frame_shard_roundtrip", "late_media_bytes", "resampled_epochs"])
+@pytest.mark.parametrize("name", ["frame_shard_roundtrip", "late_media_bytes", "resampled_epochs", "windows_of_resampled_shards"])
 def test_little_disk(spark, sf, monkeypatch, name):
     """Plain tar files take 4,600 and 3,300 bytes a frame."""
     assert bytes_of_shards(spark, sf, monkeypatch, name) < 300
