@@ -86,8 +86,8 @@ def qa_images_decoded(spark, sf_dir):
     turns = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("first"))
     rows = turns.select(F.format_string("qa_%08d", "conv_id").alias("key"), F.to_json(F.struct("first")).alias("meta"), "conv_id")
     path = files.shared_path(spark, "qa-shards")
-    shards.write_frames(rows, path, pictures.albums)
-    places = media.qa_images(members.located_frames(spark, f"{path}/*.tar", columns=["shard", "key", "members"]))
+    shards.write_frames(rows, path, pictures.albums, pack=True)
+    places = media.qa_images(members.located_frames(spark, f"{path}/*.tar.zst", columns=["shard", "key", "members"]))
     out = media.decode_images(members.dealt(places), ["shard", "key", "suffix"], made=[members.reading()])
     byte = lambda k: F.conv(F.hex(F.substring("pixels", k, 1)), 16, 10).cast("int")
     return out.select(F.substring("key", 4, 8).cast("long").alias("conv_id"), "n", "suffix", "height", "width", byte(1).alias("red"), byte(2).alias("green"), F.octet_length("pixels").alias("size"))

@@ -122,3 +122,11 @@ def test_parts_of_lanes(spark, both, monkeypatch):
     monkeypatch.setattr(resampled, "_stream", lambda spark, options: made.append(options))
     resampled.resampled_lanes(spark, both, 2)
     assert [x["part"] for x in made] == [2 * resampled.PART] * 2
+
+
+def test_albums_are_packed(spark, sf, monkeypatch):
+    """Plain tar files take 1,000 bytes an image."""
+    made, plain = [], shards.write_frames
+    monkeypatch.setattr(shards, "write_frames", lambda frames, path, *a, **b: (made.append(path), plain(frames, path, *a, **b))[1])
+    images = QUERIES["qa_images_decoded"](spark, sf).count()
+    assert sum(map(os.path.getsize, glob.glob(f"{made[0].removeprefix('file://')}/*.tar.zst"))) in range(1, 200 * images)
